@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from corpusloom.llm.encoding import encode_corpus
+from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.near_pairs import near_pairs
 from corpusloom.session import table
 
@@ -10,5 +12,32 @@ def p1_found(spark, d):
     return near_pairs(table(spark, d, "chunk_store"))
 
 
-QUERIES = {"p1_found": p1_found}
-SQL = {}
+def p6_ids(spark, d):
+    return encode_corpus(table(spark, d, "documents"))
+
+
+def p7_found(spark, d):
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids, "p7_found": p7_found}
+
+# p7: every run of 12 words of a field against every run of 12 words of the documents
+SQL = {
+    "p7_found": r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws
+  from documents where text is not null),
+i as (
+  select item_id, list_filter(regexp_split_to_array(lower(t), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws
+  from (select item_id, question as t from eval_items union all select item_id, passage from eval_items)
+  where t is not null),
+dg as (
+  select doc_id, array_to_string(list_slice(ws, p, p + 11), ' ') as g
+  from (select doc_id, ws, unnest(range(1, len(ws) - 10)) as p from w where len(ws) >= 12)),
+ig as (
+  select item_id, array_to_string(list_slice(ws, p, p + 11), ' ') as g
+  from (select item_id, ws, unnest(range(1, len(ws) - 10)) as p from i where len(ws) >= 12))
+select distinct doc_id, cast(item_id as bigint) as item_id from dg join ig using (g)
+""",
+}
