@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from corpusloom.llm.conversations import rebuild_conversations
 from corpusloom.llm.encoding import encode_corpus
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.near_pairs import near_pairs
+from corpusloom.llm.pair_defects import find_defects
 from corpusloom.session import table
 
 
@@ -12,6 +14,14 @@ def p1_found(spark, d):
     return near_pairs(table(spark, d, "chunk_store"))
 
 
+def p3_found(spark, d):
+    return find_defects(table(spark, d, "interactions"))
+
+
+def p5_found(spark, d):
+    return rebuild_conversations(table(spark, d, "interactions"), table(spark, d, "chat_threads"))
+
+
 def p6_ids(spark, d):
     return encode_corpus(table(spark, d, "documents"))
 
@@ -20,7 +30,7 @@ def p7_found(spark, d):
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 # p7: every run of 12 words of a field against every run of 12 words of the documents
 SQL = {
