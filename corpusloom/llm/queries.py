@@ -9,6 +9,7 @@ from corpusloom.llm.conversations import rebuild_conversations
 from corpusloom.llm.encoding import encode_corpus
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.near_pairs import near_pairs
+from corpusloom.llm.neighbours import links, nearest
 from corpusloom.llm.pair_defects import find_defects
 from corpusloom.llm.splitting import split_oversized
 from corpusloom.session import table
@@ -28,6 +29,10 @@ def p3_found(spark, d):
     return find_defects(table(spark, d, "interactions"))
 
 
+def p4_found(spark, d):
+    return links(nearest(table(spark, d, "chunk_vectors")))
+
+
 def p5_found(spark, d):
     return rebuild_conversations(table(spark, d, "interactions"), table(spark, d, "chat_threads"))
 
@@ -40,7 +45,7 @@ def p7_found(spark, d):
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
 
 _EMPTY = ", ".join("'" + x.replace("'", "''") + "'" for x in ("", *PLACEHOLDERS))
 
