@@ -10,6 +10,7 @@ from corpusloom.llm.encoding import encode_corpus
 from corpusloom.llm.leakage import leaked_items
 from corpusloom.llm.near_pairs import near_pairs
 from corpusloom.llm.neighbours import links, nearest
+from corpusloom.llm.page_spam import spam_pages
 from corpusloom.llm.pair_defects import find_defects
 from corpusloom.llm.splitting import split_oversized
 from corpusloom.session import table
@@ -45,7 +46,11 @@ def p7_found(spark, d):
     return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark, d):
+    return spam_pages(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 
 _EMPTY = ", ".join("'" + x.replace("'", "''") + "'" for x in ("", *PLACEHOLDERS))
 
