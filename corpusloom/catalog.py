@@ -15,6 +15,7 @@ from corpusloom.sources.lake import Lake
 
 log = logging.getLogger("corpusloom.knowledge_base")
 TOP_K = 200
+CHUNK_SIZE, MIN_LENGTH = chunks.CHUNK_SIZE, chunks.MIN_LENGTH
 
 
 class KnowledgeBase:
@@ -70,7 +71,7 @@ class KnowledgeBase:
     def vectors(self) -> DataFrame | None:
         return self.lake.read("vectors")
 
-    def prepare(self, documents: DataFrame, use_sectioning: bool = True, chunk_size: int = chunks.CHUNK_SIZE, min_length: int = chunks.MIN_LENGTH) -> DataFrame:
+    def prepare(self, documents: DataFrame, use_sectioning: bool = True, chunk_size: int = CHUNK_SIZE, min_length: int = MIN_LENGTH) -> DataFrame:
         """Chunks with context of documents (doc_id, text[, title, supp_id, metadata])."""
         whole = lines.document_lines(documents)
         parts = sections.sections_of(whole, use_sectioning)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 OPERATORS = ("equals", "not_equals", "in", "not_in", "greater_than", "less_than", "greater_than_equals", "less_than_equals")
 BLOCK = 8192  # queries that are sent to the tasks at once: 4 MB of 64 numbers each
@@ -144,6 +146,60 @@ def search(
     return found.withColumn("rank", (F.row_number().over(best) - 1).cast("int")).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "similarity")
 
 
+def _centres(x: np.ndarray, count: int, rounds: int = 5) -> np.ndarray:
+    c = x[np.linspace(0, len(x) - 1, min(count, len(x))).astype(int)]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(axis=1)
+        c = _unit(np.stack([x[near == i].sum(axis=0) if (near == i).any() else c[i] for i in range(len(c))]))
+    return c
+
+
+def _cells(c: np.ndarray, probes: int):
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(v: pd.Series) -> pd.Series:
+        out = []
+        for x in v:
+            x = np.asarray(x if x is not None else [], float)
+            good = len(x) == c.shape[1] and np.isfinite(x).all()
+            out.append(np.argsort(-(c @ x), kind="stable")[:probes].astype(np.int32) if good else np.zeros(0, np.int32))
+        return pd.Series(out)
+
+    return run
+
+
+def search_approximate(
+    queries: DataFrame,
+    vectors: DataFrame,
+    k: int = 200,
+    cells: int = 64,
+    probes: int = 16,
+    sample_rows: int = 10_000,
+    query_id: str = "query_id",
+    query_vector: str = "vector",
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+) -> DataFrame:
+    """Like search by cosine, but each query looks only into the `probes` cells nearest to it.
+
+    The cells' centres are fitted to at most about `sample_rows` vectors, chosen
+    by a hash of the id; every vector is in the cell of its nearest centre, and
+    vectors and queries meet in an equi-join on the cell.  probes = cells is exact.
+    """
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+    share = min(1.0, sample_rows / max(1, vectors.count()))
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("vec_id").select("v").toArrow().column(0).combine_chunks()
+    sample = pa.concat_arrays(sample.chunks) if isinstance(sample, pa.ChunkedArray) and sample.num_chunks else sample
+    dim = int(np.bincount(sample.value_lengths().to_numpy(zero_copy_only=False)).argmax()) if len(sample) else 1
+    _, x = _usable(sample, dim)
+    c = _centres(_unit(x), cells) if len(x) else np.zeros((1, dim))
+    held = rows.withColumn("cell", F.try_element_at(_cells(c, 1)(F.col("v")), F.lit(1)) if len(x) else F.lit(0)).where("cell is not null")
+    asked = queries.select(F.col(query_id).cast("bigint").alias("query_id"), F.col(query_vector).cast("array<double>").alias("q")).where("query_id is not null and q is not null")
+    asked = asked.select("query_id", "q", F.explode(_cells(c, probes)(F.col("q"))).alias("cell"))
+    met = asked.join(held, "cell").select("query_id", "vec_id", cosine("q", "v").alias("similarity"))
+    best = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), "vec_id")
+    return met.withColumn("rank", (F.row_number().over(best) - 1).cast("int")).where(F.col("rank") < k).select("query_id", "rank", "vec_id", "similarity")
+
+
 def without_document(vectors: DataFrame, doc_ids: list[str]) -> DataFrame:
     """All vectors but those of the named documents; ids are compared whole."""
     return vectors.where(~F.coalesce(F.col("doc_id").isin(doc_ids), F.lit(False)))

@@ -38,6 +38,10 @@ def vec_02(spark, d):
     return _found(spark, d, 10, metric="l2")
 
 
+def vec_03(spark, d):
+    return vectors.search_approximate(_queries(spark, d), _vectors(spark, d), 10, cells=16, probes=12).withColumn("similarity", F.round("similarity", 6))
+
+
 def vec_04(spark, d):
     """Cosine as 1 - distance, computed in the JVM for each vector against the one before it."""
     rows = _vectors(spark, d)
@@ -233,7 +237,7 @@ def qry_05(spark, d):
 
 
 QUERIES = {
-    "vec_01_cosine_topk": vec_01, "vec_02_l2_topk": vec_02, "vec_04_cosine_distance": vec_04, **{name: _filtered(*f) for name, f in FILTERS.items()},
+    "vec_01_cosine_topk": vec_01, "vec_02_l2_topk": vec_02, "vec_03_approximate": vec_03, "vec_04_cosine_distance": vec_04, **{name: _filtered(*f) for name, f in FILTERS.items()},
     "vec_13_null_semantics": vec_13, "vec_14_remove_and_count": vec_14, "vec_15_dot_product": vec_15, "vec_16_multi_query": vec_16,
     "rrk_01_keep_order": rrk_01, "rrk_02_scorer_cohere": rrk_02, "rrk_03_scorer_voyage": rrk_03, "rrk_04_beta_transform": rrk_04, "rrk_05_empty_lists": rrk_05,
     "rse_01_selected_documents": rse_01, "rse_02_meta_document": rse_02, "rse_03_values": rse_03, "rse_04_length_adjustment": rse_04, "rse_05_repeated_chunks": rse_05,
