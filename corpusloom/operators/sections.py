@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 WINDOW_CHARS = 20_000
 FILL = 0.9
 MIN_AVERAGE_CHARS = 500
@@ -62,9 +64,10 @@ def is_heading(content: Column) -> Column:
     return content.rlike(r"^#{1,6} \S") | (content.rlike(r"^\d+(\.\d+)*\.? \p{L}") & (F.length(content) <= 80) & ~content.rlike(r"[.!?:;,]\s*$"))
 
 
-def rule_boundaries(lines: DataFrame, spans: DataFrame) -> DataFrame:
+def rule_boundaries(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, window_no, pos, title, start): a proposal for every heading in each window, in order of lines."""
-    heads = lines.where(is_heading(F.col("content"))).select("doc_id", F.col("line_no").alias("start"), F.regexp_replace("content", r"^#+\s*", "").alias("title"))
+    flat = texts.select("doc_id", F.posexplode("lines").alias("start", "content"))
+    heads = flat.where(is_heading(F.col("content"))).select("doc_id", "start", F.regexp_replace("content", r"^#+\s*", "").alias("title"))
     inside = (F.col("start") >= F.col("window_start")) & (F.col("start") <= F.col("window_end"))
     found = spans.join(heads, "doc_id").where(inside)
     pos = (F.row_number().over(Window.partitionBy("doc_id", "window_no").orderBy("start")) - 1).cast("int")
@@ -183,14 +186,14 @@ def sections_of(
     model: Callable[[str], list[tuple[str, int]] | None] | None = None,
 ) -> DataFrame:
     """Lines to sections: windows, proposals (by the heading rule or a model), repair, merge, repair, text."""
-    texts = lines_of_document(lines)
     if not use_sectioning:
-        return whole_sections(texts)
+        return whole_sections(lines_of_document(lines))
+    texts = cut(lines_of_document(lines))  # every stage reads it
     chars = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1) - 1
     short = texts.where(chars <= min_length)
     texts = texts.where(chars > min_length)
     spans = windows(texts, window_chars)
     prompts = window_texts(texts, spans)
-    proposals = model_boundaries(prompts, model) if model else rule_boundaries(lines, spans)
+    proposals = model_boundaries(prompts, model) if model else rule_boundaries(texts, spans)
     found = merge_windows(repair_windows(consolidate(proposals, prompts, spans, min_average), spans))
     return fill_sections(repair_documents(found, texts), texts).union(whole_sections(short))

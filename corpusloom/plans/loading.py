@@ -63,7 +63,7 @@ def _states(spark, d):
 def str_01(spark, d):
     """The chat states as a stream of files: the latest state of each exchange."""
     found = _run(ingest.latest_states(_states(spark, d), "3650 days"), spark)
-    return latest(found, ["thread_id", "message_id"], ["received_at"], ["received_at", "model_response_status"]).select("thread_id", "message_id", "model_response_status", "received_at")
+    return latest(found, ["thread_id", "message_id"], ["received_at"], ["received_at", "model_response_status"]).select("thread_id", "message_id", "model_response_status", F.unix_micros("received_at").alias("received_us"))
 
 
 def str_02(spark, d):
@@ -76,7 +76,7 @@ QUERIES = {"src_03_text_files": src_03, "src_04_directory": src_04, "str_01_late
 SQL = {
     "src_03_text_files": "select doc_id, count(*) as lines, cast(sum(length(line)) as bigint) as characters from (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null) group by 1",
     "src_04_directory": "select source, count(*) as documents from documents where text is not null and source is not null group by 1",
-    "str_01_latest_states": "select thread_id, message_id, nullif(arg_max(coalesce(model_response_status, '<null>'), received_at), '<null>') as model_response_status, max(received_at) as received_at from interactions where thread_id is not null and message_id is not null group by 1, 2",
+    "str_01_latest_states": "select thread_id, message_id, nullif(arg_max(coalesce(model_response_status, '<null>'), received_at), '<null>') as model_response_status, epoch_us(max(received_at)) as received_us from interactions where thread_id is not null and message_id is not null group by 1, 2",
     "str_02_exchange_rates": """with s as (select trim(user_input_timestamp) as s from interactions),
 t as (select case
     when regexp_full_match(s, '\\d{4}-\\d{2}-\\d{2}[T ]\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?') then try_cast(replace(s, ' ', 'T') || 'Z' as timestamptz)

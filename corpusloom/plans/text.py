@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunks, context, lines, sections
-from corpusloom.session import table
+from corpusloom.session import cut, table
 from corpusloom.sources import files
 
 WINDOW_CHARS = 1500
@@ -79,10 +79,9 @@ class _Flow:
     """The stages of sectioning over the documents."""
 
     def __init__(self, spark, d):
-        self.lines = lines.document_lines(documents(spark, d))
-        self.texts = sections.lines_of_document(self.lines)
+        self.texts = cut(_texts(spark, d))
         self.spans = sections.windows(self.texts, WINDOW_CHARS)
-        self.proposed = sections.rule_boundaries(self.lines, self.spans)
+        self.proposed = sections.rule_boundaries(self.texts, self.spans)
 
     def consolidated(self):
         return sections.consolidate(self.proposed, sections.window_texts(self.texts, self.spans), self.spans)
