@@ -15,11 +15,12 @@ the number of the thread's turns in the partitions before it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import says_nothing
 from corpusloom.functions.times import instant
+from corpusloom.operators.ordering import latest, numbered
 from corpusloom.session import cut
 
 #: Transition table: (state, input) -> state.  An exchange feeds `user`, then `assistant`.
@@ -43,12 +44,6 @@ def _step(state: Column, nothing: Column) -> Column:
     return out
 
 
-def latest(rows: DataFrame, keys: list[str], by: str, columns: list[str]) -> DataFrame:
-    """The row of each key with the greatest `by`; ties go to the greatest values of `columns` in turn."""
-    best = F.max(F.struct(F.col(by), *[F.col(c) for c in columns])).alias("best")
-    return rows.groupBy(*keys).agg(best).select(*keys, *[F.col(f"best.{c}").alias(c) for c in columns])
-
-
 def exchanges(interactions: DataFrame) -> DataFrame:
     """(thread_id, message_id, said_at, state): one row per exchange with its latest state; null message ids make one broken row per thread."""
     rows = interactions.select("thread_id", "message_id", "user_input", "user_input_timestamp", "model_response", "model_response_status", "received_at").where("thread_id is not null")
@@ -61,7 +56,7 @@ def exchanges(interactions: DataFrame) -> DataFrame:
         (says_nothing(F.col("model_response")) | F.coalesce(F.lower(F.trim("model_response_status")).isin(*UNFINISHED), F.lit(False))).alias("no_reply"),
     )
     # texts end here: what is shuffled are keys, times and flags
-    last = latest(flat, ["thread_id", "message_id"], "received_at", ["said_at", "no_user", "no_reply"])
+    last = latest(flat, ["thread_id", "message_id"], ["received_at"], ["said_at", "no_user", "no_reply"])
     asked = _step(F.lit(AWAIT_USER), F.col("no_user") | F.col("said_at").isNull() | F.col("message_id").isNull())
     return last.select("thread_id", "message_id", "said_at", _step(asked, F.col("no_reply")).alias("state"))
 
@@ -76,18 +71,6 @@ def complete_threads(turns: DataFrame, threads: DataFrame) -> DataFrame:
     return whole.join(mixed, "thread_id", "left_anti").join(known, "thread_id", "left_semi")
 
 
-def numbered(turns: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
-    """`turns` with the 1-based place of each row among the rows of its key; no key is brought into one task."""
-    spark = turns.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut(turns.repartitionByRange(parts, key, *order).withColumn("part", F.spark_partition_id()))
-    counts = placed.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
-    # only threads that reach over a border have more than one count
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).where("before > 0").select(key, "part", "before")
-    here = F.row_number().over(Window.partitionBy("part", key).orderBy(*order))
-    return placed.withColumn("here", here).join(before, [key, "part"], "left").withColumn(name, (F.col("here") + F.coalesce("before", F.lit(0))).cast("int")).drop("here", "before", "part")
-
-
 def rebuild_conversations(interactions: DataFrame, threads: DataFrame) -> DataFrame:
     """(thread_id, turn_no, message_id) of the exchanges of all complete threads.
 
@@ -107,6 +90,6 @@ def rebuild_conversations(interactions: DataFrame, threads: DataFrame) -> DataFr
 def spoken(interactions: DataFrame, threads: DataFrame) -> DataFrame:
     """(thread_id, seq, role, message_id, content): the complete threads as alternating user and assistant turns."""
     order = rebuild_conversations(interactions, threads)
-    text = latest(interactions.where("thread_id is not null and message_id is not null"), ["thread_id", "message_id"], "received_at", ["user_input", "model_response"])
+    text = latest(interactions.where("thread_id is not null and message_id is not null"), ["thread_id", "message_id"], ["received_at"], ["user_input", "model_response"])
     both = F.explode(F.array(F.struct(F.lit(-1).alias("o"), F.lit("user").alias("role"), F.col("user_input").alias("content")), F.struct(F.lit(0).alias("o"), F.lit("assistant").alias("role"), F.col("model_response").alias("content")))).alias("t")
     return order.join(text, ["thread_id", "message_id"]).select("thread_id", "turn_no", "message_id", both).select("thread_id", (F.col("turn_no") * 2 + F.col("t.o")).alias("seq"), "t.role", "message_id", "t.content")

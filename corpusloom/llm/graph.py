@@ -57,6 +57,9 @@ class Graph:
     def search(self, q: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, similarities) of the beam of each query, best first; own: its node, never found."""
         ids, sims = self._scan(q, self.beam, own)
+        if short := self.beam - ids.shape[1]:  # fewer nodes than the beam is wide
+            ids = np.pad(ids, ((0, 0), (0, short)), constant_values=-1)
+            sims = np.pad(sims, ((0, 0), (0, short)), constant_values=_NONE)
         if own is not None:  # a node's edges lead into its neighbourhood at once
             ids, sims, _ = self._best(ids, sims, np.zeros(ids.shape, bool), self.edges[own], q, own)
         seen = np.zeros(ids.shape, bool)
@@ -89,7 +92,7 @@ class Graph:
         got = _sims(self.x, new, q)
         every, value = np.concatenate([ids, new], 1), np.concatenate([sims, got], 1)
         flags = np.concatenate([seen, np.zeros(new.shape, bool)], 1)
-        width = min(self.beam, every.shape[1])
+        width = ids.shape[1]
         keep = np.argpartition(-value, width - 1, axis=1)[:, :width]
         return np.take_along_axis(every, keep, 1), np.take_along_axis(value, keep, 1), np.take_along_axis(flags, keep, 1)
 

@@ -153,7 +153,7 @@ class Shard:
         keep = rank <= k  # place is in order of id: the k + 1 smallest ids of equal vectors are enough
         self.members = np.full((len(rep), min(k + 1, int(size.max()))), -1, np.int64)
         self.members[group[place][keep], rank[keep]] = place[keep]
-        self.graph = Graph(unit(raw[rep]), degree=10, beam=max(12, k + 7), entries=384, step=3)
+        self.graph = Graph(unit(raw[rep]), degree=10, beam=max(12, k + 7), entries=max(384, len(rep) // 4), step=3)  # rows of other shards enter by the entries alone
         self.node = np.empty(len(rep), np.int64)
         self.node[self.graph.order] = np.arange(len(rep))  # distinct vector -> node
         self.group = group

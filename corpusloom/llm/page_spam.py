@@ -226,7 +226,7 @@ def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     x, y = np.concatenate(sample_x), np.concatenate(sample_y)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of rows
     if 0 < y.sum() < len(y):
-        voted = table.select("doc_id", "host", "x").mapInArrow(_votes(BaggedTrees().fit(x[order], y[order])), "doc_id bigint, host string, vote double")
+        voted = table.select("doc_id", "host", "x").mapInArrow(_votes(BaggedTrees(least=max(1, min(5, int(min(y.sum(), len(y) - y.sum())) // 4))).fit(x[order], y[order])), "doc_id bigint, host string, vote double")
     else:
         # too little to learn from: the share of listed words decides
         voted = table.select("doc_id", "host", F.when(F.col("label") >= 0, F.col("label").cast("double")).otherwise(F.element_at("x", F_["list_share"] + 1).cast("double")).alias("vote"))

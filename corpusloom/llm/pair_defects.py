@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import says_nothing
-from corpusloom.llm.conversations import latest
+from corpusloom.operators.ordering import latest
 from corpusloom.session import cut
 
 WORD = re.compile(r"[^\W_]+")
@@ -329,7 +329,7 @@ def find_defects(interactions: DataFrame, id_col: str = "message_id", prompt_col
     The terminal contexts number a few hundred at most, whatever the table's size.
     """
     rows = interactions.select(F.col(id_col).alias("message_id"), F.col(prompt_col).alias("prompt"), F.col(response_col).alias("response"), F.col(time_col).alias("at")).where("message_id is not null")
-    last = cut(latest(rows, ["message_id"], "at", ["response", "prompt"]).withColumn("empty", says_nothing(F.col("response"))))
+    last = cut(latest(rows, ["message_id"], ["at"], ["response", "prompt"]).withColumn("empty", says_nothing(F.col("response"))))
     counts = last.where(~F.col("empty")).select("response").mapInArrow(_count_ends, "what string, kind string, size int, alone boolean, shape string, n bigint").groupBy("what", "kind", "size", "alone", "shape").agg(F.sum("n").alias("n"))
     ends: dict[tuple, list[int]] = {}
     for r in counts.collect():
