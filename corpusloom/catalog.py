@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.observe import step
 from corpusloom.operators import answers, chunks, context, lines, rerank, sections, segments, store, vectors
 from corpusloom.plugins import Embedding, HashedWords, LanguageModel, NoReranker, Reranker
+from corpusloom.session import cut
 from corpusloom.sources.lake import Lake
 
 log = logging.getLogger("corpusloom.knowledge_base")
@@ -74,9 +75,9 @@ class KnowledgeBase:
     def prepare(self, documents: DataFrame, use_sectioning: bool = True, chunk_size: int = CHUNK_SIZE, min_length: int = MIN_LENGTH) -> DataFrame:
         """Chunks with context of documents (doc_id, text[, title, supp_id, metadata])."""
         whole = lines.document_lines(documents)
-        parts = sections.sections_of(whole, use_sectioning)
+        parts = cut(sections.sections_of(lines.document_arrays(documents), use_sectioning))
         spans = parts.select("doc_id", "section_index", F.explode(F.sequence("start", "end")).alias("line_no"))
-        cut = chunks.indexed(chunks.chunk_lines(whole.join(spans, ["doc_id", "line_no"]), chunk_size, min_length))
+        made = chunks.indexed(chunks.chunk_lines(whole.join(spans, ["doc_id", "line_no"]), chunk_size, min_length))
         given = F.col("title") if "title" in documents.columns else F.lit(None).cast("string")
         some = lambda c: F.col(c) if c in documents.columns else F.lit("")
         docs = documents.select("doc_id", given.alias("given"), "text", some("supp_id").alias("supp_id"), some("metadata").alias("metadata"))
@@ -86,7 +87,7 @@ class KnowledgeBase:
         else:
             docs = docs.withColumn("generated", F.lit(None).cast("string")).withColumn("document_summary", F.lit(""))
         docs = docs.withColumn("document_title", context.resolved_title(F.col("given"), F.col("generated"), F.col("doc_id")))
-        return context.attach_context(cut, docs, parts).join(docs.select("doc_id", "supp_id", "metadata"), "doc_id")
+        return context.attach_context(made, docs, parts).join(docs.select("doc_id", "supp_id", "metadata"), "doc_id")
 
     def add_documents(self, documents: DataFrame, **options) -> DataFrame:
         """Adds (doc_id, text, …) rows; (doc_id, reason) of those that were not added, because they are stored, have no text or no valid id.
@@ -100,7 +101,7 @@ class KnowledgeBase:
             good, bad = store.added(empty if have is None else have.withColumn("kb_id", F.lit(self.kb_id)), asked)
             bad = bad.select("doc_id", "reason").union(good.where("text is null").select("doc_id", F.lit("no text").alias("reason")))
             refused = self.spark.createDataFrame(bad.collect(), "doc_id string, reason string") if options.pop("collect", True) else bad
-            made = self.prepare(good.where("text is not null").drop("kb_id"), **options)
+            made = cut(self.prepare(good.where("text is not null").drop("kb_id"), **options))  # both tables are written from it
             rows = store.conformed(context.store_rows(made).join(made.select("doc_id", "chunk_index", "supp_id", "metadata"), ["doc_id", "chunk_index"]).withColumn("kb_id", F.lit(self.kb_id)).withColumn("created_on", F.lit(str(int(time.time())))))
             self.lake.append("chunks", rows)
             embed = self.embedding

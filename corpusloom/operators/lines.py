@@ -64,6 +64,12 @@ def document_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.select("doc_id", "line_no", "content", F.lit("NarrativeText").alias("element_type"), F.lit(None).cast("int").alias("page_number"), F.lit(False).alias("is_visual"))
 
 
+def document_arrays(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = MAX_LINE) -> DataFrame:
+    """(doc_id, lines, doc_len): the same lines as one array per document, without a shuffle; documents without lines are left out."""
+    rows = documents.select(F.col(id_col).alias("doc_id"), line_array(F.col(text_col), limit).alias("lines"))
+    return rows.withColumn("doc_len", F.size("lines")).where("doc_len > 0")
+
+
 def page_lines(pages: DataFrame, limit: int = MAX_LINE) -> DataFrame:
     """Lines of (doc_id, page_number, content) pages, numbered through the document in page order."""
     rows = pages.select("doc_id", "page_number", F.posexplode(line_array(F.col("content"), limit)).alias("pos", "content"))

@@ -43,11 +43,17 @@ def window_ends(lines: Column, max_chars: int = WINDOW_CHARS) -> Column:
 
 
 def windows(texts: DataFrame, max_chars: int = WINDOW_CHARS) -> DataFrame:
-    """(doc_id, window_no, window_start, window_end, doc_len) over the rows of lines_of_document."""
-    ends = texts.withColumn("ends", F.when(F.size("lines") > 0, window_ends(F.col("lines"), max_chars)))
-    rows = ends.select("doc_id", "doc_len", "ends", F.posexplode("ends").alias("window_no", "window_end"))
+    """(doc_id, window_no, window_start, window_end, window_chars, doc_len) over line arrays (doc_id, lines, doc_len).
+
+    window_chars is the length of the window's numbered text (see window_texts).
+    """
+    sizes = F.transform("lines", lambda x, i: F.length(x) + F.length(i.cast("string")) + 4)
+    ends = texts.select("doc_id", "doc_len", sizes.alias("sizes"), F.when(F.size("lines") > 0, window_ends(F.col("lines"), max_chars)).alias("ends"))
+    rows = ends.select("doc_id", "doc_len", "ends", "sizes", F.posexplode("ends").alias("window_no", "window_end"))
     start = F.when(F.col("window_no") == 0, F.lit(0)).otherwise(F.expr("try_element_at(ends, window_no)") + 1)
-    return rows.select("doc_id", "window_no", start.alias("window_start"), "window_end", "doc_len")
+    rows = rows.withColumn("window_start", start)
+    chars = F.aggregate(F.slice("sizes", F.col("window_start") + 1, F.col("window_end") - F.col("window_start") + 1), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return rows.select("doc_id", "window_no", "window_start", "window_end", chars.alias("window_chars"), "doc_len")
 
 
 def window_texts(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -95,12 +101,11 @@ def model_boundaries(prompts: DataFrame, model: Callable[[str], list[tuple[str,
     return prompts.mapInPandas(run, f"doc_id {kind}, window_no int, pos int, title string, start int")
 
 
-def consolidate(proposals: DataFrame, texts: DataFrame, spans: DataFrame, least: int = MIN_AVERAGE_CHARS) -> DataFrame:
+def consolidate(proposals: DataFrame, spans: DataFrame, least: int = MIN_AVERAGE_CHARS) -> DataFrame:
     """Windows whose proposals average fewer than `least` characters of window text get one section at the window's start; one proposal alone stays."""
-    size = texts.select("doc_id", "window_no", F.length("window_text").alias("chars")).join(spans.select("doc_id", "window_no", "window_start"), ["doc_id", "window_no"])
-    count = proposals.groupBy("doc_id", "window_no").agg(F.count(F.lit(1)).alias("n"))
-    joined = proposals.join(count, ["doc_id", "window_no"]).join(size, ["doc_id", "window_no"])
-    small = (F.col("n") > 1) & (F.col("chars") / F.col("n") < least)
+    counted = proposals.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "window_no")))
+    joined = counted.join(spans.select("doc_id", "window_no", "window_start", "window_chars"), ["doc_id", "window_no"])
+    small = (F.col("n") > 1) & (F.col("window_chars") / F.col("n") < least)
     one = joined.where(~small | (F.col("pos") == 0))
     return one.select("doc_id", "window_no", "pos", F.when(small, F.lit(CONSOLIDATED)).otherwise(F.col("title")).alias("title"), F.when(small, F.col("window_start")).otherwise(F.col("start")).alias("start"))
 
@@ -178,22 +183,21 @@ def whole_sections(texts: DataFrame) -> DataFrame:
 
 
 def sections_of(
-    lines: DataFrame,
+    texts: DataFrame,
     use_sectioning: bool = True,
     min_length: int = 0,
     window_chars: int = WINDOW_CHARS,
     min_average: int = MIN_AVERAGE_CHARS,
     model: Callable[[str], list[tuple[str, int]] | None] | None = None,
 ) -> DataFrame:
-    """Lines to sections: windows, proposals (by the heading rule or a model), repair, merge, repair, text."""
+    """Line arrays (doc_id, lines, doc_len) to sections: windows, proposals (by the heading rule or a model), repair, merge, repair, text."""
     if not use_sectioning:
-        return whole_sections(lines_of_document(lines))
-    texts = cut(lines_of_document(lines))  # every stage reads it
+        return whole_sections(texts)
+    texts = cut(texts)  # every stage reads it
     chars = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1) - 1
     short = texts.where(chars <= min_length)
     texts = texts.where(chars > min_length)
     spans = windows(texts, window_chars)
-    prompts = window_texts(texts, spans)
-    proposals = model_boundaries(prompts, model) if model else rule_boundaries(texts, spans)
-    found = merge_windows(repair_windows(consolidate(proposals, prompts, spans, min_average), spans))
+    proposals = model_boundaries(window_texts(texts, spans), model) if model else rule_boundaries(texts, spans)
+    found = merge_windows(repair_windows(consolidate(proposals, spans, min_average), spans))
     return fill_sections(repair_documents(found, texts), texts).union(whole_sections(short))

@@ -63,7 +63,7 @@ def lin_05(spark, d):
 
 
 def _texts(spark, d):
-    return sections.lines_of_document(lines.document_lines(documents(spark, d)))
+    return lines.document_arrays(documents(spark, d))
 
 
 def sec_01(spark, d):
@@ -84,7 +84,7 @@ class _Flow:
         self.proposed = sections.rule_boundaries(self.texts, self.spans)
 
     def consolidated(self):
-        return sections.consolidate(self.proposed, sections.window_texts(self.texts, self.spans), self.spans)
+        return sections.consolidate(self.proposed, self.spans)
 
     def repaired(self):
         return sections.repair_windows(self.consolidated(), self.spans)
@@ -132,8 +132,7 @@ def sec_11(spark, d):
 
 
 def sec_12(spark, d):
-    whole = lines.document_lines(documents(spark, d))
-    return sections.sections_of(whole, min_length=400, window_chars=WINDOW_CHARS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).cast("bigint").alias("characters"))
+    return sections.sections_of(_texts(spark, d), min_length=400, window_chars=WINDOW_CHARS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("sections"), F.sum(F.length("content")).cast("bigint").alias("characters"))
 
 
 def chk_01(spark, d):

@@ -144,16 +144,15 @@ def test_document_repair_and_fill(spark):
 
 
 def test_safeguard(spark):
-    texts = spark.createDataFrame([("d", 0, "x" * 2000), ("e", 0, "x" * 2000)], "doc_id string, window_no int, window_text string")
-    spans = _spans(spark, [("d", 0, 3, 90, 100), ("e", 0, 3, 90, 100)])
+    spans = _spans(spark, [("d", 0, 3, 90, 100), ("e", 0, 3, 90, 100)]).withColumn("window_chars", F.lit(2000))
     rows = [("d", 0, i, f"s{i}", 3 + i) for i in range(10)] + [("e", 0, i, f"s{i}", 3 + i) for i in range(2)]
-    got = [(r.doc_id, r.title, r.start) for r in sections.consolidate(_proposals(spark, rows), texts, spans).orderBy("doc_id", "start").collect()]
+    got = [(r.doc_id, r.title, r.start) for r in sections.consolidate(_proposals(spark, rows), spans).orderBy("doc_id", "start").collect()]
     assert got == [("d", "Consolidated Section", 3), ("e", "s0", 3), ("e", "s1", 4)]
 
 
 def test_sections_of_with_rule_and_model(spark):
     text = ["# Start", *["some text of the first part that is long enough " * 4] * 8, "# Next", *["some text of the second part that is long enough " * 4] * 8]
-    rows = spark.createDataFrame([("d", i, c) for i, c in enumerate(text)] + [("s", 0, "tiny")], "doc_id string, line_no int, content string")
+    rows = _texts(spark, {"d": text, "s": ["tiny"]})
     got = [(r.doc_id, r.title, r.start, r.end) for r in sections.sections_of(rows, min_length=10).orderBy("doc_id", "start").collect()]
     assert got == [("d", "Start", 0, 8), ("d", "Next", 9, 17), ("s", "", 0, 0)]
     tries = []
