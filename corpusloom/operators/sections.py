@@ -197,7 +197,7 @@ def sections_of(
     chars = F.aggregate("lines", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x) + 1) - 1
     short = texts.where(chars <= min_length)
     texts = texts.where(chars > min_length)
-    spans = windows(texts, window_chars)
+    spans = cut(windows(texts, window_chars))  # small, and read by every stage
     proposals = model_boundaries(window_texts(texts, spans), model) if model else rule_boundaries(texts, spans)
     found = merge_windows(repair_windows(consolidate(proposals, spans, min_average), spans))
     return fill_sections(repair_documents(found, texts), texts).union(whole_sections(short))

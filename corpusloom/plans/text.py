@@ -80,7 +80,7 @@ class _Flow:
 
     def __init__(self, spark, d):
         self.texts = cut(_texts(spark, d))
-        self.spans = sections.windows(self.texts, WINDOW_CHARS)
+        self.spans = cut(sections.windows(self.texts, WINDOW_CHARS))
         self.proposed = sections.rule_boundaries(self.texts, self.spans)
 
     def consolidated(self):
