@@ -64,6 +64,19 @@ def with_model(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt:
     return rows.mapInPandas(run, schema)
 
 
+def summaries(documents: DataFrame, model: Callable[[list[str]], list[str]], language: Column | None = None, limit: int = SUMMARY_TOKENS) -> DataFrame:
+    """Documents (doc_id, text, …) with document_summary: a model's answer to their first `limit` tokens and the notes that apply."""
+    body, _ = first_tokens(F.col("text"), limit)
+    foreign, cut = notes(F.col("text"), language if language is not None else F.lit("en"), limit)
+    asked = documents.withColumn("__prompt", F.concat_ws("\n\n", F.nullif(foreign, F.lit("")), F.nullif(cut, F.lit("")), body))
+    return with_model(asked, model, "__prompt", "document_summary").drop("__prompt")
+
+
+def section_summaries(sections: DataFrame, model: Callable[[list[str]], list[str]], batch: int = 5) -> DataFrame:
+    """Sections with summary; a section whose batch fails has an empty one."""
+    return with_model(sections.withColumn("__prompt", F.concat_ws("\n\n", "title", "content")), model, "__prompt", "summary", batch).drop("__prompt")
+
+
 def document_header(title: Column, summary: Column) -> Column:
     """The document part of a header, empty without a title; an empty summary leaves a blank at the end."""
     some = F.coalesce(title, F.lit("")) != ""

@@ -103,6 +103,16 @@ def snk_04(spark, d):
     return answers.segment_texts(_segments(spark, d), _chunks(spark, d)).select(F.col("content").alias("page_content"), "doc_id", "chunk_start", "chunk_end")
 
 
+def kbo_02(spark, d):
+    """The corpus as a knowledge base would store it: chunks with context, counted by document."""
+    from corpusloom.catalog import KnowledgeBase
+
+    kb = KnowledgeBase(spark, shared_dir(spark), f"base-{uuid.uuid4().hex}")
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "title")
+    made = kb.prepare(docs)
+    return made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk_index").alias("last"), F.max("document_title").alias("title"))
+
+
 def kbo_03(spark, d):
     """Loading many documents: rows without text or id are set aside, one bad document stops no other."""
     docs = table(spark, d, "documents").select("kb_id", F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -122,7 +132,7 @@ QUERIES = {
     "cdb_01_add": cdb_01, "cdb_02_remove": cdb_02, "cdb_03_chunk_text": _lookup("chunk_text"), "cdb_04_is_visual": cdb_04, "cdb_05_page_numbers": _lookup("chunk_page_start", "chunk_page_end"),
     "cdb_06_titles": _lookup("document_title", "document_summary", "section_title", "section_summary"), "cdb_07_documents": cdb_07, "cdb_08_document_ids": cdb_08, "cdb_09_document_count": cdb_09,
     "cdb_10_characters": cdb_10, "cdb_11_schema": cdb_11, "cdb_13_blanks": cdb_13, "snk_01_chunk_sink": snk_01, "snk_02_vector_upsert": snk_02, "snk_03_configs": snk_03, "snk_04_retriever": snk_04,
-    "kbo_03_add_documents": kbo_03, "kbo_04_delete": kbo_04,
+    "kbo_02_ingest": kbo_02, "kbo_03_add_documents": kbo_03, "kbo_04_delete": kbo_04,
 }
 
 _CUR = "cur as (select * from chunk_store qualify row_number() over (partition by kb_id, doc_id, chunk_index order by try_cast(created_on as bigint) desc, chunk_uid desc) = 1)"

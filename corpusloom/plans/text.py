@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import sql
 from corpusloom.operators import chunks, context, lines, sections
 from corpusloom.session import cut, table
 from corpusloom.sources import files
@@ -217,6 +218,30 @@ def ctx_02(spark, d):
     return table(spark, d, "kb_documents").select("doc_id", context.resolved_title(F.col("title"), F.lit(None).cast("string"), F.col("doc_id")).alias("title"))
 
 
+def ctx_03(spark, d):
+    from corpusloom.plugins import FirstWords
+
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", "lang")
+    return context.summaries(rows, FirstWords().answer, F.col("lang")).select("doc_id", "document_summary")
+
+
+def ctx_04(spark, d):
+    from corpusloom.plugins import FirstWords
+
+    return context.section_summaries(_Flow(spark, d).filled(), FirstWords().answer).select("doc_id", "section_index", "summary")
+
+
+def udf_lines(spark, d):
+    """The lines of the corpus by the SQL table function."""
+    sql.register(spark)
+    return spark.sql("select doc_id, l.line_no, l.content from {docs}, lateral text_lines(text, 200) l", docs=documents(spark, d).where("text is not null"))
+
+
+def udf_pieces(spark, d):
+    sql.register(spark)
+    return spark.sql("select doc_id, p.piece, p.content from {docs}, lateral text_pieces(text, 800) p", docs=documents(spark, d).where("text is not null"))
+
+
 def ctx_05(spark, d):
     a, b = context.notes(F.col("text"), F.col("lang"), 200)
     return table(spark, d, "documents").where("text is not null").select("doc_id", a.alias("language_note"), b.alias("truncation_note"))
@@ -276,7 +301,7 @@ QUERIES = {
     "sec_08_merge": sec_08, "sec_09_document_repair": sec_09, "sec_10_fill_text": sec_10, "sec_11_whole_section": sec_11, "sec_12_sections": sec_12,
     "chk_01_runs": chk_01, "chk_02_single_chunks": chk_02, "chk_03_recursive_chunks": chk_03, "chk_04_chunk_lines": chk_04, "chk_05_lines_in_range": chk_05,
     "src_06_documents": src_06, "src_07_page_batches": src_07, "src_09_elements": src_09, "src_11_markdown": src_11, "src_13_page_images": src_13, "src_14_all_images": src_14, "src_15_page_range": src_15,
-    "ctx_01_first_tokens": ctx_01, "ctx_02_titles": ctx_02, "ctx_05_prompt_notes": ctx_05, "ctx_06_attach": ctx_06, "ctx_07_chunk_header": ctx_07, "ctx_08_segment_header": ctx_08,
+    "ctx_01_first_tokens": ctx_01, "ctx_02_titles": ctx_02, "ctx_03_document_summaries": ctx_03, "ctx_04_section_summaries": ctx_04, "udf_text_lines": udf_lines, "udf_text_pieces": udf_pieces, "ctx_05_prompt_notes": ctx_05, "ctx_06_attach": ctx_06, "ctx_07_chunk_header": ctx_07, "ctx_08_segment_header": ctx_08,
     "ctx_09_text_to_embed": ctx_09, "ctx_10_terms": ctx_10, "ctx_11_embeddings": ctx_11, "ctx_12_store_rows": ctx_12, "ctx_13_page_text": ctx_13,
 }
 
@@ -381,6 +406,7 @@ def _terms(text: str) -> str:
 SQL = {
     "lin_01_split_long_line": f"with {_LINES} select doc_id, cast(p - 1 as integer) as pos, cast(q - 1 as integer) as sub, content from flat where (doc_id, p) in (select doc_id, p from raw where length(line) > 200)",
     "lin_02_text_lines": f"with {_LINES} select doc_id, line_no, content, 'NarrativeText' as element_type, false as is_visual from lines",
+    "udf_text_lines": f"with {_LINES} select doc_id, line_no, content from lines",
     "lin_03_page_lines": f"""with {_PAGES},
 raw as (select doc_id, page_number, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as p from pages),
 packed as (select doc_id, page_number, p, {_PACK} as parts from raw),

@@ -178,6 +178,18 @@ def markdown(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: F.concat(x["content"], F.lit("\n\n"))), "").alias("text"))
 
 
+def compressed(image: bytes, encode: Callable[[bytes, int, float], bytes], limit: int = 1_097_152) -> bytes:
+    """An image of at most `limit` bytes by an injected encode(image, quality, scale): quality goes down in steps of 5 to 10, then the size by a tenth each time."""
+    quality, scale, out = 95, 1.0, image
+    while len(out) > limit and scale > 0.01:
+        out = encode(image, quality, scale)
+        if quality > 10:
+            quality -= 5
+        else:
+            scale *= 0.9
+    return out
+
+
 _IMAGE = re.compile(r"page_(\d+)\.(jpg|jpeg|png)$")
 
 
