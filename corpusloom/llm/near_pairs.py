@@ -307,7 +307,8 @@ def near_pairs(
     index = rows.select("text").mapInArrow(_index(threshold, min_words, parts), _INDEX)
     met = cut(index.repartitionById(parts, F.col("part")).mapInArrow(_meet(threshold), _PAIR).distinct())
 
-    members = rows.mapInArrow(_identify(min_words), "bag bigint, fold bigint, id bigint, doc string")
+    # read four times below: made once
+    members = cut(rows.mapInArrow(_identify(min_words), "bag bigint, fold bigint, id bigint, doc string"))
     classes = met.select(F.col("bag_a").alias("bag"), F.col("fold_a").alias("fold")).union(met.select("bag_b", "fold_b")).distinct()
     small = met.count() <= broadcast_rows
     sized = lambda df: F.broadcast(df) if small else df
