@@ -301,8 +301,8 @@ def near_pairs(
     """
     if not 0 < threshold <= 1 or min_words < 1:
         raise ValueError("threshold must be in (0, 1] and min_words at least 1")
-    spark = texts.sparkSession
-    parts = parallelism(spark)
+    # a partition of the index is held in memory: some 4 million entries, a hundred per text
+    parts = max(parallelism(texts.sparkSession), -(-texts.count() // 40_000))
     rows = texts.select(F.col(id_col).cast("bigint").alias("id"), F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where("id is not null and doc is not null and text is not null")
     index = rows.select("text").mapInArrow(_index(threshold, min_words, parts), _INDEX)
     met = cut(index.repartitionById(parts, F.col("part")).mapInArrow(_meet(threshold), _PAIR).distinct())
