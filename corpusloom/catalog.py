@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.observe import step
 from corpusloom.operators import answers, chunks, context, lines, rerank, sections, segments, store, vectors
 from corpusloom.plugins import Embedding, HashedWords, LanguageModel, NoReranker, Reranker
-from corpusloom.session import cut
+from corpusloom.session import cut, ship
 from corpusloom.sources.lake import Lake
 
 log = logging.getLogger("corpusloom.knowledge_base")
@@ -40,6 +40,7 @@ class KnowledgeBase:
         model: LanguageModel | None = None,
         exists_ok: bool = True,
     ):
+        ship(spark)
         self.spark, self.kb_id, self.lake = spark, kb_id, Lake(spark, f"{root.rstrip('/')}/{kb_id}")
         config = self.lake.load_json("config.json")
         if config is None:

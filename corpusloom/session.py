@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once per application: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    place = tempfile.mkdtemp(prefix="corpusloom-")  # the driver serves the archive from here while it runs
+    atexit.register(shutil.rmtree, place, ignore_errors=True)
+    copy = Path(place, "copy", _PACKAGE.name)
+    shutil.copytree(_PACKAGE, copy, ignore=shutil.ignore_patterns("__pycache__", "*.new"))
+    sc.addPyFile(shutil.make_archive(str(Path(place, _PACKAGE.name)), "zip", copy.parent))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
