@@ -36,7 +36,7 @@ _NUMBER, _WORDS = re.compile(r"\d[\d.,]*"), re.compile(r"[^\W_]+(?:[ '’-][^\W\
 FUNCTION_WORDS = frozenset(
     "the of and to in is was were are that which by with as at for from it its this these not but if so an a on be has had have while where unless despite within under through after before when they he she we you i or no "
     "der die das den dem des und von vom zu zum zur im ist sind waren nicht auch sich mit auf für bei nach aus an am wie ein eine einen einem einer nur sondern wegen ohne über seit dass weil dabei um bis oder wird wurden haben hat "
-    "le la les des du de et un une est sont dans sur par pour avec sans aux au que qui ne pas mais aussi non comme selon l d n ont été à ainsi lors depuis après chez ou ce cette "
+    "le la les des du de et un une est sont dans sur par pour avec sans aux au que qui mais aussi non comme selon l d n ont été à ainsi lors depuis après chez ou ce cette "
     "el los las del y una son fue para con sin sobre no sino también según se lo su desde hasta entre así tras o es este esta".split()
 )
 FEATURES = (
@@ -83,9 +83,10 @@ def features(text: str) -> list[float] | None:
         tag += tagged
         told = 0
         if 2 * linked < size and 2 * tagged < size:
-            for w in held:
-                if len(w) >= 4 and sum(map(known, w)) >= max(1, 0.12 * len(w)) and len(set(w)) >= 0.5 * min(len(w), 24):
-                    told += len(w)
+            for part, w in zip(parts, held):
+                n = len(w)
+                if n >= 4 and sum(map(known, w)) >= max(1, 0.12 * n) and part.count(",") <= 0.34 * n:
+                    told += n if len(set(w)) >= 0.5 * min(n, 100) else 0  # keywords repeat themselves
         sentence += told
         rest = size - told
         if rest:
@@ -100,7 +101,8 @@ def features(text: str) -> list[float] | None:
     often = Counter(shapes)
     uniform = sum(rest for (_, _, rest), x in zip(unsaid, shapes) if often[x] >= 3)
     counts = Counter(every)
-    top = sum(c for _, c in counts.most_common(5) if c > 2)
+    # the most frequent words that are no function words: prose has many of them, each a few times
+    top = sum(sorted((c for w, c in counts.items() if c > 2 and w not in FUNCTION_WORDS), reverse=True)[:5])
     per = 1 / n
     return [
         math.log1p(n), sentence * per, link * per, tag * per, uniform * per, table * per, reference * per, listed * per,
@@ -118,8 +120,9 @@ def weak_label(x: np.ndarray) -> np.ndarray:
     at = lambda name: x[:, F_[name]]
     prose = at("sentence_share") + at("table_share") + at("reference_share")
     kind = (at("link_share") > 0.35) | (at("tag_share") > 0.3) | (at("uniform_share") > 0.35) | (at("top_rate") > 0.3) | (at("function_rate") < 0.08)
-    spam = (at("list_share") > 0.6) & (at("sentence_share") < 0.35) & kind & (at("log_words") > np.log(15))
-    ham = (prose > 0.7) | (at("sentence_share") > 0.6) | (at("log_words") < np.log(8))
+    long = at("log_words") > np.log(25)
+    spam = (at("list_share") > 0.6) & (at("sentence_share") < 0.35) & kind & (at("log_words") > np.log(15)) | (at("top_rate") > 0.42) & long
+    ham = ((prose > 0.7) | (at("sentence_share") > 0.6)) & ((at("top_rate") < 0.36) | ~long) | (at("log_words") < np.log(8))
     return np.where(spam, 1, np.where(ham, 0, -1))
 
 

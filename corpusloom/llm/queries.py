@@ -54,9 +54,20 @@ QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4
 
 _EMPTY = ", ".join("'" + x.replace("'", "''") + "'" for x in ("", *PLACEHOLDERS))
 
+# p1: overlaps by counting the common occurrences of words
 # p2: a piece per step of the recursion
 # p7: every run of 12 words of a field against every run of 12 words of the documents
 SQL = {
+    "p1_found": r"""
+with w as (
+  select chunk_uid, doc_id, list_filter(regexp_split_to_array(lower(chunk_text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws
+  from chunk_store where chunk_text is not null and doc_id is not null),
+n as (select chunk_uid, doc_id, len(ws) as n, ws from w where len(ws) >= 20),
+t as (select chunk_uid, word, row_number() over (partition by chunk_uid, word) as k from (select chunk_uid, unnest(ws) as word from n)),
+b as (select a.chunk_uid as lo, b.chunk_uid as hi, count(*) as common from t a join t b on a.word = b.word and a.k = b.k and a.chunk_uid < b.chunk_uid group by 1, 2)
+select lo as uid_lo, hi as uid_hi from b join n x on x.chunk_uid = lo join n y on y.chunk_uid = hi
+where x.doc_id <> y.doc_id and 5 * common >= 4 * (x.n + y.n - common)
+""",
     "p7_found": r"""
 with w as (
   select doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') as ws
