@@ -308,6 +308,21 @@ walk as (
     order by round(p.value, 9) desc, p.first, p.last limit 1) c on not list_contains(w.retired, w.q)
   where w.used < 30 + 5 * (w.nq - 1) and len(w.retired) < w.nq),
 picks as (select batch_id, cast(row_number() over (partition by batch_id order by step) - 1 as integer) as pick, query_id, a as position_start, b as position_end, value as score from walk where a is not null)"""
+
+
+def _preset(name: str) -> str:
+    """Picks and chunks of every batch under a preset."""
+    p = segments.PRESETS[name]
+    sql = _GREEDY
+    for old, new in (
+        ("where rank < 10 group", f"where rank < {p['top_k_for_document_selection']} group"), ("cast(30 as double)", f"cast({p['decay_rate']} as double)"), ("cast(0.18 as double)", f"cast({p['irrelevant_chunk_penalty']} as double)"),
+        ("a.position + 15", f"a.position + {p['max_length']}"), ("p.value >= 0.5", f"p.value >= {p['minimum_value']}"), ("30 + 5 *", f"{p['overall_max_length']} + {p['overall_max_length_extension']} *"),
+    ):
+        assert old in sql
+        sql = sql.replace(old, new)
+    return f"select * from (with recursive {sql} select batch_id, count(*) as picks, cast(sum(position_end - position_start) as bigint) as chunks, '{name}' as preset from picks group by 1)"
+
+
 _SEGMENTS = """
 seg as (select distinct s.doc_id || ':' || s.kb_id || ':' || s.chunk_start || ':' || s.chunk_end as segment_id, s.doc_id, s.chunk_start, s.chunk_end from (
   select unnest(from_json(relevant_segments, '[{"doc_id":"VARCHAR","kb_id":"VARCHAR","chunk_start":"INTEGER","chunk_end":"INTEGER"}]')) as s from interactions where json_valid(relevant_segments))
@@ -351,6 +366,11 @@ SQL = {
     "rse_07_first_pick": f"with {_CANDIDATES} select batch_id, query_id, doc_id, first, last, round(value, 6) as value from cands where value >= 0.5 qualify row_number() over (partition by batch_id, query_id order by round(value, 9) desc, first, last) = 1",
     "rse_08_greedy": f"with recursive {_GREEDY} select batch_id, pick, query_id, position_start, position_end, round(score, 6) as score from picks",
     "rse_10_segments": f"with recursive {_GREEDY} select p.batch_id, p.pick, p.query_id, m.doc_id, p.position_start - m.doc_start as chunk_start, p.position_end - m.doc_start as chunk_end, round(p.score, 6) as score from picks p join meta m on m.batch_id = p.batch_id and p.position_start >= m.doc_start and p.position_start < m.doc_split",
+    "rse_09_presets": " union all ".join(map(_preset, segments.PRESETS)),
+    "qry_01_query": f"""with recursive {_GREEDY},
+hits as materialized (select p.batch_id, p.pick, p.score, (m.doc_id * 10 + p.position_start - m.doc_start) as a, (m.doc_id * 10 + p.position_end - m.doc_start) as b
+  from picks p join meta m on m.batch_id = p.batch_id and p.position_start >= m.doc_start and p.position_start < m.doc_split)
+select batch_id, pick, round(max(score), 6) as score, max(b - a) as chunks, count(e.label) as stored from hits left join embeddings e on e.vec_id >= a and e.vec_id < b group by 1, 2""",
     "qry_02_segment_text": f"with {_SEGMENTS} select segment_id, {_text_sql()} as content from heads",
     "qry_03_page_span": f"with {_SEGMENTS} select segment_id, segment_page_start, segment_page_end from heads",
     "qry_04_page_images": f"with {_SEGMENTS}, {_IMAGES} select segment_id, images, images is null as has_text from heads left join shown using (segment_id)",

@@ -143,6 +143,12 @@ def _lookup_sql(columns: str) -> str:
     return f"with {_CUR}, {_REQ} select doc_id, chunk_index, {columns} from req left join cur using (doc_id, chunk_index)"
 
 
+def _retriever_sql() -> str:
+    from corpusloom.plans.search import _SEGMENTS, _text_sql
+
+    return f"with {_SEGMENTS} select {_text_sql()} as page_content, h.doc_id, s.chunk_start, s.chunk_end from heads h join seg s using (segment_id)"
+
+
 _TEXT = "\\x{09}-\\x{0D}\\x{1C}-\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
@@ -168,6 +174,7 @@ from f join (select kb_id, doc_id, count(*) as chunk_count, string_agg(coalesce(
     "snk_01_chunk_sink": f"with {_CUR} select kb_id, count(*) as chunks, cast(sum(chunk_uid) as bigint) as uids from cur group by 1",
     "snk_02_vector_upsert": "select doc_id, chunk_index, case when v % 2 = 1 then v + 1000000 else v end as vec_id from (select doc_id, chunk_index, max(vec_id) as v from chunk_vectors group by 1, 2)",
     "snk_03_configs": "select kb_id, title, description, language, chunk_size, supp_id, created_on from knowledge_bases",
+    "snk_04_retriever": _retriever_sql(),
     "kbo_03_add_documents": """select kb_id, cast(doc_id as varchar) as doc_id, case when (kb_id, cast(doc_id as varchar)) in (select kb_id, doc_id from chunk_store) then 'exists' when text is null then 'no text' else 'added' end as reason from documents""",
     "kbo_04_delete": """select * from (select doc_id, count(*) as chunks from chunk_store where doc_id <> 'central-operations-handbook.md' group by 1)
 full join (select doc_id, count(*) as vectors from chunk_vectors where doc_id is distinct from 'central-operations-handbook.md' group by 1) using (doc_id)""",
