@@ -141,6 +141,16 @@ def identities(sizes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mix(np.add.reduceat(bits, starts) + sizes.astype(np.uint64)), folded
 
 
+def classes_of(bag: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (bag, fold) and the place of each row among them."""
+    some, first, member = np.unique(bag, return_index=True, return_inverse=True)
+    if (fold[first][member] == fold).all():
+        return some, fold[first], member
+    # two bags of one hash
+    pairs, member = np.unique(np.stack([bag, fold], axis=1), axis=0, return_inverse=True)
+    return pairs[:, 0].copy(), pairs[:, 1].copy(), member.reshape(-1)
+
+
 def _index(threshold: float, min_words: int, parts: int):
     """Texts -> packed index entries, one record per target partition and input batch."""
 
@@ -151,9 +161,9 @@ def _index(threshold: float, min_words: int, parts: int):
                 continue
             bag, fold = identities(sizes, bits)
             # copies inside the batch enter once
-            _, first = np.unique(np.stack([bag, fold]), axis=1, return_index=True)
+            member = classes_of(bag, fold)[2]
             keep = np.zeros(len(sizes), bool)
-            keep[first] = True
+            keep[np.unique(member, return_index=True)[1]] = True
             bits, sizes, bag, fold = bits[np.repeat(keep, sizes)], sizes[keep], bag[keep], fold[keep]
             found = list(segment_keys(sizes, bits, threshold))
             row = np.concatenate([x[0] for x in found]).astype(np.int32)
@@ -191,11 +201,10 @@ def meeting_pairs(key, member, whole, size, fold, bag, threshold: float) -> Iter
     Large key groups are worked off in blocks of about _STEP pairs: memory stays
     bounded, nothing is left out.
     """
-    order = np.lexsort((member, ~whole, key))
-    key, member, whole = key[order], member[order], whole[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (member[1:] != member[:-1]) | (whole[1:] != whole[:-1])
-    key, member, whole = key[new], member[new], whole[new]
+    # key, whole entries first, member: one number each, so one plain sort
+    entry = np.sort(key.astype(np.uint64) << np.uint64(32) | (~whole).astype(np.uint64) << np.uint64(31) | member.astype(np.uint64))
+    entry = entry[np.concatenate([[True], entry[1:] != entry[:-1]])] if len(entry) else entry
+    key, whole, member = (entry >> np.uint64(32)).astype(np.uint32), entry & np.uint64(1 << 31) == 0, (entry & np.uint64((1 << 31) - 1)).astype(np.int64)
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     count = np.diff(np.append(head, len(key)))
     wholes = np.add.reduceat(whole.astype(np.int64), head) if len(head) else count
@@ -235,11 +244,9 @@ def _meet(threshold: float):
             return
         take = lambda k, t: np.frombuffer(b"".join(blobs.pop(k)), t)
         bag, fold, size, count, key = take("bag", np.uint64), take("fold", np.uint64), take("size", np.uint32), take("count", np.uint32), take("key", np.uint32)
-        ident, member = np.unique(np.stack([bag, fold], axis=1), axis=0, return_inverse=True)
-        member = member.reshape(-1)
-        sizes = np.zeros(len(ident), np.uint32)
+        bag, fold, member = classes_of(bag, fold)
+        sizes = np.zeros(len(bag), np.uint32)
         sizes[member] = size
-        bag, fold = ident[:, 0].copy(), ident[:, 1].copy()
         member = np.repeat(member.astype(np.int32), count)
         known = np.zeros(0, np.uint64)
         for x, y in meeting_pairs(key, member, np.concatenate(whole), sizes, fold, bag, threshold):
