@@ -49,7 +49,7 @@ def _texts(spark, d):
 
 
 def _pages(spark, d):
-    rows = table(spark, d, "chunk_store").where("chunk_page_start is not null and chunk_page_start % 4 <> 0 and chunk_text is not null")
+    rows = table(spark, d, "chunk_store").where("chunk_page_start is not null and chunk_text is not null")
     return rows.groupBy("doc_id", F.col("chunk_page_start").alias("page_number")).agg(F.max("chunk_text").alias("content"))
 
 
@@ -123,7 +123,7 @@ def cht_18_threads(spark, d):
 
 
 def cht_19(spark, d):
-    texts = table(spark, d, "chunk_store").where("chunk_index < 3 and chunk_text is not null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_uid", "chunk_text"))), lambda x: x["chunk_text"]).alias("t"))
+    texts = table(spark, d, "chunk_store").where("chunk_text is not null").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_uid", "chunk_text"))), lambda x: x["chunk_text"]).alias("t"))
     return texts.select("doc_id", chat.knowledge_text(F.col("t")).alias("knowledge"))
 
 
@@ -174,7 +174,7 @@ select thread_id, count(*) as messages, cast(sum(tokens) as bigint) as tokens fr
     "cht_08_source_index": f"with {_SEG} select message_id, source_index, doc_id, kb_id, chunk_start, chunk_end from src",
     "cht_09_context": f"""with {_SEG},
 held as (select doc_id, chunk_index, max(chunk_page_start) as a, max(chunk_page_end) as b, max(chunk_text) as content from chunk_store group by 1, 2),
-pages as (select doc_id, chunk_page_start as page_number, max(chunk_text) as content from chunk_store where chunk_page_start is not null and chunk_page_start % 4 <> 0 and chunk_text is not null group by 1, 2),
+pages as (select doc_id, chunk_page_start as page_number, max(chunk_text) as content from chunk_store where chunk_page_start is not null and chunk_text is not null group by 1, 2),
 t as (select s.*, f.a, l.b, f.content from src s left join held f on f.doc_id = s.doc_id and f.chunk_index = s.chunk_start left join held l on l.doc_id = s.doc_id and l.chunk_index + 1 = s.chunk_end),
 w as (select message_id, source_index, doc_id, unnest(range(a, b + 1)) as page_number from t where a <= b),
 paged as (select message_id, source_index, string_agg('<page_' || page_number || '>' || chr(10) || p.content || chr(10) || '</page_' || page_number || '>', chr(10) order by page_number) as body from w join pages p using (doc_id, page_number) group by 1, 2),
@@ -193,5 +193,5 @@ select thread_id, message_id, arg_max(model_response_status, received_at) filter
 arg_max(model_response_timestamp, received_at) filter (where model_response_timestamp is not null) as model_response_timestamp from r group by 1, 2""",
     "cht_18_threads": """with t as (select thread_id, max(supp_id) as supp_id, max(system_message) as system_message, max(model) as model from chat_threads group by 1), c as (select distinct thread_id, true as hit from interactions where thread_id is not null)
 select thread_id, supp_id, case when hit then 'changed' else system_message end as system_message, model from t full join c using (thread_id)""",
-    "cht_19_knowledge": "select doc_id, regexp_replace(string_agg(chunk_text, chr(10) || chr(10) order by chunk_index, chunk_uid), '^[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g') as knowledge from chunk_store where chunk_index < 3 and chunk_text is not null group by 1",
+    "cht_19_knowledge": "select doc_id, regexp_replace(string_agg(chunk_text, chr(10) || chr(10) order by chunk_index, chunk_uid), '^[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g') as knowledge from chunk_store where chunk_text is not null group by 1",
 }

@@ -206,8 +206,8 @@ def _chunks(spark, d):
 
 
 def _images(spark, d):
-    """An image for every page from the first to the last of the stored chunks, but for every fifth page."""
-    rows = table(spark, d, "chunk_store").where("chunk_page_start is not null").select("doc_id", F.col("chunk_page_start").alias("page_number")).distinct().where("page_number % 5 <> 0")
+    """An image for every page on which a stored chunk begins; other pages have none."""
+    rows = table(spark, d, "chunk_store").where("chunk_page_start is not null").select("doc_id", F.col("chunk_page_start").alias("page_number")).distinct()
     return rows.withColumn("path", F.concat(F.lit("/images/"), "doc_id", F.lit("/page_"), F.col("page_number").cast("string"), F.lit(".jpg")))
 
 
@@ -334,7 +334,7 @@ heads as (select segment_id, doc_id, string_agg(coalesce(chunk_text, ''), '' ord
   max(case when chunk_index = chunk_start then chunk_page_start end) as segment_page_start, max(case when chunk_index = chunk_end - 1 then chunk_page_end end) as segment_page_end,
   coalesce(bool_or(is_visual), false) as any_visual from parts group by 1, 2)"""
 _IMAGES = """
-images as (select distinct doc_id, chunk_page_start as page_number, '/images/' || doc_id || '/page_' || chunk_page_start || '.jpg' as path from chunk_store where chunk_page_start is not null and chunk_page_start % 5 <> 0),
+images as (select distinct doc_id, chunk_page_start as page_number, '/images/' || doc_id || '/page_' || chunk_page_start || '.jpg' as path from chunk_store where chunk_page_start is not null),
 shown as (select segment_id, string_agg(path, ',' order by page_number) as images from (select segment_id, doc_id, unnest(range(segment_page_start, segment_page_end + 1)) as page_number from heads where segment_page_start <= segment_page_end) join images using (doc_id, page_number) group by 1)"""
 
 

@@ -56,8 +56,8 @@ def cdb_10(spark, d):
 
 
 def cdb_11(spark, d):
-    """Rows of an older schema beside new ones: the columns that are missing are null."""
-    old = _store(spark, d).where("chunk_page_start is null").drop("metadata", "supp_id")
+    """Rows of an older schema: the columns that are missing are null."""
+    old = _store(spark, d).drop("metadata", "supp_id")
     return store.conformed(old).select("kb_id", "doc_id", "chunk_index", "chunk_uid", "metadata", "supp_id")
 
 
@@ -78,12 +78,12 @@ def snk_01(spark, d):
 
 
 def snk_02(spark, d):
-    """Vectors put in place of those with the same document and chunk: the last half over the whole table."""
-    rows = table(spark, d, "chunk_vectors").groupBy("doc_id", "chunk_index").agg(F.max("vec_id").alias("vec_id"))
-    half = rows.where("vec_id % 2 = 1").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    """New vectors for all chunks without a header, put in place of those with the same document and chunk."""
+    rows = table(spark, d, "chunk_vectors").groupBy("doc_id", "chunk_index").agg(F.max("vec_id").alias("vec_id"), F.max("chunk_header").alias("chunk_header"))
+    new = rows.where("coalesce(chunk_header, '') = ''").withColumn("vec_id", F.col("vec_id") + 1_000_000)
     lake = _scratch(spark)
     lake.replace("vectors", rows)
-    lake.replace("vectors", store.upserted(lake.read("vectors"), half, ["doc_id", "chunk_index"]))
+    lake.replace("vectors", store.upserted(lake.read("vectors"), new, ["doc_id", "chunk_index"]))
     return lake.read("vectors").select("doc_id", "chunk_index", "vec_id")
 
 
@@ -169,10 +169,10 @@ from f join (select kb_id, doc_id, count(*) as chunk_count, string_agg(coalesce(
     "cdb_08_document_ids": "select distinct kb_id, doc_id from chunk_store where supp_id = 'supp0'",
     "cdb_09_document_count": "select kb_id, count(distinct doc_id) as documents from chunk_store group by 1",
     "cdb_10_characters": "select kb_id, cast(coalesce(sum(chunk_length), 0) as bigint) as characters from chunk_store group by 1",
-    "cdb_11_schema": "select kb_id, doc_id, chunk_index, chunk_uid, cast(null as varchar) as metadata, cast(null as varchar) as supp_id from chunk_store where chunk_page_start is null",
+    "cdb_11_schema": "select kb_id, doc_id, chunk_index, chunk_uid, cast(null as varchar) as metadata, cast(null as varchar) as supp_id from chunk_store",
     "cdb_13_blanks": "select chunk_uid, " + ", ".join(_blank(c) for c in ("document_title", "section_title", "section_summary", "supp_id")) + " from chunk_store",
     "snk_01_chunk_sink": f"with {_CUR} select kb_id, count(*) as chunks, cast(sum(chunk_uid) as bigint) as uids from cur group by 1",
-    "snk_02_vector_upsert": "select doc_id, chunk_index, case when v % 2 = 1 then v + 1000000 else v end as vec_id from (select doc_id, chunk_index, max(vec_id) as v from chunk_vectors group by 1, 2)",
+    "snk_02_vector_upsert": "select doc_id, chunk_index, case when coalesce(h, '') = '' then v + 1000000 else v end as vec_id from (select doc_id, chunk_index, max(vec_id) as v, max(chunk_header) as h from chunk_vectors group by 1, 2)",
     "snk_03_configs": "select kb_id, title, description, language, chunk_size, supp_id, created_on from knowledge_bases",
     "snk_04_retriever": _retriever_sql(),
     "kbo_03_add_documents": """select kb_id, cast(doc_id as varchar) as doc_id, case when (kb_id, cast(doc_id as varchar)) in (select kb_id, doc_id from chunk_store) then 'exists' when text is null then 'no text' else 'added' end as reason from documents""",
