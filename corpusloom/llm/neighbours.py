@@ -15,6 +15,9 @@
 Equal vectors: of more than k + 1 equal ones only the k + 1 smallest ids are
 indexed; the others have the neighbours of the (k + 1)-th, which are by
 definition the same.  A vector that holds a third of all rows costs k + 1 rows.
+Vectors of one direction but other lengths are one node of a graph.  They stay
+rows of their own: seen from elsewhere their cosines can differ in the ninth
+decimal, so all members of a found direction are compared exactly.
 """
 
 from __future__ import annotations
@@ -137,29 +140,104 @@ def _route(router: Router, shards: np.ndarray, dim: int):
     return run
 
 
+_SAME = 3.2e-5  # vectors whose cosine is 1.0 at 9 decimals are nearer to each other than this
+_ALIKE = 1e-10
+
+
+def _exact(raw: np.ndarray) -> np.ndarray:
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _axes(dim: int) -> np.ndarray:
+    """Two directions: on none of them are vectors farther apart than they are."""
+    x = np.random.default_rng(13).normal(size=(dim, 2))
+    return x / np.linalg.norm(x, axis=0)
+
+
+def directions(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each class, class of each row): every row has cosine 1.0, at 9 decimals, to the first row of its class."""
+    block = np.zeros(len(exact), np.int64)
+    for p in (exact @ _axes(exact.shape[1])).T:
+        order = np.lexsort((p, block))
+        apart = (block[order][1:] != block[order][:-1]) | (np.diff(p[order]) > _SAME)
+        block[order] = np.concatenate([[0], np.cumsum(apart)])
+    lead = np.full(len(exact), -1, np.int64)
+    left = np.argsort(block, kind="stable")
+    while len(left):  # the first row left of each block leads a class
+        head = np.concatenate([[True], block[left][1:] != block[left][:-1]])
+        first = left[head][np.cumsum(head) - 1]
+        hit = (first == left) | (np.round(np.einsum("ij,ij->i", exact[left], exact[first]), 9) >= 1)
+        lead[left[hit]] = first[hit]
+        left = left[~hit]
+    rep, group = np.unique(lead, return_inverse=True)
+    return rep, group.ravel()
+
+
 class Shard:
-    """The graph over the distinct vectors of one shard, and the ids behind each."""
+    """The graph over the distinct directions of one shard, and the ids behind each."""
 
     def __init__(self, ids: np.ndarray, raw: np.ndarray, k: int):
         ids, first = np.unique(ids, return_index=True)  # a repeated id counts once
         raw = raw[first]
-        self.k, self.ids, self.raw = k, ids, raw
-        _, rep, group = np.unique(raw.view(np.dtype((np.void, raw.shape[1] * 4))).ravel(), return_index=True, return_inverse=True)
-        group = group.ravel()
+        self.k, self.ids, self.raw, self.exact = k, ids, raw, _exact(raw)
+        rep, group = directions(self.exact)
         place = np.argsort(group, kind="stable")
-        head = np.flatnonzero(np.concatenate([[True], group[place][1:] != group[place][:-1]]))
-        size = np.diff(np.append(head, len(place)))
+        size = np.bincount(group)
+        head = np.cumsum(size) - size
         rank = np.arange(len(place)) - np.repeat(head, size)
-        keep = rank <= k  # place is in order of id: the k + 1 smallest ids of equal vectors are enough
-        self.members = np.full((len(rep), min(k + 1, int(size.max()))), -1, np.int64)
-        self.members[group[place][keep], rank[keep]] = place[keep]
+        few = np.repeat(size <= k + 1, size)
+        self.members = np.full((len(rep), k + 1), -1, np.int64)
+        self.members[group[place][few], rank[few]] = place[few]
+        self.many = {int(g): place[head[g] : head[g] + size[g]] for g in np.flatnonzero(size > k + 1)}  # in order of id
         self.graph = Graph(unit(raw[rep]), degree=10, beam=max(12, k + 7), entries=max(384, len(rep) // 4), step=3)  # rows of other shards enter by the entries alone
         self.node = np.empty(len(rep), np.int64)
-        self.node[self.graph.order] = np.arange(len(rep))  # distinct vector -> node
+        self.node[self.graph.order] = np.arange(len(rep))  # direction -> node
         self.group = group
-        whole = raw.astype(np.float64)
-        whole /= np.abs(whole).max(axis=1, keepdims=True)
-        self.exact = whole / np.linalg.norm(whole, axis=1, keepdims=True)
+        self.lead = self.exact[rep]
+        # within 1.42e-5 of a common vector, any two have cosine 1.0 at 9 decimals: among themselves the smallest ids are the nearest
+        self.alike = {g: bool((self.exact[m] @ self.lead[g] >= 1 - _ALIKE).all()) for g, m in self.many.items()}
+        self.axis = _axes(raw.shape[1])[:, 0]
+        self.along = self.lead @ self.axis
+        self.sorted = np.argsort(self.along)
+        self.along = self.along[self.sorted]
+
+    def _same(self, exact: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """found and, in further columns, the other directions that may hold vectors of cosine 1.0: the graph's beam need not hold all of them."""
+        p = exact @ self.axis
+        low, high = np.searchsorted(self.along, p - 2 * _SAME), np.searchsorted(self.along, p + 2 * _SAME)
+        lines = np.arange(len(p))
+        for step in range(int((high - low).max())):
+            lines = lines[low[lines] + step < high[lines]]
+            g = self.sorted[low[lines] + step]
+            hit = (np.einsum("ij,ij->i", exact[lines], self.lead[g]) > 1 - 2.1e-9) & ~(found[lines] == g[:, None]).any(1)
+            if hit.any():
+                more = np.full((len(p), 1), -1, found.dtype)
+                more[lines[hit], 0] = g[hit]
+                found = np.concatenate([found, more], axis=1)
+        return found
+
+    def _crowds(self, ids: np.ndarray, exact: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, cosines) of the best k members, if any, of the found directions with more than k + 1.
+
+        All members are compared, but for queries of the very direction, to which the k + 1 smallest ids are the nearest.
+        """
+        best, cosine = np.full((len(ids), self.k), -1, np.int64), np.full((len(ids), self.k), -9.0)
+        for g in map(int, np.intersect1d(found, list(self.many))):
+            lines = np.flatnonzero((found == g).any(1))
+            alike = (exact[lines] @ self.lead[g] >= 1 - _ALIKE) & self.alike[g]
+            for lines, members in ((lines[alike], self.many[g][: self.k + 1]), (lines[~alike], self.many[g])):
+                for i in range(0, len(lines), 256):
+                    at = lines[i : i + 256]
+                    place = np.concatenate([best[at], np.tile(members, (len(at), 1))], axis=1)
+                    value = np.concatenate([cosine[at], np.round(exact[at] @ self.exact[members].T, 9)], axis=1)
+                    value[(place < 0) | (self.ids[place] == ids[at][:, None])] = -9
+                    # ids are sorted, so the order of places is that of ids
+                    order = np.lexsort((place, -value), axis=1)[:, : self.k]
+                    best[at], cosine[at] = np.take_along_axis(place, order, 1), np.take_along_axis(value, order, 1)
+        best[cosine == -9] = -1
+        return best, cosine
 
     def near(self, ids: np.ndarray, raw: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(ids, neighbour ids, cosines) of queries, chunk by chunk; 0 similarity slots are padded with id -1."""
@@ -174,11 +252,13 @@ class Shard:
                 found = np.where(nodes >= 0, self.graph.order[nodes], -1)[:, : self.k + 4]
                 if own is not None:
                     found = np.concatenate([self.group[at[rows]][:, None], found], axis=1)
+                exact = _exact(raw[rows])
+                found = self._same(exact, found)
                 place = np.where(found[:, :, None] >= 0, self.members[found], -1).reshape(len(rows), -1)
-                exact = raw[rows].astype(np.float64)
-                exact /= np.abs(exact).max(axis=1, keepdims=True)
-                exact /= np.linalg.norm(exact, axis=1, keepdims=True)
                 cosine = np.round(np.matmul(self.exact[place], exact[:, :, None])[:, :, 0], 9)
+                if self.many:
+                    crowd, value = self._crowds(ids[rows], exact, found)
+                    place, cosine = np.concatenate([place, crowd], axis=1), np.concatenate([cosine, value], axis=1)
                 other = self.ids[place]
                 no = (place < 0) | (other == ids[rows][:, None])
                 cosine[no] = -9

@@ -62,6 +62,21 @@ def test_equal_vectors_and_ties(spark):
     assert all(a < b for a, b in pairs)
 
 
+def test_one_direction_of_many_lengths(spark):
+    rng = np.random.default_rng(9)
+    hot = rng.normal(size=64)
+    lengths = np.concatenate([np.ones(150), rng.uniform(0.2, 30, 120)])
+    around = hot + 0.02 * rng.normal(size=(60, 64))
+    x = np.concatenate([hot * lengths[:, None], around, clustered(rng, 300)]).astype(np.float32)
+    ids = rng.permutation(5000)[: len(x)]
+    want = brute(ids, x)
+    for shard_rows in (8192, 150):
+        got = {r.vec_id: [n.other for n in r.near] for r in m.nearest(frame(spark, ids, x), shard_rows=shard_rows).collect()}
+        assert all(got[int(i)] == want[int(i)] for i in ids[: len(lengths)])
+        # the rows around choose among the lengths by the ninth decimal
+        assert sum(len(set(got[int(i)]) & set(want[int(i)])) for i in ids[len(lengths) : len(lengths) + 60]) >= 0.99 * 5 * 60
+
+
 def test_defined_cases(spark):
     rows = [
         (1, [1.0] * 64, "x"), (2, [0.5] * 64, None), (3, None, "x"), (4, [1.0] * 63, "x"), (5, [0.0] * 64, "x"), (6, [float("nan")] * 64, "x"), (7, [1.0] * 63 + [None], "x"),
