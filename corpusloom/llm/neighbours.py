@@ -1,7 +1,7 @@
 """The most similar vectors of every vector, by robust-pruned graphs over overlapping shards.
 
-1. Centres are fitted by spherical k-means to a bounded sample of the rows
-   (`sample_rows`, chosen by a hash of the id).  Only the centres come from the
+1. Centres are fitted by spherical k-means to the directions in a bounded sample of
+   the indexed rows (`sample_rows`, chosen by a hash of the id).  Only the centres come from the
    sample: every row is indexed and every row is a query.
 2. Each vector goes to the shard of its most similar centre and to those of up
    to three more whose similarity is within `margin` of it, so that vectors near
@@ -158,11 +158,23 @@ def _axes(dim: int) -> np.ndarray:
 
 def directions(exact: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first row of each class, class of each row): every row has cosine 1.0, at 9 decimals, to the first row of its class."""
-    block = np.zeros(len(exact), np.int64)
-    for p in (exact @ _axes(exact.shape[1])).T:
-        order = np.lexsort((p, block))
-        apart = (block[order][1:] != block[order][:-1]) | (np.diff(p[order]) > _SAME)
-        block[order] = np.concatenate([[0], np.cumsum(apart)])
+    # squares of the plane of two axes: equal vectors stand in one square or in two that touch
+    at = np.floor(exact @ _axes(exact.shape[1]) / _SAME).astype(np.int64)
+    square, block = np.unique(at[:, 0] * (1 << 32) + at[:, 1], return_inverse=True)
+    here, there = [], []
+    for off in (1, (1 << 32) - 1, 1 << 32, (1 << 32) + 1):
+        to = np.minimum(np.searchsorted(square, square + off), len(square) - 1)
+        touch = np.flatnonzero(square[to] == square + off)
+        here.append(touch)
+        there.append(to[touch])
+    a, b = np.concatenate(here), np.concatenate(there)
+    label, old = np.arange(len(square)), None
+    while old is None or (label != old).any():
+        old, label = label, label.copy()
+        np.minimum.at(label, a, old[b])
+        np.minimum.at(label, b, old[a])
+        label = label[label]
+    block = label[block.ravel()]
     lead = np.full(len(exact), -1, np.int64)
     left = np.argsort(block, kind="stable")
     while len(left):  # the first row left of each block leads a class
@@ -333,18 +345,6 @@ def nearest(
     total = vectors.count()
     out = "id bigint, near array<struct<away:double,other:bigint>>"
 
-    cells = int(min(MAX_CELLS, max(1, -(-total // cell_rows))))
-    wanted = min(sample_rows, 32 * cells)
-    share = min(1.0, wanted / max(1, total))
-    picked = rows if share == 1.0 else rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    column = picked.select("v").toArrow().column(0)
-    _, sample = usable(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.float32())), dim)
-    if not len(sample):  # too few rows for a hash to pick one
-        sample = np.eye(1, dim, dtype=np.float32)
-    router = Router(unit(sample), cells, margin, most_cells)
-    held = np.bincount(router.route(unit(sample))[1], minlength=router.cells) * (total / len(sample))
-    shards = np.maximum(1, np.ceil(held / shard_rows)).astype(np.int64)
-
     copies = cut(rows.groupBy(F.xxhash64("v").alias("key")).count().where(F.col("count") > k + 1))
     doubled = copies.count()
     kept, spare = rows, None
@@ -360,6 +360,20 @@ def nearest(
         marked = keyed.join(side, "key", "left")
         kept = marked.where("last is null or id <= last").select("id", "v")
         spare = marked.where("id > last").select("id", "last")
+        total = kept.count()  # centres and shards are those of the rows that are indexed
+
+    cells = int(min(MAX_CELLS, max(1, -(-total // cell_rows))))
+    wanted = min(sample_rows, 32 * cells)
+    share = min(1.0, wanted / max(1, total))
+    picked = kept if share == 1.0 else kept.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    column = picked.select("v").toArrow().column(0)
+    _, sample = usable(pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.list_(pa.float32())), dim)
+    if not len(sample):  # too few rows for a hash to pick one
+        sample = np.eye(1, dim, dtype=np.float32)
+    distinct, _ = directions(_exact(sample))  # equal centres would fill a row's places
+    router = Router(unit(sample[distinct]), cells, margin, most_cells)
+    held = np.bincount(router.route(unit(sample))[1], minlength=router.cells) * (total / len(sample))
+    shards = np.maximum(1, np.ceil(held / shard_rows)).astype(np.int64)
 
     routed = kept.mapInArrow(_route(router, shards, dim), "cell int, shard int, asks int, id bigint, vector binary")
     parts = max(parallelism(spark), min(20_000, router.cells // 64))

@@ -77,6 +77,34 @@ def test_one_direction_of_many_lengths(spark):
         assert sum(len(set(got[int(i)]) & set(want[int(i)])) for i in ids[len(lengths) : len(lengths) + 60]) >= 0.99 * 5 * 60
 
 
+def test_no_two_centres_are_one_hot_vector(spark, monkeypatch):
+    made = []
+
+    class Seen(m.Router):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    monkeypatch.setattr(m, "Router", Seen)
+    rng = np.random.default_rng(10)
+    hot = np.repeat(rng.normal(size=(1, 64)), 300, axis=0)
+    hot[:40] *= rng.uniform(0.2, 30, (40, 1))
+    x = np.concatenate([hot, clustered(rng, 600)]).astype(np.float32)
+    m.nearest(frame(spark, np.arange(len(x)), x), cell_rows=20)
+    centres = made[0].groups[0][1]
+    s = centres @ centres.T
+    np.fill_diagonal(s, -1)
+    assert len(centres) > 20 and s.max() < 1 - 1e-5
+
+
+def test_directions_of_dense_vectors():
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=64) + 0.003 * rng.normal(size=(5000, 64))
+    x = np.concatenate([x, x[:500] * rng.uniform(0.1, 10, (500, 1))]).astype(np.float32)
+    rep, group = m.directions(m._exact(x))
+    assert rep.tolist() == list(range(5000)) and (group[5000:] == np.arange(500)).all()
+
+
 def test_defined_cases(spark):
     rows = [
         (1, [1.0] * 64, "x"), (2, [0.5] * 64, None), (3, None, "x"), (4, [1.0] * 63, "x"), (5, [0.0] * 64, "x"), (6, [float("nan")] * 64, "x"), (7, [1.0] * 63 + [None], "x"),
