@@ -33,6 +33,7 @@ from corpusloom.llm.graph import Graph
 from corpusloom.session import cut, parallelism
 
 FLAT = 4096  # more centres than this are arranged in two levels
+GROUPS = 16  # of the upper level, in whose centres a row looks at least
 MAX_CELLS = 65_536
 _CHUNK = 2048
 
@@ -85,6 +86,8 @@ class Router:
                 own = centres_of(own, max(1, round(cells * len(own) / len(sample)))) if len(own) else self.top[g : g + 1]
                 self.groups.append((self.cells, own))
                 self.cells += len(own)
+            # the centres a row sees are about FLAT at least, as with one level, so that recall doesn't fall where the second begins
+            self.seen = min(len(self.top), max(GROUPS, -(-FLAT * len(self.top) // self.cells)))
 
     def route(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, cell) of all unit vectors."""
@@ -95,7 +98,7 @@ class Router:
                 found = [(np.arange(len(q)), 0)]
             else:
                 s = q @ self.top.T
-                first = np.argpartition(-s, min(self.most, s.shape[1]) - 1, axis=1)[:, : self.most]
+                first = np.argpartition(-s, self.seen - 1, axis=1)[:, : self.seen]
                 found = [(np.flatnonzero((first == g).any(axis=1)), g) for g in np.unique(first)]
             r, c, v = [], [], []
             for lines, g in found:

@@ -133,6 +133,15 @@ def test_router_with_two_levels_keeps_neighbours_together(monkeypatch):
     assert np.mean([bool(held[i] & held[j]) for i in range(2000) for j in near[i]]) > 0.9
 
 
+def test_two_levels_reach_the_most_similar_centre(monkeypatch):
+    monkeypatch.setattr(m, "FLAT", 8)
+    x = m.unit(np.random.default_rng(11).normal(size=(3000, 64)).astype(np.float32))
+    router = m.Router(x, 400, 0.05, 4)
+    row, cell = router.route(x)
+    best = (x @ np.concatenate([c for _, c in router.groups]).T).argmax(axis=1)
+    assert len(router.groups) == 20 and (cell == best[row]).sum() > 0.97 * len(x)
+
+
 def test_graph_finds_the_neighbours_of_its_nodes():
     rng = np.random.default_rng(7)
     for n in (1, 2, 7, 300, 900):
