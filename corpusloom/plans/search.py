@@ -102,11 +102,11 @@ def _questions(spark, d):
 
 
 def rrk_02(spark, d):
-    return rerank.by_scorer(_questions(spark, d), rerank.shared_words, "cohere").where("rank < 5").select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
+    return rerank.by_scorer(_questions(spark, d), rerank.shared_words, "cohere").select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def rrk_03(spark, d):
-    return rerank.by_scorer(_questions(spark, d), rerank.shared_words, "voyage").where("rank < 5").select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
+    return rerank.by_scorer(_questions(spark, d), rerank.shared_words, "voyage").select("query_id", "item_id", "rank", F.round("similarity", 6).alias("similarity"))
 
 
 def rrk_04(spark, d):

@@ -151,3 +151,10 @@ def test_parameters():
     for bad in ("best", {"length": 3}):
         with pytest.raises(ValueError):
             segments.parameters(bad)
+
+
+def test_reranked_lists_are_whole(spark, small):
+    from corpusloom.plans import search
+
+    for query in (search.rrk_02, search.rrk_03):
+        assert query(spark, small).count() == search._questions(spark, small).count()
