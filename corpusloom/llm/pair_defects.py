@@ -87,6 +87,7 @@ QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|
 LIST_ITEM = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])(?:\s+|$)(.*)$")
 URL_END = re.compile(r"(?:https?://|www\.)\S*[\w/]$")
 CITED_END = re.compile(r"\[\d+(?:\s*,\s*\d+)*\]$")
+LEAD_IN = re.compile(r"\s*(?:[^:：\n.!?]|[.!?](?!\s))*[:：\n]")
 CLOSERS = "\"'”’»)]}*_ \t\r\n"
 
 
@@ -137,6 +138,11 @@ def is_copy(prompt: str, response: str) -> bool:
     asked, said = tokens(prompt), tokens(response)
     if not asked or not said or len(said) < min(3, len(asked)):
         return False
+    # a lead-in of any length, if it is one clause up to a colon or line break
+    lead = LEAD_IN.match(response)
+    rest = tokens(response[lead.end() :]) if lead else []
+    if len(rest) >= min(3, len(asked)) and repeats(asked, rest, 0):
+        return True
     a, b = " ".join(asked), " ".join(said)
     if squeezed_size(a, b) > 24 + 0.35 * len(b):
         return False

@@ -86,3 +86,10 @@ def test_operator(spark):
     found = {r.message_id: r.defect for r in m.find_defects(table).collect()}
     assert found == {"b": "empty", "c": "empty", "d": "empty", "e": "empty", "g": "copy", "h": "truncated", "i": "empty", "j": "truncated"}
     assert m.find_defects(table.where("false")).collect() == []
+
+
+def test_copy_behind_a_long_lead_in():
+    asked = "Which rivers flow through the old town?"
+    assert m.is_copy(asked, "Sure, here is the answer to your question: " + asked)
+    assert m.is_copy("Why not?", "Here is what you wanted to know:\nWhy not?")
+    assert not m.is_copy(asked, "Sure, here is the answer to your question: the Elbe and the Saale do.")
