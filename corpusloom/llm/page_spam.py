@@ -47,7 +47,7 @@ FEATURES = (
 
 def shape(line: str) -> str:
     """What a line looks like, words and numbers apart: catalogue lines share one shape."""
-    return _WORDS.sub("w", _NUMBER.sub("9", line.strip()))[:60]
+    return _WORDS.sub("w", _NUMBER.sub("9", line.strip()))
 
 
 def features(text: str) -> list[float] | None:

@@ -83,3 +83,8 @@ def test_features_of_odd_pages():
     for text in ("x", "|||", "# # #", "a\x0bb", "[1] https://a.example", "日本語。テスト。"):
         v = m.features(text)
         assert v is None or (len(v) == len(m.FEATURES) and np.isfinite(v).all())
+
+
+def test_lines_that_differ_late_have_no_common_shape():
+    same = "one two - " * 12
+    assert m.shape(same + "| three") != m.shape(same + ": three")
