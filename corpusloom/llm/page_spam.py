@@ -122,8 +122,20 @@ def weak_label(x: np.ndarray) -> np.ndarray:
     kind = (at("link_share") > 0.35) | (at("tag_share") > 0.3) | (at("uniform_share") > 0.35) | (at("top_rate") > 0.3) | (at("function_rate") < 0.08)
     long = at("log_words") > np.log(25)
     spam = (at("list_share") > 0.6) & (at("sentence_share") < 0.35) & kind & (at("log_words") > np.log(15)) | (at("top_rate") > 0.42) & long
-    ham = ((prose > 0.7) | (at("sentence_share") > 0.6)) & ((at("top_rate") < 0.36) | ~long) | (at("log_words") < np.log(8))
-    return np.where(spam, 1, np.where(ham, 0, -1))
+    ham = ((prose > 0.7) | (at("sentence_share") > 0.6)) & ((at("top_rate") < 0.36) | ~long)
+    return np.where(brief(x), -1, np.where(spam, 1, np.where(ham, 0, -1)))
+
+
+def brief(x: np.ndarray) -> np.ndarray:
+    """Pages of too few words to learn from or to be judged by their sentences."""
+    return x[:, F_["log_words"]] < np.log(8)
+
+
+def brief_vote(x: np.ndarray) -> np.ndarray:
+    """1 for a page that is mostly links and tags or a list with a separator every few words."""
+    at = lambda name: x[:, F_[name]]
+    listed = (at("list_share") > 0.5) & (at("comma_rate") + at("bar_rate") >= 0.25)
+    return ((at("link_share") + at("tag_share") > 0.5) | listed).astype(float)
 
 
 class BaggedTrees:
@@ -199,10 +211,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
 
 
-def _votes(model: BaggedTrees):
+def _votes(model: BaggedTrees | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(model.vote(_matrix(batch.column(2))))], names=["doc_id", "host", "vote"])
+            x = _matrix(batch.column(2))
+            if model is None:
+                label = weak_label(x)
+                vote = np.where(label >= 0, label, x[:, F_["list_share"]])
+            else:
+                vote = model.vote(x)
+            vote = np.where(brief(x), brief_vote(x), vote).astype(float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vote)], names=["doc_id", "host", "vote"])
 
     return run
 
@@ -232,7 +251,7 @@ def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         voted = table.select("doc_id", "host", "x").mapInArrow(_votes(BaggedTrees(least=max(1, min(5, int(min(y.sum(), len(y) - y.sum())) // 4))).fit(x[order], y[order])), "doc_id bigint, host string, vote double")
     else:
         # too little to learn from: the share of listed words decides
-        voted = table.select("doc_id", "host", F.when(F.col("label") >= 0, F.col("label").cast("double")).otherwise(F.element_at("x", F_["list_share"] + 1).cast("double")).alias("vote"))
+        voted = table.select("doc_id", "host", "x").mapInArrow(_votes(None), "doc_id bigint, host string, vote double")
     logit = lambda p: F.log(p / (1 - p))
     inside = lambda p: F.greatest(F.lit(0.02), F.least(F.lit(0.98), p))
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)

@@ -88,3 +88,9 @@ def test_features_of_odd_pages():
 def test_lines_that_differ_late_have_no_common_shape():
     same = "one two - " * 12
     assert m.shape(same + "| three") != m.shape(same + ": three")
+
+
+def test_short_pages_follow_their_links_and_tags():
+    texts = ["#shoes #boots #hats #belts #bags", "[Cheap hotel rooms](http://a.example/b)", "The town lies on the river.", "Untitled"]
+    x = np.asarray([m.features(t) for t in texts], np.float32)
+    assert (m.weak_label(x) == -1).all() and m.brief_vote(x).tolist() == [1, 1, 0, 0]
