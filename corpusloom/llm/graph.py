@@ -1,140 +1,176 @@
 """A robust-pruned directed graph over unit vectors, built and searched in whole batches.
 
-Nodes are inserted block by block.  For each block a beam search on the graph so
-far proposes neighbours; relaxed pruning keeps a proposal only if no kept one is
-closer to it, by the factor `alpha`, than the node itself; edges are added both
-ways and overfull nodes are pruned again.  All queries of a block take their
-steps together, so every step is a few array operations.
+Nodes are inserted block by block.  For each, a greedy search from the medoid
+proposes neighbours: the beam it ends with and every node it passed.  Relaxed
+pruning keeps a proposal only if no kept one is closer to it, by the factor
+`alpha`, than the node itself; edges are added both ways, and overfull nodes are
+pruned again, in rounds until every back edge has been proposed.  All queries of
+a block take their steps together: a step expands the best open node of each
+beam.
+
+A beam is a sorted row of 64-bit numbers: squared distance, node, and whether
+the node has been expanded.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-_NONE = np.float32(-4.0)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_NODE = np.uint64(0x7FFFFFFF)
+_ONE, _HALF = np.uint64(1), np.uint64(32)
+_MARKS = 1 << 24  # marks of visited nodes held at once
+
+
+def _keys(x: np.ndarray, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """(squared distance, node, open) of the nodes of each query, as numbers in that order."""
+    near = np.matmul(x[nodes], q[:, :, None])[:, :, 0]
+    return np.maximum(2 - 2 * near, np.float32(0)).view(np.uint32).astype(np.uint64) << _HALF | nodes.astype(np.uint64) << _ONE
+
 
+def _nodes(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _ONE & _NODE).astype(np.int64)
 
-def _sims(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Similarity of each query to its row of ids; negative ids give less than any real one."""
-    out = np.matmul(x[ids], q[:, :, None])[:, :, 0]
-    out[ids < 0] = _NONE
-    return out
+
+def _distances(keys: np.ndarray) -> np.ndarray:
+    return (keys >> _HALF).astype(np.uint32).view(np.float32)
+
+
+def _unique(keys: np.ndarray) -> np.ndarray:
+    """Each row sorted, repeated keys gone, without the columns that are empty in all rows."""
+    keys.sort(axis=1)
+    keys[:, 1:][keys[:, 1:] == keys[:, :-1]] = _NONE
+    keys.sort(axis=1)
+    return keys[:, : int((keys != _NONE).sum(axis=1).max(initial=0))]
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 12, beam: int = 16, alpha: float = 1.2, entries: int = 256, step: int = 2, passes: int = 2, seed: int = 7):
-        """x: unit vectors, one row per node; passes: 2 lets every node propose again once all are in."""
-        self.degree, self.beam, self.alpha, self.step = degree, beam, alpha, step
+    def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 24, alpha: float = 1.2, wide: int = 32, proposals: int = 48, seed: int = 7):
+        """x: unit vectors, one row per node; wide: beam of the searches that propose."""
         n = len(x)
-        self.order = np.random.default_rng(seed).permutation(n)  # node -> row of the caller
-        self.x = np.ascontiguousarray(x[self.order])
-        self.edges = np.full((n, degree), -1, np.int32)
-        self.entries = min(n, entries)
-        first = np.arange(self.entries)
-        self._insert(first, *self._scan(self.x[: self.entries], min(self.beam, self.entries), first))
-        done = self.entries
+        self.n, self.degree, self.beam, self.alpha, self.wide, self.proposals = n, degree, beam, np.float32(alpha), wide, proposals
+        order = np.random.default_rng(seed).permutation(n)
+        medoid = int((x @ x.mean(axis=0)).argmax()) if n else 0
+        self.order = np.concatenate([order[order == medoid], order[order != medoid]])  # node -> row of the caller
+        self.x = np.concatenate([x[self.order], np.zeros((1, x.shape[1]), np.float32)])  # node n stands for none
+        self.edges = np.full((n + 1, degree), n, np.int32)
+        done = min(n, 2 * degree)  # the first block sees itself, later ones the graph so far
+        self._insert(np.arange(done), self._others(np.arange(done), np.tile(np.arange(done), (done, 1))))
         while done < n:
-            block = np.arange(done, min(n, max(2 * done, done + 64)))
-            self._insert(block, *self.search(self.x[block]))
+            block = np.arange(done, min(n, done + max(done // 2, 32)))
+            self._insert(block, self._proposed(block))
             done = block[-1] + 1
-        for _ in range(passes - 1):
-            for at in range(0, n, max(n // 2 + 1, 64)):
-                block = np.arange(at, min(n, at + max(n // 2 + 1, 64)))
-                self._insert(block, *self.search(self.x[block], block))
-
-    def _scan(self, q: np.ndarray, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The most similar entry nodes of each query."""
-        s = q @ self.x[: self.entries].T
-        if own is not None:
-            at = np.flatnonzero(own < self.entries)
-            s[at, own[at]] = _NONE
-        width = min(width, self.entries)
-        ids = np.argpartition(-s, width - 1, axis=1)[:, :width].astype(np.int32)
-        s = np.take_along_axis(s, ids, 1)
-        ids[s == _NONE] = -1
-        return ids, s
 
     def search(self, q: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(nodes, similarities) of the beam of each query, best first; own: its node, never found."""
-        ids, sims = self._scan(q, self.beam, own)
-        if short := self.beam - ids.shape[1]:  # fewer nodes than the beam is wide
-            ids = np.pad(ids, ((0, 0), (0, short)), constant_values=-1)
-            sims = np.pad(sims, ((0, 0), (0, short)), constant_values=_NONE)
-        if own is not None:  # a node's edges lead into its neighbourhood at once
-            ids, sims, _ = self._best(ids, sims, np.zeros(ids.shape, bool), self.edges[own], q, own)
-        seen = np.zeros(ids.shape, bool)
-        active = np.arange(len(q))
-        for _ in range(4 * self.beam):
-            rows = active
-            rank = np.where(seen[rows] | (ids[rows] < 0), np.float32(-9), sims[rows])
-            pick = np.argpartition(-rank, self.step - 1, axis=1)[:, : self.step] if rank.shape[1] > self.step else np.tile(np.arange(rank.shape[1]), (len(rows), 1))
-            open_ = np.take_along_axis(rank, pick, 1) > -9
-            go = open_.any(1)
-            if not go.any():
-                break
-            rows, pick, open_ = rows[go], pick[go], open_[go]
-            nodes = np.where(open_, ids[rows[:, None], pick], -1)
-            mark = seen[rows]
-            np.put_along_axis(mark, pick, True, 1)
-            new = np.where(nodes[:, :, None] >= 0, self.edges[nodes], -1).reshape(len(rows), -1)
-            ids[rows], sims[rows], seen[rows] = self._best(ids[rows], sims[rows], mark, new, q[rows], None if own is None else own[rows])
-            active = rows
-        order = np.argsort(-sims, axis=1, kind="stable")
-        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-
-    def _best(self, ids, sims, seen, new, q, own):
-        """The beam after new nodes have come in."""
-        new = np.sort(new, axis=1)
-        new[:, 1:][new[:, 1:] == new[:, :-1]] = -1
-        new[(new[:, :, None] == ids[:, None, :]).any(2)] = -1
-        if own is not None:
-            new[new == own[:, None]] = -1
-        got = _sims(self.x, new, q)
-        every, value = np.concatenate([ids, new], 1), np.concatenate([sims, got], 1)
-        flags = np.concatenate([seen, np.zeros(new.shape, bool)], 1)
-        width = ids.shape[1]
-        keep = np.argpartition(-value, width - 1, axis=1)[:, :width]
-        return np.take_along_axis(every, keep, 1), np.take_along_axis(value, keep, 1), np.take_along_axis(flags, keep, 1)
-
-    def _prune(self, node_x: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> np.ndarray:
-        """The edges kept of each node's proposals."""
-        order = np.argsort(-sims, axis=1)
-        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
-        own = np.maximum(2 - 2 * sims, 0)  # squared distances
+        """(nodes, squared distances) of the beam of each query, best first; node -1 where it holds fewer.
+
+        own: the query's node: it is never found, and the search sets out from its edges.  Other queries set out from the medoid.
+        """
+        found = [np.zeros((0, self.beam), np.uint64)]
+        for at in self._blocks(len(q)):
+            found.append(self._walk(q[at], None if own is None else own[at], self.beam))
+        keys = np.concatenate(found)
+        return np.where(keys == _NONE, -1, _nodes(keys)), _distances(keys)
+
+    def _blocks(self, count: int) -> list[slice]:
+        size = max(1, _MARKS // (self.n + 1))
+        return [slice(i, i + size) for i in range(0, count, size)]
+
+    def _walk(self, q: np.ndarray, own: np.ndarray | None, width: int, passed: list | None = None) -> np.ndarray:
+        """The beams of a block of queries; passed gets (queries, keys expanded) of each step."""
+        out = np.full((len(q), width), _NONE)
+        line = np.arange(len(q))  # the queries still on their way
+        seen = np.zeros((len(q), self.n + 1), bool)
+        seen[:, self.n] = True
+        nodes = np.zeros(len(q), np.int64) if own is None else own
+        seen[line, nodes] = True
+        beam = np.full((len(q), width), _NONE)
+        if own is None:
+            beam[:, 0] = _keys(self.x, q, nodes[:, None])[:, 0] | _ONE
+        seen = seen.ravel()
+        while True:
+            new = self.edges[nodes]
+            mark = line[:, None] * (self.n + 1) + new
+            keys = _keys(self.x, q, new)
+            keys[seen[mark]] = _NONE
+            seen[mark] = True
+            beam = np.concatenate([beam, keys], axis=1)
+            beam.sort(axis=1)
+            beam = beam[:, :width]
+            at = (beam & _ONE).argmin(axis=1)  # the best open one; what is _NONE counts as expanded
+            rows = np.arange(len(line))
+            going = beam[rows, at] & _ONE == 0
+            if not going.all():
+                out[line[~going]] = beam[~going]
+                beam, line, q, at = beam[going], line[going], q[going], at[going]
+                if not len(line):
+                    return out
+                rows = np.arange(len(line))
+            best = beam[rows, at]
+            nodes = _nodes(best)
+            beam[rows, at] |= _ONE
+            if passed is not None:
+                passed.append((line, best))
+
+    def _others(self, block: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """Keys of the nodes of each row but none and the row's own, best first."""
+        keys = _keys(self.x, self.x[block], nodes)
+        keys[(nodes == self.n) | (nodes == block[:, None])] = _NONE
+        return _unique(keys)
+
+    def _proposed(self, block: np.ndarray) -> np.ndarray:
+        """What greedy searches for the nodes of the block end with and pass, best first."""
+        out = np.full((len(block), self.proposals), _NONE)
+        for at in self._blocks(len(block)):
+            own, passed = block[at], []
+            found = self._walk(self.x[own], None, self.wide, passed)
+            keys = np.full((len(own), self.wide + len(passed) + 1), _NONE)
+            keys[:, : self.wide] = np.where(found == _NONE, _NONE, found & ~_ONE)
+            for step, (line, expanded) in enumerate(passed, self.wide):
+                keys[line, step] = expanded
+            keys[:, -1] = _keys(self.x, self.x[own], np.zeros((len(own), 1), np.int64))[:, 0]  # the medoid
+            keys[_nodes(keys) == own[:, None]] = _NONE
+            keys = _unique(keys)[:, : self.proposals]
+            out[at, : keys.shape[1]] = keys
+        return out
+
+    def _prune(self, keys: np.ndarray) -> np.ndarray:
+        """The edges kept of each node's proposals, given best first."""
+        alive = keys != _NONE
+        ids, own = np.where(alive, _nodes(keys), self.n), _distances(keys)
         near = self.x[ids]
-        mutual = np.maximum(2 - 2 * np.matmul(near, near.transpose(0, 2, 1)), 0)
-        alive = ids >= 0
-        out = np.full((len(ids), self.degree), -1, np.int32)
+        mutual = self.alpha**2 * np.maximum(2 - 2 * np.matmul(near, near.transpose(0, 2, 1)), 0)
+        out = np.full((len(ids), self.degree), self.n, np.int32)
         count = np.zeros(len(ids), np.int64)
-        lines = np.arange(len(ids))
         for j in range(ids.shape[1]):
-            take = alive[:, j] & (count < self.degree)
-            out[lines[take], count[take]] = ids[take, j]
-            count += take
-            alive &= ~(take[:, None] & (self.alpha**2 * mutual[:, j] <= own))
-            alive[:, j] = False
+            take = np.flatnonzero(alive[:, j] & (count < self.degree))
+            out[take, count[take]] = ids[take, j]
+            count[take] += 1
+            alive[take] &= mutual[take, j] > own[take]
         return out
 
-    def _insert(self, block: np.ndarray, ids: np.ndarray, sims: np.ndarray) -> None:
-        self.edges[block] = self._prune(self.x[block], ids, sims)
-        # back edges: node <- all of the block that chose it
+    def _insert(self, block: np.ndarray, keys: np.ndarray) -> None:
+        """Edges of the nodes of a block to the best of their proposals, and back."""
+        self.edges[block] = self._prune(keys)
         to = self.edges[block].ravel()
-        come = np.repeat(block.astype(np.int32), self.degree)
-        come, to = come[to >= 0], to[to >= 0]
-        if not len(to):
-            return
+        come = np.repeat(block, self.degree)[to < self.n]
+        to = to[to < self.n]
         order = np.argsort(to, kind="stable")
         to, come = to[order], come[order]
-        head = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-        width = np.diff(np.append(head, len(to)))
-        place = np.arange(len(to)) - np.repeat(head, width)
-        room = 2 * self.degree  # of many back edges the first ones are proposed
-        extra = np.full((len(head), room), -1, np.int32)
-        fits = place < room
-        extra[np.repeat(np.arange(len(head)), width)[fits], place[fits]] = come[fits]
-        nodes = to[head]
-        every = np.sort(np.concatenate([self.edges[nodes], extra], 1), axis=1)
-        every[:, 1:][every[:, 1:] == every[:, :-1]] = -1
-        most = int((every >= 0).sum(1).max())
-        every = -np.sort(-every, axis=1)[:, :most]
-        self.edges[nodes] = self._prune(self.x[nodes], every, _sims(self.x, every, self.x[nodes]))
+        nodes, head, line, width = np.unique(to, return_index=True, return_inverse=True, return_counts=True)
+        place = np.arange(len(to)) - head[line]
+        for first in range(0, int(width.max(initial=0)), self.degree):  # as many back edges as edges at a time, until all were proposed
+            now = (place >= first) & (place < first + self.degree)
+            some, at = np.unique(line[now], return_inverse=True)
+            every = np.full((len(some), 2 * self.degree), self.n, np.int64)
+            every[:, : self.degree] = self.edges[nodes[some]]
+            every[at, self.degree + place[now] - first] = come[now]
+            self._add(nodes[some], every)
+
+    def _add(self, nodes: np.ndarray, every: np.ndarray) -> None:
+        keys = self._others(nodes, every)
+        full = (keys != _NONE).sum(axis=1) > self.degree
+        few = keys[~full, : self.degree]
+        self.edges[nodes[~full], : few.shape[1]] = np.where(few == _NONE, self.n, _nodes(few))
+        if full.any():
+            self.edges[nodes[full]] = self._prune(keys[full])

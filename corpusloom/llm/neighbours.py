@@ -7,8 +7,8 @@
    to three more whose similarity is within `margin` of it, so that vectors near
    a border meet in at least one shard.
 3. A shard's rows form a robust-pruned directed graph (see graph.py); a beam
-   search from each row finds its neighbours, whose cosines are then computed
-   exactly.  A shard that the sample shows to be larger than `shard_rows` is
+   search from each row's own node finds its neighbours (rows that only ask set
+   out from the medoid), whose cosines are then computed exactly.  A shard that the sample shows to be larger than `shard_rows` is
    divided into several graphs, and its rows query each of them.
 4. The lists of a row's shards are merged.
 
@@ -120,7 +120,9 @@ class Router:
         return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(cells) if cells else np.zeros(0, np.int64)
 
 
-def _route(router: Router, shards: np.ndarray, dim: int):
+def _route(router: Router, shards: np.ndarray, dim: int, parts: int):
+    first = np.cumsum(shards) - shards
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, x = usable(batch.column(1), dim)
@@ -136,8 +138,8 @@ def _route(router: Router, shards: np.ndarray, dim: int):
             asks = (shard != own.astype(np.int64)[line]).astype(np.int32)
             vectors = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * dim), len(x), [None, pa.py_buffer(np.ascontiguousarray(x))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cell[line].astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(asks), pa.array(ids[row[line]]), vectors.take(pa.array(row[line]))],
-                names=["cell", "shard", "asks", "id", "vector"],
+                [pa.array(((first[cell[line]] + shard) % parts).astype(np.int32)), pa.array(cell[line].astype(np.int32)), pa.array(shard.astype(np.int32)), pa.array(asks), pa.array(ids[row[line]]), vectors.take(pa.array(row[line]))],
+                names=["part", "cell", "shard", "asks", "id", "vector"],
             )
 
     return run
@@ -206,7 +208,7 @@ class Shard:
         self.members = np.full((len(rep), k + 1), -1, np.int64)
         self.members[group[place][few], rank[few]] = place[few]
         self.many = {int(g): place[head[g] : head[g] + size[g]] for g in np.flatnonzero(size > k + 1)}  # in order of id
-        self.graph = Graph(unit(raw[rep]), degree=10, beam=max(12, k + 7), entries=max(384, len(rep) // 4), step=3)  # rows of other shards enter by the entries alone
+        self.graph = Graph(unit(raw[rep]), beam=max(24, k + 7))
         self.node = np.empty(len(rep), np.int64)
         self.node[self.graph.order] = np.arange(len(rep))  # direction -> node
         self.group = group
@@ -263,7 +265,7 @@ class Shard:
                 rows = part[i : i + _CHUNK]
                 q = unit(raw[rows])
                 own = self.node[self.group[at[rows]]] if inside[rows[0]] else None
-                nodes, _ = self.graph.search(q, own)
+                nodes, _ = self.graph.search(q, own)  # rows of other graphs set out from the medoid
                 found = np.where(nodes >= 0, self.graph.order[nodes], -1)[:, : self.k + 4]
                 if own is not None:
                     found = np.concatenate([self.group[at[rows]][:, None], found], axis=1)
@@ -305,8 +307,8 @@ def _search(dim: int, k: int):
                 yield from (_lists(*x) for x in shard.near(shard.ids, shard.raw))
 
         for batch in batches:
-            cell, part, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            raw = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(-1, dim)
+            cell, part, asks, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5))
+            raw = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.float32).reshape(-1, dim)
             edge = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1]), [True]]))
             for a, b in zip(edge[:-1], edge[1:]):
                 if (cell[a], part[a]) != key:
@@ -323,17 +325,29 @@ def _search(dim: int, k: int):
     return run
 
 
+_SALTS = 64
+
+
+def _looked_up(rows: DataFrame, few: DataFrame, key: str, how: str, broadcast: bool) -> DataFrame:
+    """rows joined to `few`, which has a row per key at most; a key of any share of the rows is spread over many tasks."""
+    if broadcast:
+        return rows.join(F.broadcast(few), key, how)
+    spread = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(spread, [key, "salt"], how).drop("salt")
+
+
 def nearest(
     vectors: DataFrame,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     dim: int = 64,
     k: int = 5,
-    cell_rows: int = 500,
-    margin: float = 0.05,
+    cell_rows: int = 4096,
+    margin: float = 0.06,
     most_cells: int = 4,
-    shard_rows: int = 8192,
+    shard_rows: int = 16_384,
     sample_rows: int = MAX_CELLS,
+    broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """(vec_id, near): up to k structs (away = -cosine rounded to 9 decimals, other = vec_id) of each usable vector, best first, ties to the smaller id.
 
@@ -342,6 +356,9 @@ def nearest(
     repeated id with equal vectors counts once; a table with fewer than k + 1
     usable vectors gives shorter lists; an empty table gives an empty result.
     Other columns are ignored.
+
+    broadcast_rows: of vectors with more than k + 1 copies, keys and lists are
+    sent to the tasks up to so many; more are joined by salted keys.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.col("id").isNotNull() & (F.size("v") == dim))
@@ -353,14 +370,12 @@ def nearest(
     kept, spare = rows, None
     if doubled:
         keyed = rows.withColumn("key", F.xxhash64("v"))
-        hot = F.broadcast(copies) if doubled <= 500_000 else copies
-        ranked = keyed.join(hot, "key", "left_semi").select("key", "id").distinct()
+        few = doubled <= broadcast_rows
+        ranked = _looked_up(keyed, copies.select("key"), "key", "left_semi", few).select("key", "id").distinct()
         # the limit on the rank is applied before the shuffle, so a hot vector sends few rows
         first = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("rank") <= k + 1)
-        border = first.groupBy("key").agg(F.max("id").alias("last"))
-        border = cut(border)
-        side = F.broadcast(border) if doubled <= 500_000 else border
-        marked = keyed.join(side, "key", "left")
+        border = cut(first.groupBy("key").agg(F.max("id").alias("last")))
+        marked = _looked_up(keyed, border, "key", "left", few)
         kept = marked.where("last is null or id <= last").select("id", "v")
         spare = marked.where("id > last").select("id", "last")
         total = kept.count()  # centres and shards are those of the rows that are indexed
@@ -378,13 +393,15 @@ def nearest(
     held = np.bincount(router.route(unit(sample))[1], minlength=router.cells) * (total / len(sample))
     shards = np.maximum(1, np.ceil(held / shard_rows)).astype(np.int64)
 
-    routed = kept.mapInArrow(_route(router, shards, dim), "cell int, shard int, asks int, id bigint, vector binary")
-    parts = max(parallelism(spark), min(20_000, router.cells // 64))
-    found = routed.repartition(parts, "cell", "shard").sortWithinPartitions("cell", "shard", "asks").mapInArrow(_search(dim, k), out)
+    # graphs are dealt out in turn: every task gets about as many
+    parts = max(parallelism(spark), int(shards.sum()) // 16)
+    routed = kept.mapInArrow(_route(router, shards, dim, parts), "part int, cell int, shard int, asks int, id bigint, vector binary")
+    found = routed.repartitionById(parts, F.col("part")).sortWithinPartitions("cell", "shard", "asks").mapInArrow(_search(dim, k), out)
     merged = found.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     if spare is not None:
         merged = cut(merged)
-        merged = merged.union(spare.join(merged.withColumnRenamed("id", "last"), "last").select("id", "near"))
+        lists = border.select("last").join(merged.withColumnRenamed("id", "last"), "last")
+        merged = merged.union(_looked_up(spare, lists, "last", "inner", few).select("id", "near"))
     return merged.select(F.col("id").alias("vec_id"), "near")
 
 
