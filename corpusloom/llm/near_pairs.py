@@ -13,7 +13,8 @@ than one bit.  So every text enters, per segment, the segment itself and every
 segment with one bit removed (the Hamming ball of radius one, seen from the
 side that holds the extra bit); two texts meet when a whole segment of one
 equals a whole or a one-bit-reduced segment of the other.  No qualifying pair
-can be missed.  All pairs that meet are then verified on their whole texts.
+can be missed.  Of all pairs that meet the complete distance is then verified,
+on the fingerprints of their whole texts.
 
 ``m`` must be the same for both texts of a pair but depends on the pair's total
 size, so a text is indexed at each level that one of its possible partners can
@@ -151,7 +152,59 @@ def classes_of(bag: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs[:, 0].copy(), pairs[:, 1].copy(), member.reshape(-1)
 
 
-def _index(threshold: float, min_words: int, parts: int):
+def spread_hot(row: np.ndarray, key: np.ndarray, whole: np.ndarray, bag: np.ndarray, hot: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries, those of hot keys dealt out over the squares of a grid.
+
+    A hot key becomes grid x grid keys.  A whole entry stands in all squares of
+    its line, any entry, whole ones as a plain one, in all squares of its column:
+    every whole entry still meets every entry of the key, in one of the squares.
+    """
+    at = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
+    hit = hot[at] == key if len(hot) else np.zeros(len(key), bool)
+    if not hit.any():
+        return row, key, whole
+    r, k, w, g = row[hit], key[hit], whole[hit], grid[at[hit]]
+    place = (mix(bag[r]) % g.astype(np.uint64)).astype(np.int64)
+    out = [(row[~hit], key[~hit], whole[~hit])]
+    for lines in (True, False):
+        some = np.flatnonzero(w) if lines else np.arange(len(r))
+        n = g[some]
+        line = np.repeat(some, n)
+        other = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
+        square = place[line] * g[line] + other if lines else other * g[line] + place[line]
+        out.append((r[line], mix(k[line] + (square.astype(np.uint64) + np.uint64(1)) * _SALT[2]), np.full(len(line), lines)))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+
+
+def _hot_keys(rows: DataFrame, total: int, threshold: float, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, size of their grid): keys that more than _HOT texts share, by a sample.
+
+    This only deals out work: a hot key that the sample doesn't show, or one
+    beyond the _MOST hottest, is worked off in one task.
+    """
+    share = max(4096 / max(1, total), 1 / 4096)
+    if total <= _HOT:  # no key can be hot
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    picked = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    share = min(1.0, share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, sizes, bits = bags(batch.column("text").to_pylist(), min_words)
+            bag, _ = identities(sizes, bits)
+            for row, key, _ in segment_keys(sizes, bits, threshold):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bag[row].view(np.int64))], names=["key", "bag"])
+
+    keys = picked.select("text").mapInArrow(run, "key bigint, bag bigint").distinct().groupBy("key").count().where(F.col("count") > share * _HOT).orderBy(F.desc("count"), "key").limit(_MOST).collect()
+    hot, size = np.asarray([k.key for k in keys], np.int64).view(np.uint64), np.asarray([k["count"] for k in keys], np.int64)
+    order = np.argsort(hot)
+    return hot[order], np.ceil(size[order] / share / _HOT).astype(np.int64)
+
+
+_HOT, _MOST = 32_768, 100_000
+
+
+def _index(threshold: float, min_words: int, parts: int, hot: np.ndarray, grid: np.ndarray):
     """Texts -> packed index entries, one record per target partition and input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,6 +222,7 @@ def _index(threshold: float, min_words: int, parts: int):
             row = np.concatenate([x[0] for x in found]).astype(np.int32)
             key = np.concatenate([x[1] for x in found])
             whole = np.concatenate([x[2] for x in found])
+            row, key, whole = spread_hot(row, key, whole, bag, hot, grid)
             part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
             order = np.lexsort((row, part))
             row, part, whole = row[order], part[order], whole[order]
@@ -248,13 +302,13 @@ def _meet(threshold: float):
         sizes = np.zeros(len(bag), np.uint32)
         sizes[member] = size
         member = np.repeat(member.astype(np.int32), count)
-        known = np.zeros(0, np.uint64)
         for x, y in meeting_pairs(key, member, np.concatenate(whole), sizes, fold, bag, threshold):
-            known = np.union1d(known, x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64))
-        x, y = (known >> np.uint64(32)).astype(np.int64), (known & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        for i in range(0, len(x), 100_000):
-            a, b = x[i : i + 100_000], y[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(v[j].view(np.int64)) for j in (a, b) for v in (bag, fold)], names=["bag_a", "fold_a", "bag_b", "fold_b"])
+            # once per block; what several blocks and partitions find is made one by the distinct that follows
+            pair = np.unique(x.astype(np.uint64) << np.uint64(32) | y.astype(np.uint64))
+            x, y = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            for i in range(0, len(x), 100_000):
+                a, b = x[i : i + 100_000], y[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(v[j].view(np.int64)) for j in (a, b) for v in (bag, fold)], names=["bag_a", "fold_a", "bag_b", "fold_b"])
 
     return run
 
@@ -265,16 +319,26 @@ def _identify(min_words: int):
             rows, sizes, bits = bags(batch.column("text").to_pylist(), min_words)
             bag, fold = identities(sizes, bits)
             taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(bag.view(np.int64)), pa.array(fold.view(np.int64)), taken.column("id"), taken.column("doc")], names=["bag", "fold", "id", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(bag.view(np.int64)), pa.array(fold.view(np.int64)), taken.column("id"), taken.column("doc"), taken.column("print")], names=["bag", "fold", "id", "doc", "print"])
 
     return run
 
 
 def _verify(threshold: float):
+    """Pairs whose complete fingerprints are near enough."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [overlap(words_of(a), words_of(b)) >= threshold - 1e-12 for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["bag_a", "fold_a", "bag_b", "fold_b"])
+            sides = [bags(batch.column(c).to_pylist(), 0) for c in ("text_a", "text_b")]
+            a, b = (x[1] for x in sides)
+            row = np.concatenate([np.repeat(np.arange(len(n)), n) for n in (a, b)])
+            bit = np.concatenate([x[2] for x in sides])
+            order = np.lexsort((bit, row))
+            row, bit = row[order], bit[order]
+            # a text holds no bit twice: two equal ones are one of each side
+            both = np.bincount(row[1:][(row[1:] == row[:-1]) & (bit[1:] == bit[:-1])], minlength=len(a))
+            good = both >= threshold * (a + b - both) - 1e-9
+            yield batch.filter(pa.array(good)).select(["bag_a", "fold_a", "bag_b", "fold_b"])
 
     return run
 
@@ -294,40 +358,52 @@ def near_pairs(
     text_col: str = "chunk_text",
     threshold: float = 0.8,
     min_words: int = 20,
-    broadcast_rows: int = 500_000,
+    block_rows: int = 4096,
 ) -> DataFrame:
     """All pairs (uid_lo, uid_hi) of rows of different documents whose bags of words overlap by `threshold` or more.
 
     Rows whose bags are equal form one class; classes, not rows, are indexed and
     compared, so a text stored any number of times costs what one row costs until
-    the pairs of rows are written.
+    the pairs of rows are written.  Pairs of rows of large classes are written in
+    blocks of block_rows x block_rows.
 
     Defined cases: rows with null id, document or text, and texts with fewer than
     `min_words` words (empty, blank) take part in no pair.  A repeated id counts
     once per pair.  An empty table gives an empty result.  Other columns are ignored.
     """
-    if not 0 < threshold <= 1 or min_words < 1:
-        raise ValueError("threshold must be in (0, 1] and min_words at least 1")
-    # a partition of the index is held in memory: some 4 million entries, a hundred per text
-    parts = max(parallelism(texts.sparkSession), -(-texts.count() // 40_000))
+    if not 0 < threshold <= 1 or min_words < 1 or block_rows < 1:
+        raise ValueError("threshold must be in (0, 1], min_words and block_rows at least 1")
     rows = texts.select(F.col(id_col).cast("bigint").alias("id"), F.col(doc_col).alias("doc"), F.col(text_col).alias("text")).where("id is not null and doc is not null and text is not null")
-    index = rows.select("text").mapInArrow(_index(threshold, min_words, parts), _INDEX)
+    total, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    # a partition of the index is held in memory: some 4 million entries, about one for 4 characters
+    parts = max(parallelism(texts.sparkSession), -(-chars // 16_000_000))
+    index = rows.select("text").mapInArrow(_index(threshold, min_words, parts, *_hot_keys(rows, total, threshold, min_words)), _INDEX)
     met = cut(index.repartitionById(parts, F.col("part")).mapInArrow(_meet(threshold), _PAIR).distinct())
 
-    # read four times below: made once
-    members = cut(rows.mapInArrow(_identify(min_words), "bag bigint, fold bigint, id bigint, doc string"))
-    classes = met.select(F.col("bag_a").alias("bag"), F.col("fold_a").alias("fold")).union(met.select("bag_b", "fold_b")).distinct()
-    small = met.count() <= broadcast_rows
-    sized = lambda df: F.broadcast(df) if small else df
+    # read several times below: made once
+    members = cut(rows.withColumn("print", F.xxhash64("text")).mapInArrow(_identify(min_words), "bag bigint, fold bigint, id bigint, doc string, print bigint"))
+    classes = members.groupBy("bag", "fold").agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct("id", "print")).alias("one"))
+    wanted = met.select(F.col("bag_a").alias("bag"), F.col("fold_a").alias("fold")).union(met.select("bag_b", "fold_b")).distinct()
     # one row of each class that met another brings the text for the exact check
-    chosen = members.join(sized(classes), ["bag", "fold"], "left_semi").groupBy("bag", "fold").agg(F.min("id").alias("id"))
-    text = rows.select("id", "text").join(sized(chosen), "id").groupBy("bag", "fold").agg(F.min("text").alias("text"))
+    chosen = classes.join(wanted, ["bag", "fold"]).select("bag", "fold", "one.id", "one.print")
+    text = rows.select("id", F.xxhash64("text").alias("print"), "text").join(chosen, ["id", "print"]).groupBy("bag", "fold").agg(F.min("text").alias("text"))
     side = lambda x: text.select(F.col("bag").alias(f"bag_{x}"), F.col("fold").alias(f"fold_{x}"), F.col("text").alias(f"text_{x}"))
     true = met.join(side("a"), ["bag_a", "fold_a"]).join(side("b"), ["bag_b", "fold_b"]).select("bag_a", "fold_a", "bag_b", "fold_b", "text_a", "text_b").mapInArrow(_verify(threshold), _PAIR)
 
-    of = lambda x: members.select(F.col("bag").alias(f"bag_{x}"), F.col("fold").alias(f"fold_{x}"), F.col("id").alias(f"id_{x}"), F.col("doc").alias(f"doc_{x}"))
-    unlike = true.join(of("a"), ["bag_a", "fold_a"]).join(of("b"), ["bag_b", "fold_b"]).select("id_a", "doc_a", "id_b", "doc_b")
-    alike = of("a").join(of("b"), (F.col("bag_a") == F.col("bag_b")) & (F.col("fold_a") == F.col("fold_b")) & (F.col("id_a") < F.col("id_b"))).select("id_a", "doc_a", "id_b", "doc_b")
+    # large classes are cut into blocks, so that no task writes all pairs of two of them
+    large = cut(classes.where(F.col("rows") > block_rows).select("bag", "fold", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")))
+    held = members.select("bag", "fold", "id", "doc").join(large, ["bag", "fold"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    of = lambda x: held.select(F.col("bag").alias(f"bag_{x}"), F.col("fold").alias(f"fold_{x}"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias(f"block_{x}"), F.col("id").alias(f"id_{x}"), F.col("doc").alias(f"doc_{x}"))
+    for x in "ab":
+        sized = large.select(F.col("bag").alias(f"bag_{x}"), F.col("fold").alias(f"fold_{x}"), "blocks")
+        true = true.join(sized, [f"bag_{x}", f"fold_{x}"], "left").withColumn(f"block_{x}", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+    unlike = true.join(of("a"), ["bag_a", "fold_a", "block_a"]).join(of("b"), ["bag_b", "fold_b", "block_b"]).select("id_a", "doc_a", "id_b", "doc_b")
+    # within a class: a row of block i meets those of block j in square (i, j)
+    several = held.join(classes.where("rows > 1").select("bag", "fold"), ["bag", "fold"], "left_semi")
+    own, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    lines = several.select("bag", "fold", own.alias("i"), every.alias("j"), F.col("id").alias("id_a"), F.col("doc").alias("doc_a"))
+    columns = several.select("bag", "fold", every.alias("i"), own.alias("j"), F.col("id").alias("id_b"), F.col("doc").alias("doc_b"))
+    alike = lines.join(columns, ["bag", "fold", "i", "j"]).where("id_a < id_b").select("id_a", "doc_a", "id_b", "doc_b")
     return (
         unlike.union(alike)
         .where("doc_a <> doc_b and id_a <> id_b")

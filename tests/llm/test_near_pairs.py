@@ -109,3 +109,39 @@ def test_large_groups_are_worked_off_in_blocks(monkeypatch):
     x, y = zip(*[(a, b) for a, b in m.meeting_pairs(np.zeros(n, np.uint32), np.arange(n), np.ones(n, bool), np.full(n, 30, np.uint32), np.zeros(n, np.uint64), np.arange(n, dtype=np.uint64), 0.8)])
     pairs = set(zip(np.concatenate(x).tolist(), np.concatenate(y).tolist()))
     assert pairs == {(i, j) for i in range(n) for j in range(i + 1, n)}
+
+
+def test_hot_keys_are_spread_and_lose_nothing(spark, monkeypatch):
+    rows = corpus(7)
+    monkeypatch.setattr(m, "_HOT", 1)
+    keys, grid = m._hot_keys(spark.createDataFrame([(r[0], r[2]) for r in rows], "id bigint, text string"), len(rows), 0.8, 20)
+    assert len(keys) > 100 and (keys[1:] > keys[:-1]).all() and set(grid.tolist()) >= {2, 3}
+    found = {tuple(r) for r in m.near_pairs(spark.createDataFrame(rows, SCHEMA), block_rows=2).collect()}
+    assert found == brute(rows)
+
+
+def test_every_whole_entry_meets_every_entry_of_a_hot_key():
+    rng = np.random.default_rng(1)
+    row = np.arange(60)
+    key = np.where(row < 40, 7, row).astype(np.uint64)
+    whole, bag = rng.random(60) < 0.4, rng.integers(0, 1 << 60, 60).astype(np.uint64)
+    r, k, w = m.spread_hot(row, key, whole, bag, np.asarray([7], np.uint64), np.asarray([3]))
+    meets = {(int(a), int(b)) for i, a in enumerate(r) if w[i] for j, b in enumerate(r) if k[i] == k[j] and a != b}
+    assert meets == {(i, j) for i in range(40) if whole[i] for j in range(40) if i != j}
+    assert len(set(k[r < 40].tolist())) == 9 and set(k[r >= 40].tolist()) == set(range(40, 60))
+    assert m.spread_hot(row, key, whole, bag, np.zeros(0, np.uint64), np.zeros(0, np.int64))[0] is row
+
+
+def test_large_classes_are_written_in_blocks(spark):
+    one, other = (" ".join(f"word{i}" for i in range(a, 32 + a)) for a in (0, 1))
+    rows = [(i, f"d{i % 3}", one if i % 2 else other, "x") for i in range(50)]
+    want = brute(rows)
+    for size in (1, 7, 4096):
+        found = m.near_pairs(spark.createDataFrame(rows, SCHEMA), block_rows=size).collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_repeated_ids_with_different_texts(spark):
+    one, other = (" ".join(f"{k}{i}" for i in range(25)) for k in "ab")
+    rows = [(1, "x", one, "x"), (1, "x", other, "x"), (2, "y", one + " more", "x"), (3, "z", other + " more", "x")]
+    assert {tuple(r) for r in m.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 2), (1, 3)}
