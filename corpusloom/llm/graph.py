@@ -19,13 +19,22 @@ import numpy as np
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NODE = np.uint64(0x7FFFFFFF)
 _ONE, _HALF = np.uint64(1), np.uint64(32)
-_MARKS = 1 << 24  # marks of visited nodes held at once
+_MARKS, _ROWS = 1 << 24, 512  # marks of visited nodes and queries held at once
 
 
-def _keys(x: np.ndarray, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """(squared distance, node, open) of the nodes of each query, as numbers in that order."""
-    near = np.matmul(x[nodes], q[:, :, None])[:, :, 0]
-    return np.maximum(2 - 2 * near, np.float32(0)).view(np.uint32).astype(np.uint64) << _HALF | nodes.astype(np.uint64) << _ONE
+class Gather:
+    """Rows of a matrix in memory that is used again and again: fresh memory costs more than the rows."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.room = x, np.empty((0, x.shape[1]), x.dtype)
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        """x[rows], valid until the next call."""
+        if rows.size > len(self.room):
+            self.room = np.empty((rows.size, self.x.shape[1]), self.x.dtype)
+        out = self.room[: rows.size]
+        self.x.take(rows.ravel(), axis=0, mode="wrap", out=out)  # wrap: negative rows count from the end
+        return out.reshape(*rows.shape, -1) if rows.size else np.zeros((*rows.shape, self.x.shape[1]), self.x.dtype)
 
 
 def _nodes(keys: np.ndarray) -> np.ndarray:
@@ -45,7 +54,7 @@ def _unique(keys: np.ndarray) -> np.ndarray:
 
 
 class Graph:
-    def __init__(self, x: np.ndarray, degree: int = 32, beam: int = 24, alpha: float = 1.2, wide: int = 32, proposals: int = 48, seed: int = 7):
+    def __init__(self, x: np.ndarray, degree: int = 24, beam: int = 24, alpha: float = 1.2, wide: int = 24, proposals: int = 32, seed: int = 7):
         """x: unit vectors, one row per node; wide: beam of the searches that propose."""
         n = len(x)
         self.n, self.degree, self.beam, self.alpha, self.wide, self.proposals = n, degree, beam, np.float32(alpha), wide, proposals
@@ -53,7 +62,8 @@ class Graph:
         medoid = int((x @ x.mean(axis=0)).argmax()) if n else 0
         self.order = np.concatenate([order[order == medoid], order[order != medoid]])  # node -> row of the caller
         self.x = np.concatenate([x[self.order], np.zeros((1, x.shape[1]), np.float32)])  # node n stands for none
-        self.edges = np.full((n + 1, degree), n, np.int32)
+        self.edges = np.full((n + 1, degree), n, np.int64)
+        self.rows, self.mutual = Gather(self.x), np.zeros(0, np.float32)
         done = min(n, 2 * degree)  # the first block sees itself, later ones the graph so far
         self._insert(np.arange(done), self._others(np.arange(done), np.tile(np.arange(done), (done, 1))))
         while done < n:
@@ -72,8 +82,15 @@ class Graph:
         keys = np.concatenate(found)
         return np.where(keys == _NONE, -1, _nodes(keys)), _distances(keys)
 
+    def _keys(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """(squared distance, node, open) of the nodes of each query, as numbers in that order."""
+        near = np.matmul(self.rows(nodes), q[:, :, None])[:, :, 0]
+        near *= -2
+        near += 2
+        return np.maximum(near, np.float32(0), out=near).view(np.uint32).astype(np.uint64) << _HALF | nodes.astype(np.uint64) << _ONE
+
     def _blocks(self, count: int) -> list[slice]:
-        size = max(1, _MARKS // (self.n + 1))
+        size = max(1, min(_ROWS, _MARKS // (self.n + 1)))
         return [slice(i, i + size) for i in range(0, count, size)]
 
     def _walk(self, q: np.ndarray, own: np.ndarray | None, width: int, passed: list | None = None) -> np.ndarray:
@@ -84,24 +101,23 @@ class Graph:
         seen[:, self.n] = True
         nodes = np.zeros(len(q), np.int64) if own is None else own
         seen[line, nodes] = True
-        beam = np.full((len(q), width), _NONE)
+        beam = np.full((len(q), width + self.degree), _NONE)  # the last columns take what comes in
         if own is None:
-            beam[:, 0] = _keys(self.x, q, nodes[:, None])[:, 0] | _ONE
+            beam[:, 0] = self._keys(q, nodes[:, None])[:, 0] | _ONE
         seen = seen.ravel()
         while True:
             new = self.edges[nodes]
             mark = line[:, None] * (self.n + 1) + new
-            keys = _keys(self.x, q, new)
+            keys = self._keys(q, new)
             keys[seen[mark]] = _NONE
             seen[mark] = True
-            beam = np.concatenate([beam, keys], axis=1)
+            beam[:, width:] = keys
             beam.sort(axis=1)
-            beam = beam[:, :width]
-            at = (beam & _ONE).argmin(axis=1)  # the best open one; what is _NONE counts as expanded
+            at = (beam[:, :width] & _ONE).argmin(axis=1)  # the best open one; what is _NONE counts as expanded
             rows = np.arange(len(line))
             going = beam[rows, at] & _ONE == 0
             if not going.all():
-                out[line[~going]] = beam[~going]
+                out[line[~going]] = beam[~going, :width]
                 beam, line, q, at = beam[going], line[going], q[going], at[going]
                 if not len(line):
                     return out
@@ -114,7 +130,11 @@ class Graph:
 
     def _others(self, block: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Keys of the nodes of each row but none and the row's own, best first."""
-        keys = _keys(self.x, self.x[block], nodes)
+        if len(block) > _ROWS:
+            parts = [self._others(block[i : i + _ROWS], nodes[i : i + _ROWS]) for i in range(0, len(block), _ROWS)]
+            most = max(k.shape[1] for k in parts)
+            return np.concatenate([np.pad(k, ((0, 0), (0, most - k.shape[1])), constant_values=_NONE) for k in parts])
+        keys = self._keys(self.x[block], nodes)
         keys[(nodes == self.n) | (nodes == block[:, None])] = _NONE
         return _unique(keys)
 
@@ -128,7 +148,7 @@ class Graph:
             keys[:, : self.wide] = np.where(found == _NONE, _NONE, found & ~_ONE)
             for step, (line, expanded) in enumerate(passed, self.wide):
                 keys[line, step] = expanded
-            keys[:, -1] = _keys(self.x, self.x[own], np.zeros((len(own), 1), np.int64))[:, 0]  # the medoid
+            keys[:, -1] = self._keys(self.x[own], np.zeros((len(own), 1), np.int64))[:, 0]  # the medoid
             keys[_nodes(keys) == own[:, None]] = _NONE
             keys = _unique(keys)[:, : self.proposals]
             out[at, : keys.shape[1]] = keys
@@ -136,11 +156,17 @@ class Graph:
 
     def _prune(self, keys: np.ndarray) -> np.ndarray:
         """The edges kept of each node's proposals, given best first."""
+        if len(keys) > _ROWS:
+            return np.concatenate([self._prune(keys[i : i + _ROWS]) for i in range(0, len(keys), _ROWS)])
         alive = keys != _NONE
         ids, own = np.where(alive, _nodes(keys), self.n), _distances(keys)
-        near = self.x[ids]
-        mutual = self.alpha**2 * np.maximum(2 - 2 * np.matmul(near, near.transpose(0, 2, 1)), 0)
-        out = np.full((len(ids), self.degree), self.n, np.int32)
+        near, size = self.rows(ids), ids.shape[1]
+        if ids.size * size > len(self.mutual):
+            self.mutual = np.empty(_ROWS * size * size, np.float32)
+        mutual = np.matmul(near, near.transpose(0, 2, 1), out=self.mutual[: ids.size * size].reshape(len(ids), size, size))
+        mutual -= 1
+        mutual *= -2 * self.alpha**2
+        out = np.full((len(ids), self.degree), self.n, np.int64)
         count = np.zeros(len(ids), np.int64)
         for j in range(ids.shape[1]):
             take = np.flatnonzero(alive[:, j] & (count < self.degree))

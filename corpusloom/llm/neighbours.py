@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.graph import Graph
+from corpusloom.llm.graph import Gather, Graph
 from corpusloom.session import cut, parallelism
 
 FLAT = 4096  # more centres than this are arranged in two levels
 GROUPS = 16  # of the upper level, in whose centres a row looks at least
 MAX_CELLS = 65_536
-_CHUNK = 2048
+_CHUNK, _QUERIES = 2048, 512
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -199,6 +199,7 @@ class Shard:
         ids, first = np.unique(ids, return_index=True)  # a repeated id counts once
         raw = raw[first]
         self.k, self.ids, self.raw, self.exact = k, ids, raw, _exact(raw)
+        self.gather = Gather(self.exact)
         rep, group = directions(self.exact)
         place = np.argsort(group, kind="stable")
         size = np.bincount(group)
@@ -261,8 +262,8 @@ class Shard:
         at = np.searchsorted(self.ids, ids)
         inside = self.ids[np.minimum(at, len(self.ids) - 1)] == ids
         for part in (np.flatnonzero(inside), np.flatnonzero(~inside)):
-            for i in range(0, len(part), _CHUNK):
-                rows = part[i : i + _CHUNK]
+            for i in range(0, len(part), _QUERIES):
+                rows = part[i : i + _QUERIES]
                 q = unit(raw[rows])
                 own = self.node[self.group[at[rows]]] if inside[rows[0]] else None
                 nodes, _ = self.graph.search(q, own)  # rows of other graphs set out from the medoid
@@ -272,7 +273,9 @@ class Shard:
                 exact = _exact(raw[rows])
                 found = self._same(exact, found)
                 place = np.where(found[:, :, None] >= 0, self.members[found], -1).reshape(len(rows), -1)
-                cosine = np.round(np.matmul(self.exact[place], exact[:, :, None])[:, :, 0], 9)
+                place = -np.sort(-place, axis=1)  # most directions have one member: those that are none go
+                place = place[:, : max(1, int((place >= 0).sum(axis=1).max()))]
+                cosine = np.round(np.matmul(self.gather(place), exact[:, :, None])[:, :, 0], 9)
                 if self.many:
                     crowd, value = self._crowds(ids[rows], exact, found)
                     place, cosine = np.concatenate([place, crowd], axis=1), np.concatenate([cosine, value], axis=1)
@@ -342,8 +345,8 @@ def nearest(
     vector_col: str = "embedding",
     dim: int = 64,
     k: int = 5,
-    cell_rows: int = 4096,
-    margin: float = 0.06,
+    cell_rows: int = 1500,
+    margin: float = 0.055,
     most_cells: int = 4,
     shard_rows: int = 16_384,
     sample_rows: int = MAX_CELLS,
