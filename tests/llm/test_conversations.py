@@ -3,6 +3,8 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pyarrow as pa
+
 from corpusloom.llm import conversations as m
 
 SCHEMA = "thread_id string, message_id string, user_input string, user_input_timestamp string, model_response string, model_response_status string, received_at timestamp, turn_no string"
@@ -45,8 +47,37 @@ def test_long_thread_is_numbered_over_partitions(spark):
     assert [x for x in found if x[0] == "long"] == [("long", i + 1, f"m{i:04d}") for i in range(900)] and len(found) == 950
 
 
-def test_automaton_and_empty(spark):
-    assert m.TRANSITIONS[m.AWAIT_USER, "said"] == m.AWAIT_ASSISTANT and all(m.TRANSITIONS[m.BROKEN, x] == m.BROKEN for x in ("said", "nothing"))
+def test_broken_turn_anywhere_in_a_thread_of_many_partitions(spark):
+    for at in (0, 450, 899):
+        rows = [row("long", f"m{i:04d}", str(1_700_000_000 + i), answer=None if i == at else "so.") for i in range(900)] + [row("a", "x", "1"), row("z", "y", "1")]
+        assert run(spark, rows, ["long", "a", "z"]) == [("a", 1, "x"), ("z", 1, "y")]
+
+
+def test_automaton_reads_roles_in_order():
+    said, answered = ("user", "said"), ("assistant", "said")
+    assert m.read(m.AWAIT_USER, (said, answered, said, answered)) == m.AWAIT_USER
+    assert m.read(m.AWAIT_USER, (said, answered, said)) == m.AWAIT_ASSISTANT  # a reply is missing at the end
+    for turns in ((answered,), (said, said), (said, None, said, answered), (said, answered, answered, said), (said, ("assistant", "nothing")), (("user", "nothing"), answered), (said, ("assistant", "unfinished"), said, answered)):
+        assert m.read(m.AWAIT_USER, turns) == m.BROKEN
+
+
+def test_functions_of_parts_compose_to_the_walk_over_all():
+    rng = random.Random(4)
+    for _ in range(50):
+        codes = [rng.choice((1, 1, 1, 0, 4, 9)) for _ in range(rng.randrange(1, 9))]
+        for split in range(len(codes) + 1):
+            state = m.AWAIT_USER
+            for part in (codes[:split], codes[split:]):
+                if part:
+                    batch = pa.RecordBatch.from_pydict({"thread_id": ["t"] * len(part), "message_id": ["m"] * len(part), "code": part})
+                    state = list(m._walk([batch]))[-1].column("after").to_pylist()[-1][state]
+            want = m.AWAIT_USER
+            for c in codes:
+                want = m.read(want, (m.USER_TURNS[c // 4], m.ASSISTANT_TURNS[c % 4]))
+            assert state == want
+
+
+def test_empty(spark):
     assert run(spark, [], []) == []
 
 
