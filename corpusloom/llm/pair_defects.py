@@ -1,9 +1,9 @@
 """Defective prompt and response pairs.
 
 * `empty`: decided in the JVM (see functions.text.says_nothing).
-* `copy`: the response is compressed with its prompt as the zstandard
-  dictionary; where that leaves little, the words are aligned: a lead-in, then
-  the prompt once or more, each time with at most one word dropped.
+* `copy`: the response, behind a lead-in, is compressed with its prompt as the
+  zstandard dictionary, and the prompt with the response: a copy is what leaves
+  next to nothing either way, in bytes and against the size without a dictionary.
 * `refusal`: every sentence is a refusal or a closing remark by the
   dictionaries below, and at least one is a refusal.
 * `truncated`: fences, brackets, list markers, dangling punctuation and
@@ -11,7 +11,7 @@
   model does: how often that kind of ending is the real end of a response, and
   how often it arises by cutting a response at a random word.  Both counts are
   taken over all responses of the table.
-* `language`: function words of prompt and response, quotations, links and code
+* `language`: scripts and function words of prompt and response, quotations, links and code
   left out; a prompt that names the language of the answer asked for it.
 
 A message gets the first label that holds, in the order empty, copy, refusal,
@@ -43,6 +43,19 @@ FUNCTION_WORDS = {
     "fr": "le la les des du et de un une est sont était dans sur par pour avec sans aux au que qui quoi comment pourquoi quand où quel quelle quels quelles ne pas plus mais aussi non seulement comme selon d l n qu c chez ont été je vous nous ils elles elle il ce cette ces oui donc après avant lors peux tu encore".split(),
     "es": "el la los las de del y en un una es son fue por para con sin sobre que qué cómo como por porqué cuándo dónde cuál cuáles se lo su sus no sino también más según sí al esta este estas estos hasta desde entre antes después tras así ya sólo solo cambiaron pudieron favor siguen tan".split(),
 }
+#: Words of further languages, none of them in the lists above.
+MORE_WORDS = {
+    "it": "della delle degli nel nella sono è che più anche questo questa perché gli alla dal dalla di il quale come mai stato stata".split(),
+    "pt": "não uma são também pelo pela foi ao isso você seu sua mais em os uns porque foram às".split(),
+    "nl": "het een van niet dat voor zijn ook maar worden naar door bij heeft wij niet deze welke hoe waarom wordt".split(),
+    "pl": "jest nie się na że jak dla są czy oraz przez który która które było".split(),
+    "sv": "och att är som på inte för med av ett den till har kan vilka hur".split(),
+}
+#: Letters of scripts that a language or a family of languages is known by.
+SCRIPTS = {
+    "cyrillic": r"[\u0400-\u052f]", "greek": r"[\u0370-\u03ff\u1f00-\u1fff]", "hebrew": r"[\u0590-\u05ff]", "arabic": r"[\u0600-\u06ff\u0750-\u077f]", "devanagari": r"[\u0900-\u097f]", "thai": r"[\u0e00-\u0e7f]",
+    "korean": r"[\u1100-\u11ff\uac00-\ud7af]", "japanese": r"[\u3040-\u30ff]", "han": r"[\u4e00-\u9fff\u3400-\u4dbf]",
+}
 LETTERS = {"de": "ßäöü", "fr": "çœèêàùâîôû", "es": "ñ¿¡óíúá"}
 #: Names of the languages, as prompts use them.
 LANGUAGE_NAMES = {
@@ -50,7 +63,10 @@ LANGUAGE_NAMES = {
     "de": r"german|deutsch\w*|allemand\w*|alem[aá]n\w*|tedesco",
     "fr": r"french|franz[oö]sisch\w*|fran[cç]ais\w*|franc[eé]s\w*|francese",
     "es": r"spanish|spanisch\w*|espagnol\w*|espa[nñ]ol\w*|castellano|spagnolo",
-}
+    "it": r"italian\w*|italienisch\w*|italien(?:ne)?", "pt": r"portugu\w*|portugiesisch\w*|portugais\w*", "nl": r"dutch|niederländisch\w*|néerlandais\w*|neerland[eé]s\w*|holand[eé]s", "pl": r"polish|polnisch\w*|polonais\w*|polaco", "sv": r"swedish|schwedisch\w*|suédois\w*|sueco",
+    "cyrillic": r"russian|russisch\w*|russe|ruso|ukrain\w*|bulgar\w*|serbian|cyrillic", "greek": r"greek|griechisch\w*|grec|griego", "hebrew": r"hebrew|hebräisch\w*|hébreu|hebreo", "arabic": r"arab\w*|persian|farsi|urdu", "devanagari": r"hindi|nepali|marathi|sanskrit", "thai": r"thai\w*|tailand\w*",
+    "korean": r"korean|koreanisch\w*|coréen\w*|coreano", "japanese": r"japan\w*|japonais\w*|japon[eé]s\w*", "han": r"chines\w*|mandarin|chinois\w*|chino|kanji|japan\w*",
+}
 ASKS_FOR = {k: re.compile(rf"\b(?:{v})\b", re.I) for k, v in LANGUAGE_NAMES.items()}
 
 REFUSAL = re.compile(
@@ -82,6 +98,34 @@ CLOSING = re.compile(
     """,
     re.I | re.X,
 )
+#: By language: who answers, the negation, what is declined.  A sentence that has all three declines.
+REFUSAL_MARKS = tuple(
+    tuple(re.compile(x, re.I) for x in marks)
+    for marks in (
+        (
+            r"\b(?:I|I['’](?:m|d|ll|ve)|we|my|me|an?\ AI|language\ model|assistant)\b",
+            r"\b(?:not|n['’]t|cannot|no|never|unable|decline|refuse|unwilling|uncomfortable|outside|beyond|against|avoid|refrain|abstain)\b|n['’]t\b",
+            r"\b(?:help\w*|assist\w*|answer\w*|respond\w*|repl(?:y|ies)|provid\w*|comment\w*|discuss\w*|talk\w*|speak\w*|shar(?:e|ing)|disclos\w*|reveal\w*|tell|say|advi[sc]e|opinions?|views?|engage|compl(?:y|ies)|fulfil\w*|this\ (?:request|question|topic|subject)|that\ (?:request|question|topic))\b",
+        ),
+        (
+            r"\b(?:ich|wir|mir|mich|uns|mein\w*|KI|sprachmodell|assistent)\b",
+            r"\b(?:nicht|kein\w*|nie|ablehn\w*|verweiger\w*|unmöglich|außerhalb|untersagt|verboten)\b",
+            r"\b(?:helf\w*|beantwort\w*|antwort\w*|weiterhelf\w*|äußer\w*|sagen|sprechen|reden|mitteil\w*|preisgeb\w*|auskunft|auskünfte|angaben|kommentier\w*|stellung|meinung\w*|anfrage|bitte\ nicht|nachkommen|unterstütz\w*|erörter\w*|thema|frage)\b",
+        ),
+        (
+            r"\b(?:je|j|nous|me|m|mon|ma|mes|une?\ IA|modèle|assistant)\b",
+            r"\b(?:ne|n|pas|aucune?|jamais|refus\w*|déclin\w*|impossible|interdit|hors|abstenir|abstiens)\b",
+            r"\b(?:aid\w*|répon\w*|fourn\w*|donn\w*|comment\w*|parl\w*|dire|partag\w*|divulgu\w*|discut\w*|avis|opinions?|demande|question|sujet|assist\w*|exprim\w*|prononc\w*)\b",
+        ),
+        (
+            r"\b(?:yo|me|mi|mis|nos|puedo|podemos|podré|tengo|debo|estoy|soy|quiero|prefiero|modelo|asistente|IA)\b",
+            r"\b(?:no|nunca|ningun\w*|ningún|rechaz\w*|declin\w*|imposible|prohibido|fuera|abstener\w*|niego)\b",
+            r"\b(?:ayud\w*|respond\w*|contest\w*|proporcion\w*|dar|comentar\w*|habl\w*|decir\w*|compart\w*|revel\w*|discut\w*|opin\w*|solicitud|petición|pregunta|tema|asist\w*|pronunci\w*|atender)\b",
+        ),
+    )
+)
+#: What leads from a declining clause to an answer.
+CONTRAST = re.compile(r"\b(?:but|however|though|although|yet|instead|aber|jedoch|doch|allerdings|sondern|mais|cependant|toutefois|néanmoins|pero|sin\ embargo|aunque|sino)\b", re.I)
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"”»)\]]*\s+")
 QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|\"[^\"]*\"|```.*?(?:```|$)|`[^`]*`|https?://\S+", re.S)
 LIST_ITEM = re.compile(r"^\s*(?:[-*•]|\d{1,3}[.)])(?:\s+|$)(.*)$")
@@ -98,72 +142,92 @@ def tokens(text: str) -> list[str]:
 # --- copies -----------------------------------------------------------------
 
 
-def squeezed_size(prompt: str, response: str) -> int:
-    """Bytes of the response, compressed with the prompt as the dictionary."""
-    given = zstandard.ZstdCompressionDict(prompt.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return len(zstandard.ZstdCompressor(level=1, dict_data=given, write_content_size=False, write_dict_id=False).compress(response.encode()))
+def squeezed_size(given: str, text: str, level: int = 19) -> int:
+    """Bytes of the text, compressed with `given` as the zstandard dictionary."""
+    content = given.encode("utf-8", "replace")
+    content *= -(-16 // max(1, len(content)))  # zstandard passes over shorter dictionaries
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_dict_id=False).compress(text.encode("utf-8", "replace")))
 
 
-def repeats(prompt: list[str], response: list[str], lead: int = 5) -> bool:
-    """Whether response is a lead-in of up to `lead` words and then only copies of the prompt, each at most one word short."""
-    n = len(prompt)
-    if not n or not response:
-        return False
-    if n < 3:
-        return len(response) % n == 0 and response == prompt * (len(response) // n)
-
-    def copies(at: int) -> bool:
-        ends = {at}
-        while ends:
-            nxt = set()
-            for i in ends:
-                for short in (0, 1, 2):  # a dropped word such as "sont-elles" is two runs of letters
-                    part = response[i : i + n - short]
-                    if len(part) < n - short:
-                        continue
-                    same = 0
-                    while same < len(part) and part[same] == prompt[same]:
-                        same += 1
-                    if part[same:] == prompt[same + short :]:
-                        nxt.add(i + n - short)
-            if len(response) in nxt:
-                return True
-            ends = nxt
-        return False
+def alone_size(text: str) -> int:
+    """Bytes of the text, compressed without a dictionary."""
+    return len(zstandard.ZstdCompressor(level=19, write_content_size=False).compress(text.encode("utf-8", "replace")))
 
-    return any(copies(at) for at in range(min(lead, max(0, len(response) - n + 2)) + 1))
 
+def gives_back(asked: str, said: str) -> bool:
+    """Whether each of the two texts, compressed with the other as its dictionary, leaves next to nothing.
 
-def is_copy(prompt: str, response: str) -> bool:
-    asked, said = tokens(prompt), tokens(response)
-    if not asked or not said or len(said) < min(3, len(asked)):
+    What is left is counted beyond what compressing `asked` with itself leaves,
+    in bytes and as a share of the text's size without a dictionary.  `said` may
+    hold a few bytes that `asked` does not; of `asked`, a word may be missing.
+    """
+    itself = squeezed_size(asked, asked)
+    more, missing = squeezed_size(asked, said) - itself, squeezed_size(said, asked) - itself
+    word = max(map(len, (w.encode("utf-8", "replace") for w in asked.split())))
+    return more <= min(MORE_BYTES, SHARE * alone_size(said)) and missing <= min(WORD_BYTES + word, SHARE * alone_size(asked))
+
+
+#: Bytes that a copy adds, at most; that a missing word costs beside its letters; the share of the whole that both may reach.
+#: On check_l what copies add and lack ends at 6 and 14 bytes, and for all other pairs the greater of the two begins at 24.
+MORE_BYTES, WORD_BYTES, SHARE = 15, 7, 0.4
+FIRST_QUESTION = re.compile(r"(?<=[?？])\s+")
+
+
+def is_copy(prompt: str, response: str, lead_words: int = 8) -> bool:
+    """Whether the response is the prompt, or its first question, again: after a lead-in or not, once or more often."""
+    asked, said = folded(prompt), folded(response)
+    if not asked or not said:
         return False
-    # a lead-in of any length, if it is one clause up to a colon or line break
+    first = folded(FIRST_QUESTION.split(prompt.strip(), maxsplit=1)[0])
+    texts = [asked, first] if 4 <= len(first) < len(asked) else [asked]
+    # a lead-in is a clause up to a colon or a line break, or a few words up to the first word asked
     lead = LEAD_IN.match(response)
-    rest = tokens(response[lead.end() :]) if lead else []
-    if len(rest) >= min(3, len(asked)) and repeats(asked, rest, 0):
-        return True
-    a, b = " ".join(asked), " ".join(said)
-    if squeezed_size(a, b) > 24 + 0.35 * len(b):
-        return False
-    if repeats(asked, said):
-        return True
-    first = re.split(r"(?<=[?？])\s+", prompt.strip(), maxsplit=1)[0]
-    return len(first) < len(prompt.strip()) and len(tokens(first)) >= 4 and repeats(tokens(first), said)
+    tails = [said, folded(response[lead.end() :]) if lead else []]
+    at = next((n for n, w in enumerate(said[: lead_words + 1]) if w == asked[0]), 0)
+    if at:
+        tails.append(said[at:])
+    for want in texts:
+        known = set(want)
+        for tail in tails:
+            if not tail or tail[-1] not in known:  # what follows the copy would be an answer
+                continue
+            if len(want) < 3 or len(tail) < 3:  # too little to be compressed
+                if len(tail) % len(want) == 0 and tail == want * (len(tail) // len(want)):
+                    return True
+                continue
+            a, b = " ".join(want), " ".join(tail)
+            if squeezed_size(a, b, 1) <= 40 + 0.35 * len(b) and gives_back(a, b):
+                return True
+    return False
+
+
+def folded(text: str) -> list[str]:
+    """Words without regard to case, also where it changes letters (ß and SS)."""
+    return WORD.findall(text.casefold())
 
 
 # --- refusals ---------------------------------------------------------------
 
 
+def refuses(sentence: str) -> bool:
+    """Whether a sentence declines: a listed phrase, or the one who answers, a negation and a verb of telling or helping in it."""
+    if REFUSAL.search(sentence):
+        return True
+    if len(tokens(sentence)) > 30 or any(c.isdigit() for c in sentence) or CONTRAST.search(sentence):
+        return False
+    return any(all(x.search(sentence) for x in marks) for marks in REFUSAL_MARKS)
+
+
 def is_refusal(prompt: str | None, response: str) -> bool:
-    if not REFUSAL.search(response):
+    sentences = [x for x in SENTENCE_END.split(response.strip()) if WORD.search(x)]
+    declined = [refuses(x) for x in sentences[:64]]
+    if not any(declined) or len(sentences) > 64:  # no refusal is that long
         return False
     asked = {w for w in tokens(prompt or "") if len(w) > 3}
-    for sentence in SENTENCE_END.split(response.strip()):
-        if REFUSAL.search(sentence) or not WORD.search(sentence):
-            continue
+    for sentence, no in zip(sentences, declined):
         w = tokens(sentence)
-        if CLOSING.search(sentence) and len(w) <= 16:
+        if no or CLOSING.search(sentence) and len(w) <= 16:
             continue
         # an unknown remark closes if it is short and tells nothing about what was asked
         if len(w) > 8 or any(c.isdigit() for c in sentence) or asked & set(w):
@@ -177,14 +241,33 @@ _OF_WORD: dict[str, list[str]] = {}
 for _lang, _list in FUNCTION_WORDS.items():
     for _w in set(_list):
         _OF_WORD.setdefault(_w, []).append(_lang)
+_MORE: dict[str, list[str]] = {}
+for _lang, _list in MORE_WORDS.items():
+    for _w in set(_list) - set(_OF_WORD):
+        _MORE.setdefault(_w, []).append(_lang)
+_SCRIPTS = {k: re.compile(v) for k, v in SCRIPTS.items()}
+_ABOVE_LATIN = re.compile(r"[\u0370-\u1fff\u3040-\ud7af]")
+
+
+def script_of(text: str) -> str | None:
+    """The script that stands for a language, where a third of the letters is of it; kana make a text with Han letters Japanese."""
+    if not _ABOVE_LATIN.search(text):
+        return None
+    letters = sum(map(str.isalpha, text))
+    count = {k: len(v.findall(text)) for k, v in _SCRIPTS.items()}
+    if count["japanese"]:
+        count["japanese"] += count.pop("han")
+    best = max(count, key=count.__getitem__)
+    return best if 3 * count[best] >= max(1, letters) else None
 
 
 def language_scores(text: str) -> dict[str, float]:
     """Function words of each language in the text, a word of several languages shared among them, plus half a word for its special letters."""
-    score = dict.fromkeys(FUNCTION_WORDS, 0.0)
+    score = dict.fromkeys((*FUNCTION_WORDS, *MORE_WORDS), 0.0)
     for w in tokens(text):
-        for lang in _OF_WORD.get(w, ()):
-            score[lang] += 1 / len(_OF_WORD[w])
+        for lists in (_OF_WORD, _MORE):
+            for lang in lists.get(w, ()):
+                score[lang] += 1 / len(lists[w])
     low = text.lower()
     for lang, letters in LETTERS.items():
         score[lang] += 0.5 * any(c in low for c in letters)
@@ -192,7 +275,9 @@ def language_scores(text: str) -> dict[str, float]:
 
 
 def language_of(text: str, least: float = 1.5, lead: float = 1.6) -> str | None:
-    """The language that clearly has the most function words, or none."""
+    """The language of the text's script, or the one that clearly has the most function words, or none."""
+    if script := script_of(text):
+        return script
     ranked = sorted(language_scores(text).items(), key=lambda x: -x[1])
     (lang, best), (_, second) = ranked[0], ranked[1]
     return lang if best >= least and best >= lead * second else None

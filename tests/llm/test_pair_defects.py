@@ -93,3 +93,93 @@ def test_copy_behind_a_long_lead_in():
     assert m.is_copy(asked, "Sure, here is the answer to your question: " + asked)
     assert m.is_copy("Why not?", "Here is what you wanted to know:\nWhy not?")
     assert not m.is_copy(asked, "Sure, here is the answer to your question: the Elbe and the Saale do.")
+
+
+@pytest.mark.parametrize(
+    "response",
+    [
+        "Sure, here is once more exactly what you have just asked me about: " + Q, "You wanted to know\n" + Q, "Your question was " + Q, Q.replace("Why", "Where"), Q.replace("the pump of ", ""),
+        Q.upper().replace("WHY", "  why"), (Q + "\n") * 5, "Wie groß ist die Straße von Braorlex?".upper(),
+    ],
+)
+def test_compression_decides_on_copies(response):
+    prompt = "Wie groß ist die Straße von Braorlex?" if "STRASSE" in response else Q
+    assert m.is_copy(prompt, response) and m.gives_back(" ".join(m.folded(prompt)), " ".join(m.folded(prompt)))
+
+
+@pytest.mark.parametrize("response", [Q + " Yes.", "Braorlex, October 2014", "The pump", "October 2014", "Why was the dividend of Braorlex raised in May 2009?", "why", "?"])
+def test_what_is_left_by_compression_is_no_copy(response):
+    assert not m.is_copy(Q, response)
+
+
+def test_prompts_too_short_to_compress():
+    assert m.is_copy("Why?", "why") and m.is_copy("Why so?", "Why so? Why so!") and not m.is_copy("Why?", "because") and not m.is_copy("", "why") and not m.is_copy("?", "why")
+
+
+#: Phrasings written after the dictionaries, which were not changed for them; three of them were known before (the first two and the first German one).
+UNSEEN_REFUSALS = """I don't feel comfortable talking about this.
+As an AI language model I do not have opinions on that.
+My instructions prevent me from answering that question, so no.
+I'd prefer to avoid discussing this subject.
+We are not in a position to comment on ongoing proceedings.
+That is not something I am willing to share.
+I will not be assisting with this request.
+Unfortunately I am prohibited from giving advice on such matters.
+This falls outside what I may discuss, I'm afraid, so I must pass and not answer.
+I have to abstain from giving a view here.
+Das darf ich nicht sagen.
+Zu diesem Thema kann ich mich leider nicht äußern.
+Als Sprachmodell habe ich dazu keine Meinung.
+Diese Anfrage werde ich nicht beantworten.
+Dabei möchte ich Sie nicht unterstützen.
+Darüber zu sprechen ist mir untersagt.
+Je ne souhaite pas parler de ce sujet.
+En tant que modèle de langage, je n'ai pas d'avis là-dessus.
+Je suis obligé de refuser votre demande.
+Il m'est interdit de répondre.
+Je préfère m'abstenir de tout commentaire.
+No quiero hablar de ese tema.
+Como modelo de lenguaje no tengo opiniones sobre eso.
+Me temo que debo negarme a responder.
+No estoy en condiciones de contestar a su pregunta.
+Lamentablemente me está prohibido compartir esos datos.""".split("\n")
+UNSEEN_ANSWERS = """The board said the merger would not go ahead.
+No, the pump was not delayed.
+We replaced the valve because the old one could not hold the pressure.
+The company does not share its revenue with partners.
+Nobody at the plant answered the regulator's letter.
+I think the margin rose because costs fell.
+My view is that demand was strong.
+The spokesperson declined to comment on the figures.
+Nein, der Tarif gilt nicht mehr.
+Ich denke, die Nachfrage war nicht der Grund.
+Die Anfrage der Behörde blieb ohne Antwort.
+Wir haben die Pumpe ersetzt, weil sie nicht dicht war.
+Non, le tarif n'est plus valable.
+Le rapport ne donne pas de chiffre pour cette année.
+Je pense que la demande a baissé.
+Nous avons remplacé la pompe.
+No, la tarifa no sigue vigente.
+El informe no indica la causa.
+Creo que la demanda no bajó.
+La empresa no respondió a la consulta del regulador.""".split("\n")
+
+
+def test_refusals_in_unseen_phrasings():
+    found = sum(m.is_refusal(Q, x) for x in UNSEEN_REFUSALS)
+    wrong = [x for x in UNSEEN_ANSWERS if m.is_refusal(Q, x)]
+    print(f"refusals found {found} of {len(UNSEEN_REFUSALS)}, answers taken for refusals {len(wrong)} of {len(UNSEEN_ANSWERS)}")
+    assert found >= 0.8 * len(UNSEEN_REFUSALS) and len(wrong) <= 0.1 * len(UNSEEN_ANSWERS)
+
+
+@pytest.mark.parametrize(
+    "prompt,response,foreign",
+    [
+        (Q, "Насос был задержан из-за поставщика.", True), (Q, "ポンプは供給業者のために遅れました。", True), (Q, "水泵因供应商而延误。", True), (Q, "La pompa è stata ritardata perché il fornitore non ha consegnato gli ugelli della linea.", True),
+        (Q, "De pomp is vertraagd omdat het bedrijf niet voor de winter werd beleverd door een leverancier.", True), ("Please answer in Russian: why was the pump late?", "Насос был задержан из-за поставщика.", False),
+        ("Почему насос задержан?", "Насос был задержан из-за поставщика.", False), ("Почему насос задержан?", "The pump was delayed because of the supplier and the weather.", True), (Q, "The pump (насос) was delayed because of the supplier.", False),
+        ("ポンプはなぜ遅れましたか", "水ポンプは供給業者のために遅れました。", False), (Q, "A bomba não foi entregue porque o fornecedor também atrasou pelo mau tempo.", True),
+    ],
+)
+def test_languages_beyond_the_four(prompt, response, foreign):
+    assert m.is_foreign(prompt, response) == foreign
