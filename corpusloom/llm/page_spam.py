@@ -1,11 +1,15 @@
 """Pages of keywords, links and tags instead of sentences.
 
-1. Features of every page: how its words are spread over sentences, link lists,
-   tag lists, uniform catalogue lines, tables and references, how often they
-   repeat, how many function words, sentence ends, separators and links there are.
-2. Weak labels from clear cases only; the pages between them get none.
-3. Bagged decision trees, fitted to a bounded sample of the labelled pages
-   (`sample_rows`, chosen by a hash of the id).
+1. Two views of every page.  Structure: how its words are spread over sentences,
+   link lists, tag lists, uniform catalogue lines, tables and references, and how
+   much of it a few words make up.  Language and links: function words and the
+   runs between them, marks, digits, capitals, addresses, repeated pairs of words,
+   lengths of words and lines.
+2. Weak labels from the clear cases of the first view; all other pages get none.
+3. Bagged decision trees learn the labels from the second view alone, on a
+   bounded sample of the labelled pages (`sample_rows`, chosen by a hash of the
+   id).  So they don't repeat the rule that made the labels: they judge pages that
+   it leaves open, and can overrule it.
 4. Every page gets the mean vote of the trees; the spam rate of its host (all
    pages of the source) then shifts the page's odds, by a bounded amount, so a
    doubtful page follows its host and a clear one does not.
@@ -39,10 +43,12 @@ FUNCTION_WORDS = frozenset(
     "le la les des du de et un une est sont dans sur par pour avec sans aux au que qui mais aussi non comme selon l d n ont été à ainsi lors depuis après chez ou ce cette "
     "el los las del y una son fue para con sin sobre no sino también según se lo su desde hasta entre así tras o es este esta".split()
 )
-FEATURES = (
-    "log_words", "sentence_share", "link_share", "tag_share", "uniform_share", "table_share", "reference_share", "list_share",
-    "function_rate", "end_rate", "comma_rate", "bar_rate", "url_rate", "digit_rate", "type_rate", "top_rate", "line_words", "longest_list",
+#: The first view, for the labels, and the second, for the trees.
+STRUCTURE = ("sentence_share", "link_share", "tag_share", "uniform_share", "table_share", "reference_share", "list_share", "top_rate")
+LANGUAGE = (
+    "log_words", "function_rate", "function_types", "longest_bare", "end_rate", "comma_rate", "mark_rate", "url_rate", "digit_rate", "capital_rate", "type_rate", "pair_rate", "word_letters", "line_words",
 )
+FEATURES = STRUCTURE + LANGUAGE
 
 
 def shape(line: str) -> str:
@@ -54,7 +60,7 @@ def features(text: str) -> list[float] | None:
     """The features of a page, none for a page without words."""
     find, known = WORD.findall, FUNCTION_WORDS.__contains__
     every: list[str] = []
-    sentence = link = tag = table = reference = listed = longest = ends = lines = urls = 0
+    sentence = link = tag = table = reference = listed = ends = lines = urls = 0
     unsaid: list[tuple[str, int, int]] = []
     for line in text.lower().splitlines():
         parts = ENDS.split(line)
@@ -86,12 +92,11 @@ def features(text: str) -> list[float] | None:
             for part, w in zip(parts, held):
                 n = len(w)
                 if n >= 4 and sum(map(known, w)) >= max(1, 0.12 * n) and part.count(",") <= 0.34 * n:
-                    told += n if len(set(w)) >= 0.5 * min(n, 100) else 0  # keywords repeat themselves
+                    told += n if len(set(w)) >= 0.5 * n / (1 + n / 150) else 0  # keywords repeat themselves; so do, slowly, the words of any text
         sentence += told
         rest = size - told
         if rest:
             listed += rest
-            longest = max(longest, rest)
             if size >= 3:
                 unsaid.append((line, size, rest))
     n = len(every)
@@ -104,11 +109,14 @@ def features(text: str) -> list[float] | None:
     # the most frequent words that are no function words: prose has many of them, each a few times
     top = sum(sorted((c for w, c in counts.items() if c > 2 and w not in FUNCTION_WORDS), reverse=True)[:5])
     per = 1 / n
+    at = [-1, *(i for i, w in enumerate(every) if known(w)), n]
+    bare = sorted((b - a - 1 for a, b in zip(at, at[1:])), reverse=True)  # runs without a function word
+    capitals = sum(w[0].isupper() for w in find(text))
     return [
-        math.log1p(n), sentence * per, link * per, tag * per, uniform * per, table * per, reference * per, listed * per,
-        sum(c for w, c in counts.items() if w in FUNCTION_WORDS) * per, ends * per, (text.count(",") + text.count(";")) * per,
-        text.count("|") * per, urls * per, sum(c for w, c in counts.items() if w[0].isdigit()) * per, len(counts) * per, top * per,
-        n / lines, longest * per,
+        sentence * per, link * per, tag * per, uniform * per, table * per, reference * per, listed * per, top * per,
+        math.log1p(n), (len(at) - 2) * per, len({w for w in counts if known(w)}) / math.sqrt(n), sum(bare[: 1 + len(bare) // 4]) * per, ends * per, (text.count(",") + text.count(";")) * per,
+        sum(map(text.count, "|#/=*•·")) * per, urls * per, sum(c for w, c in counts.items() if w[0].isdigit()) * per, capitals * per, len(counts) / n**0.8, 1 - len(set(zip(every, every[1:]))) / max(1, n - 1), sum(map(len, every)) * per,
+        n / lines,
     ]
 
 
@@ -119,35 +127,34 @@ def weak_label(x: np.ndarray) -> np.ndarray:
     """1 for clear spam, 0 for clear prose, -1 for what lies between; x: one row of features per page."""
     at = lambda name: x[:, F_[name]]
     prose = at("sentence_share") + at("table_share") + at("reference_share")
-    kind = (at("link_share") > 0.35) | (at("tag_share") > 0.3) | (at("uniform_share") > 0.35) | (at("top_rate") > 0.3) | (at("function_rate") < 0.08)
-    long = at("log_words") > np.log(25)
-    spam = (at("list_share") > 0.6) & (at("sentence_share") < 0.35) & kind & (at("log_words") > np.log(15)) | (at("top_rate") > 0.42) & long
-    ham = ((prose > 0.7) | (at("sentence_share") > 0.6)) & ((at("top_rate") < 0.36) | ~long)
+    kind = (at("link_share") > 0.35) | (at("tag_share") > 0.3) | (at("uniform_share") > 0.35) | (at("top_rate") > 0.3)
+    spam = (at("list_share") > 0.85) & (at("sentence_share") < 0.1) & kind
+    ham = (prose > 0.85) & (at("top_rate") < 0.3)
     return np.where(brief(x), -1, np.where(spam, 1, np.where(ham, 0, -1)))
 
 
 def brief(x: np.ndarray) -> np.ndarray:
-    """Pages of too few words to learn from or to be judged by their sentences."""
+    """Pages of up to 6 words: too few for rates to mean anything."""
     return x[:, F_["log_words"]] < np.log(8)
 
 
 def brief_vote(x: np.ndarray) -> np.ndarray:
     """1 for a page that is mostly links and tags or a list with a separator every few words."""
     at = lambda name: x[:, F_[name]]
-    listed = (at("list_share") > 0.5) & (at("comma_rate") + at("bar_rate") >= 0.25)
+    listed = (at("list_share") > 0.5) & (at("comma_rate") + at("mark_rate") >= 0.25)
     return ((at("link_share") + at("tag_share") > 0.5) | listed).astype(float)
 
 
 class BaggedTrees:
-    """Decision trees on bootstrap samples of binned features; the vote is the mean of their leaves."""
+    """Decision trees on bootstrap samples of binned features, each split on the best of half of them; the vote is the mean of their leaves."""
 
-    def __init__(self, trees: int = 15, depth: int = 6, bins: int = 48, least: int = 5, seed: int = 5):
+    def __init__(self, trees: int = 25, depth: int = 6, bins: int = 48, least: int = 5, seed: int = 5):
         self.count, self.depth, self.bins, self.least, self.seed = trees, depth, bins, least, seed
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "BaggedTrees":
         cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(x.shape[1])]
-        # cuts lie half-way between values, so that equal values of new pages fall on the same side
-        self.cuts = [np.unique(np.concatenate([c, (c[1:] + c[:-1]) / 2])) for c in cuts]
+        # cuts lie between values too, so that equal values of new pages fall on the same side
+        self.cuts = [np.unique(np.concatenate([c, *(c[:-1] + (c[1:] - c[:-1]) * at for at in np.arange(1, 8) / 8)])) for c in cuts]
         binned = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(self.cuts)], axis=1)
         rng = np.random.default_rng(self.seed)
         self.trees = []
@@ -162,7 +169,7 @@ class BaggedTrees:
             return float(mean)
         best = (1e-9, -1, 0)
         whole = len(y) * mean * (1 - mean)
-        for j in rng.permutation(b.shape[1]):
+        for j in rng.permutation(b.shape[1])[: -(-b.shape[1] // 2)]:
             size = len(self.cuts[j]) + 1
             n = np.cumsum(np.bincount(b[:, j], minlength=size))[:-1]
             s = np.cumsum(np.bincount(b[:, j], weights=y, minlength=size))[:-1]
@@ -171,7 +178,7 @@ class BaggedTrees:
                 gain = np.where((n >= self.least) & (rest >= self.least), whole - s * (1 - s / n) - other * (1 - other / rest), -1.0)
             if len(gain) and gain.max() > best[0]:
                 top = np.flatnonzero(gain >= gain.max() - 1e-12)
-                best = (float(gain.max()), int(j), int(top[len(top) // 2]))  # the middle of equally good cuts
+                best = (float(gain.max()), int(j), int(rng.choice(top[len(top) // 4 : len(top) - len(top) // 4])))  # of equally good cuts one near the middle: between the classes the trees differ, so the vote shows doubt
         if best[1] < 0:
             return float(mean)
         left = b[:, best[1]] <= best[2]
@@ -219,7 +226,7 @@ def _votes(model: BaggedTrees | None):
                 label = weak_label(x)
                 vote = np.where(label >= 0, label, x[:, F_["list_share"]])
             else:
-                vote = model.vote(x)
+                vote = model.vote(x[:, len(STRUCTURE) :])
             vote = np.where(brief(x), brief_vote(x), vote).astype(float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vote)], names=["doc_id", "host", "vote"])
 
@@ -248,10 +255,11 @@ def spam_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     x, y = np.concatenate(sample_x), np.concatenate(sample_y)
     order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of rows
     if 0 < y.sum() < len(y):
-        voted = table.select("doc_id", "host", "x").mapInArrow(_votes(BaggedTrees(least=max(1, min(5, int(min(y.sum(), len(y) - y.sum())) // 4))).fit(x[order], y[order])), "doc_id bigint, host string, vote double")
+        voted = table.select("doc_id", "host", "x").mapInArrow(_votes(BaggedTrees(least=max(1, min(5, int(min(y.sum(), len(y) - y.sum())) // 4))).fit(x[order][:, len(STRUCTURE) :], y[order])), "doc_id bigint, host string, vote double")
     else:
         # too little to learn from: the share of listed words decides
         voted = table.select("doc_id", "host", "x").mapInArrow(_votes(None), "doc_id bigint, host string, vote double")
+    voted = cut(voted)  # read for the hosts and for the pages
     logit = lambda p: F.log(p / (1 - p))
     inside = lambda p: F.greatest(F.lit(0.02), F.least(F.lit(0.98), p))
     rate = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)

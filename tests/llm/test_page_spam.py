@@ -93,4 +93,42 @@ def test_lines_that_differ_late_have_no_common_shape():
 def test_short_pages_follow_their_links_and_tags():
     texts = ["#shoes #boots #hats #belts #bags", "[Cheap hotel rooms](http://a.example/b)", "The town lies on the river.", "Untitled"]
     x = np.asarray([m.features(t) for t in texts], np.float32)
-    assert (m.weak_label(x) == -1).all() and m.brief_vote(x).tolist() == [1, 1, 0, 0]
+    assert m.weak_label(x).tolist() == [-1, 1, -1, -1] and m.brief_vote(x).tolist() == [1, 1, 0, 0]
+
+
+def graded(n=1800):
+    """(rows, truth): half clear pages, half pages that mix sentences and keywords, whose hosts are mostly of one kind."""
+    rng = random.Random(21)
+    rows, truth = [], {}
+    for i in range(n):
+        bad_host = i % 3 == 0
+        host = f"{'bad' if bad_host else 'good'}{i % 30}"
+        if i % 2:
+            truth[i] = (rng.random() < 0.8) if bad_host else (rng.random() < 0.03)
+            text = spam(rng, rng.randrange(4)) if truth[i] else prose(rng)
+        else:
+            truth[i] = (rng.random() < 0.85) if bad_host else (rng.random() < 0.05)
+            words = [m.WORD.findall(x) for x in prose(rng, 6).split("\n")]
+            said = sum(map(len, words))
+            share = rng.uniform(0.5, 0.7) if truth[i] else rng.uniform(0.35, 0.5)
+            listed = round(said * share / (1 - share))
+            goods = ["pump", "gearbox", "ledger", "meter", "valve", "engine", "nozzle", "washer", "filter", "boiler", "hose", "clamp", "seal", "rotor", "bolt", "bearing", "flange", "gasket"]
+            keys = [rng.choice(goods + ["for", "with"] * rng.randrange(2)) for _ in range(listed)]  # lists differ in how much they look like sentences
+            lines = [", ".join(keys[j : j + 12]) for j in range(0, listed, 12)]
+            pieces = [" ".join(w) + "." for w in words] + lines
+            rng.shuffle(pieces)
+            text = "\n".join(pieces)
+        rows.append((i, text, host, "clash"))
+    return rows, truth
+
+
+def test_trees_and_hosts_decide_what_the_labels_leave_open(spark):
+    rows, truth = graded()
+    label = {i: int(m.weak_label(np.asarray([m.features(t)], np.float32))[0]) for i, t, _, _ in rows}
+    open_ = [i for i in truth if label[i] < 0]
+    scores = {r.doc_id: r for r in m.spam_scores(spark.createDataFrame(rows, SCHEMA)).collect()}
+    right = lambda said: np.mean([said(i) == truth[i] for i in open_])
+    by_label, by_trees, by_hosts = right(lambda i: label[i] == 1), right(lambda i: scores[i].vote > 0.5), right(lambda i: scores[i].score > 0.5)
+    print(f"{len(open_)} of {len(rows)} pages without a label: right by labels {by_label:.3f}, by trees {by_trees:.3f}, by trees and hosts {by_hosts:.3f}")
+    assert len(open_) > 600 and by_label < by_trees <= by_hosts
+    assert all((label[i] == 1) == truth[i] for i in truth if label[i] >= 0)
