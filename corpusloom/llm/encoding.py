@@ -5,11 +5,13 @@ equal passages of different documents are cut alike, wherever they stand.  The
 ids of a chunk are valid inside it, but not across its two ends, so each join
 is repaired: the span between the last safe place before a cut and the first
 safe place after it is encoded again, as one string, and replaces what the two
-chunks had there.  A place is safe if an ASCII letter or digit is followed by a
-space: the vocabulary's pattern ends a word before every space, looks ahead only
-through white space and never back, so encoding the two sides apart gives
-exactly the ids of the whole.  Where a chunk has no safe place the repair takes
-in the next ones.
+chunks had there.  Places that look safe are those where an ASCII letter or digit
+is followed by a space: most split patterns end a word there.  Whether one is safe
+is then seen: the text around it is encoded as a whole and as its two sides.  Where
+these don't agree the pieces are joined and encoded again as one, up to the whole
+text if need be.  Where a chunk has no such place the repair takes in the next
+ones.  (With the pattern of byte_bpe_50k, which ends a word before every space,
+looks ahead only through white space and never back, all of them agree.)
 
 Interiors and repaired joins are kept, by their bytes, in a bounded cache of the
 Python worker, which outlives tasks; a piece that many documents share is encoded
@@ -94,7 +96,24 @@ def piece_bounds(data: np.ndarray, ends: np.ndarray, mask: int) -> np.ndarray:
     return np.unique(np.concatenate([before, after, ends, [0]]))
 
 
-def _encode(path: str, pattern: str, mask: int, cache_bytes: int):
+def agreed(whole: bytes, bounds: np.ndarray, ends: np.ndarray, cache: PieceCache, reach: int) -> np.ndarray:
+    """The bounds at which the ids of the text around them are those of its two sides; ends of texts stay."""
+    keep = np.ones(len(bounds), bool)
+    inner = np.flatnonzero(~np.isin(bounds, ends) & (bounds > 0))
+    text = np.searchsorted(ends, bounds[inner], "left")
+    begin = np.concatenate([[0], ends])
+    for n, here, low, high in zip(inner.tolist(), bounds[inner].tolist(), begin[text].tolist(), ends[text].tolist()):
+        low, high = max(low, here - reach), min(high, here + reach)
+        while whole[low] & 0xC0 == 0x80:  # inside a character
+            low -= 1
+        while high < len(whole) and whole[high] & 0xC0 == 0x80:
+            high += 1
+        both, left = cache[whole[low:high]], cache[whole[low:here]]
+        keep[n] = np.array_equal(both[: len(left)], left) and np.array_equal(both[len(left) :], cache[whole[here:high]])
+    return bounds[keep]
+
+
+def _encode(path: str, pattern: str, mask: int, cache_bytes: int, reach: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _pieces.get((path, pattern))
         if cache is None:
@@ -103,7 +122,7 @@ def _encode(path: str, pattern: str, mask: int, cache_bytes: int):
             texts = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()]
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
             whole = b"".join(texts)
-            bounds = piece_bounds(np.frombuffer(whole, np.uint8), ends, mask)
+            bounds = agreed(whole, piece_bounds(np.frombuffer(whole, np.uint8), ends, mask), ends, cache, reach)
             at = bounds.tolist()
             ids = [cache[whole[a:b]] for a, b in zip(at, at[1:])]
             upto = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
@@ -123,11 +142,13 @@ def encode_corpus(
     pattern: str | None = None,
     mean_chunk: int = 256,
     cache_bytes: int = 96_000_000,
+    reach: int = 24,
 ) -> DataFrame:
     """(doc_id, ids) for every row; equal to encoding each whole text, without special tokens.
 
     path, pattern: rank file and split pattern of the vocabulary; both default to byte_bpe_50k.
     mean_chunk: mean bytes between cuts, a power of two.
+    reach: bytes on each side of a join that are encoded both ways to see that they agree.
 
     Defined cases: null and empty texts give an empty list; strings of special
     tokens are ordinary text; repeated ids give a row each; a null id stays null;
@@ -141,4 +162,4 @@ def encode_corpus(
     if pattern is None:
         raise ValueError("a vocabulary of your own needs its split pattern")
     rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_encode(path, pattern, mean_chunk - 1, cache_bytes), "doc_id bigint, ids array<int>")
+    return rows.mapInArrow(_encode(path, pattern, mean_chunk - 1, cache_bytes, reach), "doc_id bigint, ids array<int>")

@@ -11,11 +11,13 @@ extended word by word to both sides and counts if it reaches `span` words.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,16 +81,25 @@ def shares_span(a: list[str], i: int, b: list[str], j: int, k: int, span: int) -
 
 
 class ItemIndex:
-    """Fingerprints of the evaluation texts, sorted by hash."""
+    """Fingerprints of the evaluation texts, sorted by hash; their words are looked up where a fingerprint hits."""
 
     def __init__(self, items: list[tuple[int, str]], k: int, span: int):
         self.k, self.span = k, span
-        self.ids = [i for i, _ in items]
-        self.words = word_lists([t for _, t in items])
-        text, place, value = winnow(self.words, k, span)
+        self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
+        self.words: dict[int, list[str]] = {}
+        found = [winnow(word_lists(self.texts[i : i + 1024]), k, span) for i in range(0, len(items), 1024)]
+        text = np.concatenate([f[0] + 1024 * n for n, f in enumerate(found)]) if found else np.zeros(0, np.int64)
+        place, value = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, t) for i, t in ((1, np.int64), (2, np.uint64)))
         order = np.argsort(value, kind="stable")
         self.value, self.text, self.place = value[order], text[order], place[order]
 
+    def words_of(self, text: int) -> list[str]:
+        if text not in self.words:
+            if len(self.words) >= 10_000:
+                self.words.clear()
+            self.words[text] = word_lists([self.texts[text]])[0]
+        return self.words[text]
+
     def leaks(self, words: list[list[str]]) -> Iterator[tuple[int, int]]:
         """(text, item id) of each text that holds a span of the item, once."""
         text, place, value = winnow(words, self.k, self.span)
@@ -100,14 +111,25 @@ class ItemIndex:
             t = int(text[n])
             for m in range(int(lo[n]), int(hi[n])):
                 item = self.ids[int(self.text[m])]
-                if item not in done[t] and shares_span(words[t], int(place[n]), self.words[int(self.text[m])], int(self.place[m]), self.k, self.span):
+                if item not in done[t] and shares_span(words[t], int(place[n]), self.words_of(int(self.text[m])), int(self.place[m]), self.k, self.span):
                     done[t].add(item)
                     yield t, item
 
 
-def _scan(items: list[tuple[int, str]], k: int, span: int):
+_indexes: dict[str, ItemIndex] = {}
+
+
+def index_of(name: str, items: Broadcast, k: int, span: int) -> ItemIndex:
+    """The index of a call, built once in each Python worker, which outlives tasks."""
+    if name not in _indexes:
+        _indexes.clear()
+        _indexes[name] = ItemIndex(items.value, k, span)
+    return _indexes[name]
+
+
+def _scan(name: str, items: Broadcast, k: int, span: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(items, k, span)
+        index = index_of(name, items, k, span)
         for batch in batches:
             found = list(index.leaks(word_lists(batch.column(1).to_pylist())))
             ids = batch.column(0).take(pa.array([t for t, _ in found], pa.int64()))
@@ -149,8 +171,8 @@ def leaked_items(
     """(doc_id, item_id) for each document that holds `span` consecutive words of one of the item's fields.
 
     Evaluation texts of up to `broadcast_chars` characters in all (measured
-    before they are fetched) are sent to every task, and the corpus is read once
-    without a shuffle.  Larger ones are joined by fingerprint, and the pairs that
+    before they are fetched) are broadcast and indexed once in every Python worker,
+    and the corpus is read once without a shuffle.  Larger ones are joined by fingerprint, and the pairs that
     meet are confirmed on their texts.
 
     Defined cases: null, empty or too short texts and fields match nothing; rows
@@ -168,7 +190,8 @@ def leaked_items(
     chars = parts.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
     if chars <= broadcast_chars:
         known = sorted({(r.item_id, r.item) for r in parts.collect()})
-        return docs.mapInArrow(_scan(known, k, span), "doc_id bigint, item_id bigint").distinct()
+        held = items.sparkSession.sparkContext.broadcast(known)
+        return docs.mapInArrow(_scan(uuid.uuid4().hex, held, k, span), "doc_id bigint, item_id bigint").distinct()
     # the same words may stand in many items: a part is known by its text
     parts = parts.distinct().withColumn("part", F.xxhash64("item"))
     prints = lambda df: df.mapInArrow(_fingerprints(k, span), "id bigint, print bigint")

@@ -63,3 +63,31 @@ def test_shared_pieces_are_encoded_once():
     for i in range(100):
         small[b"piece%d" % i]
     assert small.held <= 600 and len(small) <= 3
+
+
+def small_vocabulary(tmp_path):
+    """Single bytes and a few tokens, some across a space."""
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"e ", b"e t", b"th", b"the", b"e the", b"n ", b"in", b"in ", b"a b", b" b"]
+    path = tmp_path / "small.tiktoken"
+    path.write_text("\n".join(f"{base64.b64encode(t).decode()} {n}" for n, t in enumerate(tokens)))
+    return str(path), r"[^\n]+|\n"
+
+
+def test_joins_that_do_not_agree_are_encoded_again(spark, tmp_path):
+    path, pattern = small_vocabulary(tmp_path)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["the", "in", "a", "b", "tee", "then", "été", "bane"], 400)) for _ in range(20)] + ["the the\n" * 50, "", "e t" * 300]
+    encode = m.encoder(path, pattern).encode_ordinary
+    found = m.encode_corpus(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), path=path, pattern=pattern, mean_chunk=64).collect()
+    assert {r.doc_id: list(r.ids) for r in found} == {i: encode(t) for i, t in enumerate(texts)}
+
+
+def test_all_joins_agree_with_the_default_pattern():
+    texts = ["The filing of Braorlex gives 26.4 million for 2019, and the plan - naïve - was kept. " * 40, "word  word\tword\n x1 2y " * 99]
+    raw = [t.encode() for t in texts]
+    whole, ends = b"".join(raw), np.cumsum([len(x) for x in raw], dtype=np.int64)
+    bounds = m.piece_bounds(np.frombuffer(whole, np.uint8), ends, 63)
+    kept = m.agreed(whole, bounds, ends, m.PieceCache(m.encoder(*m.default_vocabulary()).encode_ordinary, 10**7), 24)
+    assert len(bounds) > 40 and kept.tolist() == bounds.tolist()

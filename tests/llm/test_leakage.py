@@ -54,3 +54,19 @@ def test_empty_and_parameters(spark):
     assert m.leaked_items(docs, items).collect() == [] and m.leaked_items(docs, items, broadcast_chars=-1).collect() == []
     with pytest.raises(ValueError):
         m.leaked_items(docs, items, span=5, k=6)
+
+
+def test_index_is_built_once_in_a_worker():
+    class Held:
+        reads = 0
+
+        @property
+        def value(self):
+            self.reads += 1
+            return [(1, " ".join(f"w{i}" for i in range(20)))]
+
+    held = Held()
+    one = m.index_of("call", held, 6, 12)
+    assert m.index_of("call", held, 6, 12) is one and held.reads == 1 and len(one.value) > 0 and not one.words
+    assert list(one.leaks([[f"w{i}" for i in range(3, 18)]])) == [(0, 1)] and list(one.words) == [0]
+    assert m.index_of("other", held, 6, 12) is not one and held.reads == 2

@@ -73,3 +73,37 @@ def test_hierarchy():
     text = "# One\n" + "First sentence here. Second sentence here.\n\n" * 2 + "# Two\n" + "tail " * 5
     spans = [text[a:b] for *_, (a, b) in m.split_text(text, 45, m.LEVELS, overlap=False)]
     assert spans[-1].startswith("# Two") and all(len(s) <= 45 for s in spans)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="ab .\n#-", max_size=300), st.integers(4, 40), st.integers(0, 12))
+def test_overlap_in_characters(text, limit, chars):
+    chars = min(chars, limit - 1)
+    found = [s for *_, s in m.split_by_chars(text, limit, m.LEVELS, chars)]
+    assert all(b - a <= limit for a, b in found)
+    for (a, b), (c, d) in zip(found, found[1:]):
+        assert a < c and b < d and (c >= b or b - c <= chars)  # moves on, overlaps by no more than asked
+        assert c <= b or not text[b:c].strip() or set(text[b:c]) <= set("-\n# .")  # between pieces stand separators only
+
+
+def test_overlap_reaches_into_and_around_overlong_parts():
+    text = "short line\n" + "x" * 100 + "\n" + "tail of the text"
+    found = [(text[a:b], a, b) for *_, (a, b) in m.split_by_chars(text, 40, m.LEVELS, 16)]
+    assert all(c < b for (_, _, b), (_, c, _) in zip(found, found[1:]))
+    assert [len(p) for p, _, _ in found][1] == 40 and found[-1][0].endswith("tail of the text")
+
+
+def test_overlap_in_parts():
+    text = "\n".join("abcdefgh"[i] * 3 for i in range(8))
+    spans = lambda n: [text[a:b].replace("\n", " ") for *_, (a, b) in m.split_text(text, 15, ("line", "char"), n)]
+    assert spans(0) == ["aaa bbb ccc ddd", "eee fff ggg hhh"]
+    assert spans(1) == ["aaa bbb ccc ddd", "ddd eee fff ggg", "ggg hhh"]
+    assert spans(2) == ["aaa bbb ccc ddd", "ccc ddd eee fff", "eee fff ggg hhh"]
+
+
+def test_overlap_parameters(spark):
+    rows = spark.createDataFrame([(1, 0, "word " * 300)], "item_id bigint, line_start bigint, content string")
+    assert len(m.split_oversized(rows, overlap_chars=200).collect()) > len(m.split_oversized(rows, overlap_chars=0).collect())
+    for bad in ({"overlap": -1}, {"overlap_chars": 800}, {"overlap_chars": -1}):
+        with pytest.raises(ValueError):
+            m.split_oversized(rows, **bad)
