@@ -140,7 +140,7 @@ def encode_corpus(
     text_col: str = "text",
     path: str | None = None,
     pattern: str | None = None,
-    mean_chunk: int = 256,
+    mean_chunk: int = 1024,
     cache_bytes: int = 96_000_000,
     reach: int = 24,
 ) -> DataFrame:
