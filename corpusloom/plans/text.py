@@ -73,55 +73,57 @@ def sec_01(spark, d):
 
 def sec_02(spark, d):
     texts = _texts(spark, d)
-    return sections.window_texts(texts, sections.windows(texts, WINDOW_CHARS))
+    return sections.window_texts(texts, sections.windows(texts, WINDOW_CHARS)).select("doc_id", "window_no", "window_text")
 
 
 class _Flow:
-    """The stages of sectioning over the documents."""
+    """The stages of sectioning over the documents; every document stays in its row."""
 
     def __init__(self, spark, d):
-        self.texts = cut(_texts(spark, d))
-        self.spans = cut(sections.windows(self.texts, WINDOW_CHARS))
-        self.proposed = sections.rule_boundaries(self.texts, self.spans)
+        self.proposed = sections.headed(sections.windowed(_texts(spark, d), WINDOW_CHARS))
 
     def consolidated(self):
-        return sections.consolidate(self.proposed, self.spans)
+        return sections.consolidated(self.proposed)
 
     def repaired(self):
-        return sections.repair_windows(self.consolidated(), self.spans)
+        return sections.repaired_windows(self.consolidated())
 
     def merged(self):
-        return sections.merge_windows(self.repaired())
+        return sections.merged(self.repaired())
 
     def whole(self):
-        return sections.repair_documents(self.merged(), self.texts)
+        return sections.repaired_documents(self.merged())
 
     def filled(self):
-        return sections.fill_sections(self.whole(), self.texts)
+        return sections.filled(self.whole()).withColumn("content", F.array_join("lines", "\n")).drop("lines")
+
+
+def _listed(plans):
+    return plans.select("doc_id", F.posexplode("sections").alias("pos", "s")).select("doc_id", "pos", "s.title", "s.start")
 
 
 def sec_03(spark, d):
-    return _Flow(spark, d).proposed
+    return sections.rows_of(_Flow(spark, d).proposed)
 
 
 def sec_05(spark, d):
-    return _Flow(spark, d).consolidated()
+    return sections.rows_of(_Flow(spark, d).consolidated())
 
 
 def sec_06(spark, d):
-    return _Flow(spark, d).repaired()
+    return sections.rows_of(_Flow(spark, d).repaired())
 
 
 def sec_07(spark, d):
-    return _Flow(spark, d).repaired().where(F.col("title").rlike(r"^Window \d+-\d+$")).select("doc_id", "window_no", "title")
+    return sections.rows_of(_Flow(spark, d).repaired()).where(F.col("title").rlike(r"^Window \d+-\d+$")).select("doc_id", "window_no", "title")
 
 
 def sec_08(spark, d):
-    return _Flow(spark, d).merged()
+    return _listed(_Flow(spark, d).merged())
 
 
 def sec_09(spark, d):
-    return _Flow(spark, d).whole()
+    return _listed(_Flow(spark, d).whole())
 
 
 def sec_10(spark, d):

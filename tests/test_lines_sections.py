@@ -163,6 +163,6 @@ def test_sections_of_with_rule_and_model(spark):
             raise RuntimeError("down")
         return [("A", 0), ("B", 9)]
 
-    got = [(r.doc_id, r.title) for r in sections.sections_of(rows, model=model).orderBy("doc_id", "start").collect()]
-    assert got == [("d", "A"), ("d", "B"), ("s", "Window 0-0")]
+    got = [(r.doc_id, r.title) for r in sections.sections_of(rows, model=model, pause=0).orderBy("doc_id", "start").collect()]
+    assert got == [("d", "A"), ("d", "B"), ("s", "Window 0-0 (Error)")]
     assert sections.sections_of(rows, use_sectioning=False).where(F.col("title") == "").count() == 2
