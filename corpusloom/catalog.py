@@ -74,11 +74,11 @@ class KnowledgeBase:
         return self.lake.read("vectors")
 
     def prepare(self, documents: DataFrame, use_sectioning: bool = True, chunk_size: int = CHUNK_SIZE, min_length: int = MIN_LENGTH) -> DataFrame:
-        """Chunks with context of documents (doc_id, text[, title, supp_id, metadata])."""
-        whole = lines.document_lines(documents)
-        parts = cut(sections.sections_of(lines.document_arrays(documents), use_sectioning))
-        spans = parts.select("doc_id", "section_index", F.explode(F.sequence("start", "end")).alias("line_no"))
-        made = chunks.indexed(chunks.chunk_lines(whole.join(spans, ["doc_id", "line_no"]), chunk_size, min_length))
+        """Chunks with context of documents (doc_id, text[, title, supp_id, metadata]).
+
+        A document stays in its row, and later a section, until it is cut into
+        chunks; the one shuffle numbers the chunks through the document.
+        """
         given = F.col("title") if "title" in documents.columns else F.lit(None).cast("string")
         some = lambda c: F.col(c) if c in documents.columns else F.lit("")
         docs = documents.select("doc_id", given.alias("given"), "text", some("supp_id").alias("supp_id"), some("metadata").alias("metadata"))
@@ -87,33 +87,37 @@ class KnowledgeBase:
             docs = context.with_model(docs.withColumn("prompt", context.first_tokens(F.col("text"), context.SUMMARY_TOKENS)[0]), self.model.answer, "prompt", "document_summary")
         else:
             docs = docs.withColumn("generated", F.lit(None).cast("string")).withColumn("document_summary", F.lit(""))
-        docs = docs.withColumn("document_title", context.resolved_title(F.col("given"), F.col("generated"), F.col("doc_id")))
-        return context.attach_context(made, docs, parts).join(docs.select("doc_id", "supp_id", "metadata"), "doc_id")
+        carried = ("document_title", "document_summary", "supp_id", "metadata")
+        title = context.resolved_title(F.col("given"), F.col("generated"), F.col("doc_id"))
+        arrays = docs.select("doc_id", lines.line_array(F.col("text")).alias("lines"), title.alias("document_title"), *carried[1:]).withColumn("doc_len", F.size("lines"))
+        parts = sections.sectioned(arrays, use_sectioning).withColumnRenamed("title", "section_title").withColumn("section_summary", F.lit(""))
+        return chunks.indexed(chunks.chunk_sections(parts, chunk_size, min_length, (*carried, "section_title", "section_summary")))
 
     def add_documents(self, documents: DataFrame, **options) -> DataFrame:
         """Adds (doc_id, text, …) rows; (doc_id, reason) of those that were not added, because they are stored, have no text or no valid id.
 
-        Documents are independent: a bad one stops no other.
+        Documents are independent: a bad one stops no other.  Chunks and vectors
+        are added by one commit: if anything fails before it, nothing was added,
+        and the same documents can be loaded again.
         """
         with step(log, "add_documents", kb_id=self.kb_id):
             asked = documents.withColumn("kb_id", F.lit(self.kb_id)).dropDuplicates(["doc_id"])
             have = self.chunks
             empty = self.spark.createDataFrame([], "kb_id string, doc_id string")
             good, bad = store.added(empty if have is None else have.withColumn("kb_id", F.lit(self.kb_id)), asked)
-            bad = bad.select("doc_id", "reason").union(good.where("text is null").select("doc_id", F.lit("no text").alias("reason")))
-            refused = self.spark.createDataFrame(bad.collect(), "doc_id string, reason string") if options.pop("collect", True) else bad
+            refused = cut(bad.select("doc_id", "reason").union(good.where("text is null").select("doc_id", F.lit("no text").alias("reason"))))  # as of now
             made = cut(self.prepare(good.where("text is not null").drop("kb_id"), **options))  # both tables are written from it
-            rows = store.conformed(context.store_rows(made).join(made.select("doc_id", "chunk_index", "supp_id", "metadata"), ["doc_id", "chunk_index"]).withColumn("kb_id", F.lit(self.kb_id)).withColumn("created_on", F.lit(str(int(time.time())))))
-            self.lake.append("chunks", rows)
+            rows = store.conformed(context.store_rows(made, "supp_id", "metadata").withColumn("kb_id", F.lit(self.kb_id)).withColumn("created_on", F.lit(str(int(time.time())))))
             embed = self.embedding
-            self.lake.append("vectors", context.vector_rows(made, lambda texts: embed.get_embeddings(texts, "document")).withColumn("vec_id", F.xxhash64("doc_id", "chunk_index")))
+            vectors_ = context.vector_rows(made, lambda texts: embed.get_embeddings(texts, "document")).withColumn("vec_id", F.xxhash64("doc_id", "chunk_index"))
+            self.lake.commit(append={"chunks": self.lake.write("chunks", rows), "vectors": self.lake.write("vectors", vectors_)})
         return refused
 
     def delete_documents(self, doc_ids: list[str]) -> None:
-        for table in ("chunks", "vectors"):
-            rows = self.lake.read(table)
-            if rows is not None:
-                self.lake.replace(table, vectors.without_document(rows, doc_ids))
+        """Takes the documents out of chunks and vectors, by one commit."""
+        base, _ = self.lake.state()
+        kept = {t: self.lake.read(t) for t in ("chunks", "vectors")}
+        self.lake.commit(replace={t: self.lake.write(t, vectors.without_document(rows, doc_ids)) for t, rows in kept.items() if rows is not None}, base=base)
 
     def delete(self) -> None:
         self.lake.delete("")

@@ -102,30 +102,50 @@ def chunk_lines(lines: DataFrame, size: int = CHUNK_SIZE, min_length: int = MIN_
     """(doc_id, section_index, run, piece, line_start, line_end, content, page_start, page_end, is_visual): the chunks of all runs.
 
     lines: (doc_id, section_index, line_no, content, page_number, is_visual), line
-    numbers dense within a run.  Visual runs and runs shorter than min_length are
-    one chunk, made in the JVM; only longer ones go through the splitter.
+    numbers dense within a run.
+    """
+    return chunk_texts(run_texts(lines), size, min_length)
+
+
+def chunk_sections(parts: DataFrame, size: int = CHUNK_SIZE, min_length: int = MIN_LENGTH, carried: tuple[str, ...] = ()) -> DataFrame:
+    """The chunks of sections (doc_id, section_index, start, end, lines) of plain text, each a single run; made from the row, without a shuffle."""
+    run = {
+        "run": F.lit(0), "is_visual": F.lit(False), "line_start": F.col("start"), "line_end": F.col("end"), "contents": F.col("lines"), "pages": F.transform("lines", lambda x: F.lit(None).cast("int")),
+        "content": F.array_join(F.transform("lines", lambda x: F.coalesce(x, F.lit(""))), "\n"),
+    }
+    return chunk_texts(parts.withColumns(run), size, min_length, carried)
+
+
+def chunk_texts(texts: DataFrame, size: int = CHUNK_SIZE, min_length: int = MIN_LENGTH, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Runs (see run_texts) to chunks, with the columns `carried` of their run.
+
+    Visual runs and runs shorter than min_length are one chunk, made in the JVM;
+    only longer ones go through the splitter.
     """
-    texts = run_texts(lines)
     short = F.col("is_visual") | (F.length("content") < min_length)
     page = lambda i: F.col("pages")[i]
-    columns = ["doc_id", "section_index", "run", "piece", "line_start", "line_end", "content", "page_start", "page_end", "is_visual"]
+    own = ["doc_id", "section_index", "run", "piece", "line_start", "line_end", "content", "page_start", "page_end", "is_visual"]
+    columns = own + list(carried)
     whole = texts.where(short).withColumn("piece", F.lit(0)).withColumn("page_start", page(0)).withColumn("page_end", F.element_at("pages", -1)).select(*columns)
 
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for doc, section, run, first, contents, pages in part[["doc_id", "section_index", "run", "line_start", "contents", "pages"]].itertuples(index=False):
+            rows, source = [], []
+            for at, (doc, section, run, first, contents, pages) in enumerate(part[["doc_id", "section_index", "run", "line_start", "contents", "pages"]].itertuples(index=False)):
                 for n, (text, a, b) in enumerate(chunk_run([c or "" for c in contents], first, size)):
                     rows.append((doc, section, run, n, a, b, text, pages[a - first], pages[b - first], False))
-            out = pd.DataFrame(rows, columns=columns)
+                    source.append(at)
+            out = pd.DataFrame(rows, columns=own)
             for c in ("page_start", "page_end"):
                 out[c] = out[c].astype("Int32")
+            for c in carried:
+                out[c] = part[c].to_numpy()[source]
             yield out
 
     kinds = dict(texts.dtypes)
-    schema = f"doc_id {kinds['doc_id']}, section_index int, run int, piece int, line_start int, line_end int, content string, page_start int, page_end int, is_visual boolean"
-    long = texts.where(~short).select("doc_id", "section_index", "run", "line_start", "contents", F.transform("pages", lambda p: p.cast("int")).alias("pages")).mapInPandas(split, schema)
-    return whole.select(*[F.col(c).cast(t).alias(c) for c, t in (x.rsplit(" ", 1) for x in schema.split(", "))]).union(long)
+    types = [kinds["doc_id"], "int", "int", "int", "int", "int", "string", "int", "int", "boolean", *(kinds[c] for c in carried)]
+    long = texts.where(~short).select("doc_id", "section_index", "run", "line_start", "contents", F.transform("pages", lambda p: p.cast("int")).alias("pages"), *carried)
+    return whole.select(*[F.col(c).cast(t).alias(c) for c, t in zip(columns, types)]).union(long.mapInPandas(split, ", ".join(f"`{c}` {t}" for c, t in zip(columns, types))))
 
 
 def indexed(chunks: DataFrame) -> DataFrame:

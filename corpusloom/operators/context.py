@@ -120,11 +120,11 @@ def page_texts(elements: DataFrame) -> DataFrame:
     return elements.where("page_number is not null").join(first, "doc_id", "left_semi").groupBy("doc_id", "page_number").agg(text.alias("content"))
 
 
-def store_rows(chunks: DataFrame) -> DataFrame:
-    """Chunks as rows of the chunk store; missing pages stay null, a missing flag is false."""
+def store_rows(chunks: DataFrame, *more: str) -> DataFrame:
+    """Chunks as rows of the chunk store, with further columns of theirs; missing pages stay null, a missing flag is false."""
     return chunks.select(
         "doc_id", "chunk_index", F.col("content").alias("chunk_text"), F.length(F.coalesce("content", F.lit(""))).alias("chunk_length"), "document_title", "document_summary",
-        "section_title", "section_summary", F.col("page_start").alias("chunk_page_start"), F.col("page_end").alias("chunk_page_end"), F.coalesce("is_visual", F.lit(False)).alias("is_visual"),
+        "section_title", "section_summary", F.col("page_start").alias("chunk_page_start"), F.col("page_end").alias("chunk_page_end"), F.coalesce("is_visual", F.lit(False)).alias("is_visual"), *more,
     )
 
 

@@ -1,14 +1,19 @@
-"""Tables of a knowledge base on a file system: Parquet folders, one version per write, and JSON configs.
-
-A table is a folder of versions; the newest complete one holds.  A change writes
-a new version from the old one and then names it, so readers never see half a
-change and a lost executor only repeats its tasks.  Paths may be local or of any
-file system Spark knows (s3a://, hdfs://, …).
+"""Tables of a knowledge base on a file system: Parquet folders, a log of commits, and JSON configs.
+
+Every write goes to a folder of its own, which nobody reads until a commit names
+it.  A commit is one small file that lists the folders of all tables, so a change
+of several tables holds wholly or not at all; what a failed write leaves behind is
+never read.  Commits are numbered, and a number can be taken once: of two writers
+the slower one adds its folders to what the faster one committed, or, if it
+replaces a table that has changed meanwhile, is refused.  Paths may be local or of
+any file system Spark knows (s3a://, hdfs://, …).
 """
 
 from __future__ import annotations
 
 import json
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,29 +61,82 @@ class Lake:
         finally:
             source.close()
 
-    def version(self, table: str) -> int | None:
-        held = self.load_json(f"{table}/_current.json")
-        return held["version"] if held else None
+    def state(self) -> tuple[int, dict[str, list[dict]]]:
+        """Number of the last commit (0: none) and the folders of each table by it."""
+        for name in reversed(self.names("_commits")):
+            held = self.load_json(f"_commits/{name}")
+            if held is not None:  # else a writer was lost while it wrote the file
+                return int(name.split(".")[0]), held
+        return 0, {}
 
     def read(self, table: str) -> DataFrame | None:
-        now = self.version(table)
-        return None if now is None else self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/{table}/v{now}")
+        folders = self.state()[1].get(table)
+        if not folders:
+            return None
+        read = lambda paths: self.spark.read.option("mergeSchema", "true").parquet(*paths)
+        path = lambda f: f"{self.root}/{table}/{f['folder']}"
+        plain = [path(f) for f in folders if not f["by"]]
+        frames = ([read(plain)] if plain else []) + [read([path(f)]) for f in folders if f["by"]]
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+    def write(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> dict:
+        """Rows in a folder of the table that no commit names yet."""
+        folder = f"v{self.state()[0] + 1}-{uuid.uuid4().hex[:12]}"
+        writer = rows.write.mode("errorifexists")
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{table}/{folder}")
+        return {"folder": folder, "by": partition_by or []}
+
+    def commit(self, append: dict[str, dict] | None = None, replace: dict[str, dict] | None = None, base: int | None = None) -> int:
+        """Names written folders of any number of tables at once; base: the commit that what replaces was made from."""
+        while True:
+            now, tables = self.state()
+            changed = base is not None and base != now
+            if changed and replace:
+                held = self.load_json(f"_commits/{base:010d}.json") or {}
+                if any(held.get(t) != tables.get(t) for t in replace):
+                    raise RuntimeError("the table was changed by another writer")
+            new = dict(tables)
+            for table, folder in (append or {}).items():
+                new[table] = [*new.get(table, []), folder]
+            for table, folder in (replace or {}).items():
+                new[table] = [folder]
+            number = max([now, *(int(n.split(".")[0]) for n in self.names("_commits"))]) + 1
+            if self._create(f"_commits/{number:010d}.json", new):
+                self._tidy(number, now, replace or {}, tables)
+                return number
+
+    def _create(self, path: str, value) -> bool:
+        """Whether the file did not exist before."""
+        fs, p = self._fs(f"{self.root}/{path}")
+        try:
+            out = fs.create(p, False)
+        except Exception as e:
+            if "exist" in str(e).lower():
+                return False
+            raise
+        try:
+            out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
+        finally:
+            out.close()
+        return True
+
+    def _tidy(self, number: int, before: int, replaced: dict, tables: dict[str, list[dict]]) -> None:
+        """Drops what was replaced before the last change: its readers had the time of one change to end."""
+        old = self.load_json("_replaced.json") or {}
+        for table in replaced:
+            for folder in old.get(table, []):
+                self.delete(f"{table}/{folder}")
+            old[table] = [f["folder"] for f in tables.get(table, [])]
+        if replaced:
+            self.save_json("_replaced.json", old)
+        for name in self.names("_commits")[:-100]:
+            self.delete(f"_commits/{name}")
 
     def replace(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        """A new version of the table; the version before the old one is dropped."""
-        old = self.version(table)
-        new = 0 if old is None else old + 1
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{table}/v{new}")
-        self.save_json(f"{table}/_current.json", {"version": new})
-        if old:
-            self.delete(f"{table}/v{old - 1}")
+        """The table becomes these rows; what they replace is kept until the next such change."""
+        base = self.state()[0]
+        self.commit(replace={table: self.write(table, rows, partition_by)}, base=base)
 
     def append(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> None:
-        """Rows added to the present version, whose columns may grow; the write commits as a whole."""
-        now = self.version(table)
-        if now is None:
-            self.replace(table, rows, partition_by)
-            return
-        writer = rows.write.mode("append")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.root}/{table}/v{now}")
+        """Rows added to the table, whose columns may grow."""
+        self.commit(append={table: self.write(table, rows, partition_by)})

@@ -95,6 +95,52 @@ def test_lake(spark, tmp_path):
     assert [r.id for r in lake.read("t").collect()] == [2] and len([n for n in lake.names("t") if n.startswith("v")]) == 2
 
 
+def test_commits_hold_wholly_or_not_at_all(spark, tmp_path):
+    lake, other = Lake(spark, str(tmp_path / "lake")), Lake(spark, str(tmp_path / "lake"))
+    rows = lambda *ids: spark.createDataFrame([(i, "k") for i in ids], "id int, k string")
+    ids = lambda t: sorted(r.id for r in lake.read(t).collect())
+    lake.commit(append={"a": lake.write("a", rows(1)), "b": lake.write("b", rows(1))})
+    lake.write("a", rows(9))  # never committed
+    assert ids("a") == [1] == ids("b")
+    # a slower writer adds to what a faster one has committed, but doesn't replace it
+    base, _ = lake.state()
+    slow = lake.write("a", rows(2))
+    other.append("a", rows(3))
+    lake.commit(append={"a": slow}, base=base)
+    assert ids("a") == [1, 2, 3]
+    with pytest.raises(RuntimeError):
+        lake.commit(replace={"a": lake.write("a", rows(4))}, base=base)
+    lake.commit(replace={"b": lake.write("b", rows(5))}, base=base)  # the other table has not changed
+    assert ids("b") == [5]
+    # a writer was lost in the middle of its commit
+    (tmp_path / "lake" / "_commits" / "0000000099.json").write_text('{"a": [')
+    assert ids("a") == [1, 2, 3]
+    other.append("a", rows(6))
+    assert ids("a") == [1, 2, 3, 6] and lake.state()[0] == 100
+    lake.replace("p", rows(1, 2), ["k"])
+    lake.append("p", rows(3), ["k"])
+    assert ids("p") == [1, 2, 3]
+
+
+def test_a_load_that_fails_half_way_can_be_repeated(spark, tmp_path, monkeypatch):
+    kb = KnowledgeBase(spark, str(tmp_path / "kbs"), "kb")
+    rows = spark.createDataFrame(DOCS, "doc_id string, text string")
+    whole = Lake.write
+
+    def failing(self, table, rows, partition_by=None):
+        if table == "vectors":
+            raise OSError("disk full")
+        return whole(self, table, rows, partition_by)
+
+    monkeypatch.setattr(Lake, "write", failing)
+    with pytest.raises(OSError):
+        kb.add_documents(rows)
+    assert kb.chunks is None and kb.vectors is None
+    monkeypatch.setattr(Lake, "write", whole)
+    assert kb.add_documents(rows).collect() == []
+    assert kb.chunks.count() == kb.vectors.count() > 0 and {r.doc_id for r in kb.chunks.collect()} == {"apples", "cars"}
+
+
 def test_plugins():
     class Mine(Embedding):
         def __init__(self, dimension=3):
