@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import cut
+
 #: Parameter presets.
 PRESETS = {
     "balanced": dict(max_length=15, overall_max_length=30, minimum_value=0.5, irrelevant_chunk_penalty=0.18, overall_max_length_extension=5, decay_rate=30, top_k_for_document_selection=10, chunk_length_adjustment=True),
@@ -166,5 +168,6 @@ def to_chunks(found: DataFrame, meta: DataFrame) -> DataFrame:
 def relevant_segments(ranked: DataFrame, params: str | dict | None = None) -> DataFrame:
     """The whole way from ranked lists (batch_id, query_id, rank, similarity, doc_id, chunk_index[, chunk_chars]) to segments."""
     p = parameters(params)
-    meta = meta_document(ranked, p["top_k_for_document_selection"])
+    ranked = cut(ranked)  # read by every step: the search behind it runs once
+    meta = cut(meta_document(ranked, p["top_k_for_document_selection"]))
     return to_chunks(best_segments(values(ranked, meta, p), meta, p), meta)

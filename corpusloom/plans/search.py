@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.functions.beta import transform
-from corpusloom.operators import answers, rerank, segments, store, vectors
-from corpusloom.session import table
+from corpusloom.operators import answers, context, rerank, segments, store, vectors
+from corpusloom.plugins import HashedWords
+from corpusloom.session import cut, table
 
 K = 200
 EVERY = 100
@@ -39,7 +40,7 @@ def vec_02(spark, d):
 
 
 def vec_03(spark, d):
-    return vectors.search_approximate(_queries(spark, d), _vectors(spark, d), 10, cells=16, probes=12).withColumn("similarity", F.round("similarity", 6))
+    return vectors.search_approximate(_queries(spark, d), _vectors(spark, d), 10).withColumn("similarity", F.round("similarity", 6))
 
 
 def vec_04(spark, d):
@@ -94,11 +95,12 @@ def rrk_01(spark, d):
 
 
 def _questions(spark, d):
-    """Each evaluation question against the passages of its suite, as ranked lists."""
-    items = table(spark, d, "eval_items").where("passage is not null")
-    asked = table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "suite", F.col("question").alias("query"))
-    rank = F.row_number().over(segments.Window.partitionBy("query_id").orderBy("item_id")) - 1
-    return asked.join(items.select("suite", "item_id", F.col("passage").alias("text")), "suite").withColumn("rank", rank.cast("int")).withColumn("similarity", F.lit(0.5))
+    """Each evaluation question with the best passages that a search finds for it, as ranked lists."""
+    embed = context.embedded(F.col("text"), HashedWords().get_embeddings)
+    items = table(spark, d, "eval_items").where("passage is not null").select("item_id", F.col("passage").alias("text")).withColumn("embedding", embed)
+    asked = table(spark, d, "eval_items").where("question is not null").select(F.col("item_id").alias("query_id"), F.col("question").alias("text")).withColumn("vector", embed)
+    found = vectors.search(asked, items, 50, id_col="item_id")
+    return found.withColumnRenamed("vec_id", "item_id").join(items.select("item_id", "text"), "item_id").join(asked.select("query_id", F.col("text").alias("query")), "query_id")
 
 
 def rrk_02(spark, d):
@@ -134,8 +136,8 @@ _P = segments.parameters("balanced")
 
 
 def _parts(spark, d):
-    lists = ranked(spark, d)
-    meta = segments.meta_document(lists, _P["top_k_for_document_selection"])
+    lists = cut(ranked(spark, d))
+    meta = cut(segments.meta_document(lists, _P["top_k_for_document_selection"]))
     return lists, meta, segments.values(lists, meta, _P)
 
 
@@ -148,7 +150,7 @@ def rse_02(spark, d):
 
 
 def rse_03(spark, d):
-    lists = ranked(spark, d)
+    lists = cut(ranked(spark, d))
     plain = segments.values(lists, segments.meta_document(lists, 10), _P | {"chunk_length_adjustment": False})
     return plain.select("batch_id", "query_id", "position", F.round("value", 6).alias("value"))
 
@@ -179,7 +181,7 @@ def rse_08(spark, d):
 
 def rse_09(spark, d):
     """The presets applied to the same lists: picks and chunks per batch and preset."""
-    lists = ranked(spark, d)
+    lists = cut(ranked(spark, d))
     out = None
     for name in segments.PRESETS:
         found = segments.relevant_segments(lists, name).groupBy("batch_id").agg(F.count(F.lit(1)).alias("picks"), F.sum(F.col("chunk_end") - F.col("chunk_start")).alias("chunks")).withColumn("preset", F.lit(name))

@@ -42,15 +42,14 @@ def test_filters_run_before_the_ranking(spark):
             vectors.predicate("doc_id", *bad)
 
 
-def test_many_queries_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 3)
+def test_many_queries_in_blocks(spark):
     rng = np.random.default_rng(1)
     x, q = rng.normal(size=(50, 8)), rng.normal(size=(8, 8))
     table = spark.createDataFrame([(i, [float(v) for v in r], "d") for i, r in enumerate(x)], "vec_id bigint, embedding array<double>, doc_id string").repartition(4)
     ask = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(q)], "query_id bigint, vector array<double>")
     s = (q / np.linalg.norm(q, axis=1)[:, None]) @ (x / np.linalg.norm(x, axis=1)[:, None]).T
     want = {(i, n, int(j)) for i in range(8) for n, j in enumerate(np.argsort(-s[i], kind="stable")[:7])}
-    assert {(r.query_id, r.rank, r.vec_id) for r in vectors.search(ask, table, 7).collect()} == want
+    assert {(r.query_id, r.rank, r.vec_id) for r in vectors.search(ask, table, 7, block=3).collect()} == want
     near = {(r.query_id, r.rank, r.vec_id) for r in vectors.search_approximate(ask, table, 7, cells=5, probes=5).collect()}
     assert near == want
 
@@ -64,6 +63,14 @@ def test_approximate_recall(spark):
     true = {(r.query_id, r.vec_id) for r in vectors.search(ask, table, 10).collect()}
     got = {(r.query_id, r.vec_id) for r in vectors.search_approximate(ask, table, 10, cells=32, probes=8).collect()}
     assert len(true & got) >= 0.9 * len(true)
+    for rows, most in ((x, 16), (rng.normal(size=(1500, 16)), 32)):  # clustered or not: the probes follow
+        table = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "vec_id bigint, embedding array<double>")
+        ask = table.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+        true = {(r.query_id, r.vec_id) for r in vectors.search(ask, table, 10).collect()}
+        got = {(r.query_id, r.vec_id) for r in vectors.search_approximate(ask, table, 10, cells=32).collect()}
+        assert len(true & got) >= 0.93 * len(true)
+        unit = vectors._unit(rows)
+        assert vectors._probes(unit, vectors._centres(unit, 32), 10, 0.97) <= most
 
 
 def test_beta_goldens(spark):
@@ -158,3 +165,27 @@ def test_reranked_lists_are_whole(spark, small):
 
     for query in (search.rrk_02, search.rrk_03):
         assert query(spark, small).count() == search._questions(spark, small).count()
+
+
+def test_more_queries_than_a_block_meet_the_vectors_in_a_grid(spark):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(400, 8)), 1)
+    x[50:60] = x[0]
+    rows = spark.createDataFrame([(int(i), [float(v) for v in row]) for i, row in enumerate(x)] + [(900, None), (901, [1.0] * 7)], "vec_id bigint, embedding array<double>")
+    asked = rows.where("vec_id < 120").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    listed = lambda df: sorted((r.query_id, r.rank, r.vec_id, round(r.similarity, 9)) for r in df.collect())
+    for metric in ("cosine", "l2", "dot"):
+        whole = listed(vectors.search(asked, rows, 7, metric=metric))
+        assert len(whole) == 120 * 7 and whole == listed(vectors.search(asked, rows, 7, metric=metric, block=16))
+
+
+def test_running_best_keeps_ties_by_id():
+    rng = np.random.default_rng(13)
+    best = vectors.Best(5, 4)
+    ids, value = rng.permutation(60), rng.integers(0, 6, (5, 60)).astype(float)
+    for i in range(0, 60, 20):
+        best.offer(0, ids[i : i + 20], value[:, i : i + 20], -value[:, i : i + 20])
+    for q in range(5):
+        want = sorted(zip(value[q], ids))[:4]
+        got = sorted(zip(best.value[best.row == q], best.vec[best.row == q]))
+        assert got == want
