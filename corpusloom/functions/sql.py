@@ -25,8 +25,8 @@ class _Pieces:
 
 def register(spark: SparkSession) -> None:
     """text_lines(text, longest) and text_pieces(text, size) as table functions, beta_cdf(x, a, b) as a function."""
-    spark.udtf.register("text_lines", F.udtf(_Lines, returnType="line_no int, content string"))
-    spark.udtf.register("text_pieces", F.udtf(_Pieces, returnType="piece int, content string"))
+    spark.udtf.register("text_lines", F.udtf(_Lines, returnType="line_no int, content string", useArrow=True))
+    spark.udtf.register("text_pieces", F.udtf(_Pieces, returnType="piece int, content string", useArrow=True))
 
     @F.pandas_udf("double")
     def beta(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:

@@ -2,51 +2,44 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusloom.operators.ordering import latest
-from corpusloom.session import shared_dir, table
+from corpusloom.session import scratch, table
 from corpusloom.sources import files
 from corpusloom.streaming import ingest
 
 
-def _folder(spark, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def _lines(spark, d, *columns: str):
+    """The lines of the corpus, to be written as text."""
+    rows = table(spark, d, "documents").where(F.col("text").isNotNull())
+    return rows.select(*columns, F.explode(F.split("text", "\n", -1)).alias("value"))
 
 
-def _texts(spark, d):
-    """The corpus as text files, one per document of at most a line break at its end, in a folder of the shared directory."""
-    return table(spark, d, "documents").where("text is not null")
+def _parts(texts):
+    """The lines of files that end with a line break."""
+    return texts.select("*", F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n", -1)).alias("line"))
 
 
 def src_03(spark, d):
-    """The corpus as plain text lines, written and read back: lines and characters per document."""
-    folder = _folder(spark, "text")
-    rows = _texts(spark, d).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    # a record per line: the document, the place, the text with its carriage returns escaped
-    safe = F.replace(F.replace("line", F.lit("\\"), F.lit("\\\\")), F.lit("\r"), F.lit("\\r"))
-    rows.select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.col("pos").cast("string"), safe).alias("value")).write.text(folder)
-    read = spark.read.option("lineSep", "\n").text(folder).select(F.split("value", "\t", 3).alias("f"))
-    line = F.replace(F.replace(F.replace(F.element_at("f", 3), F.lit("\\\\"), F.lit("\u0001")), F.lit("\\r"), F.lit("\r")), F.lit("\u0001"), F.lit("\\"))
-    return read.select(F.element_at("f", 1).cast("bigint").alias("doc_id"), F.length(line).alias("n")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum("n").cast("bigint").alias("characters"))
+    """The corpus as plain text files of bounded size, read by the text source: how often each line stands in it."""
+    folder = scratch(spark, "text")
+    _lines(spark, d).write.option("maxRecordsPerFile", 20_000).text(folder)
+    return _parts(files.read_texts(spark, folder)).groupBy("line").agg(F.count(F.lit(1)).alias("times"))
 
 
 def src_04(spark, d):
-    """A folder of Markdown files, one per source, read by the directory source."""
-    folder = _folder(spark, "files")
-    rows = _texts(spark, d).where("source is not null").select("source", "doc_id")
-    rows.select(F.col("doc_id").cast("string").alias("value"), "source").repartition("source").write.partitionBy("source").text(folder)
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(folder)
-    found = files.parsed(read.select(files.document_id(F.col("path"), F.lit(folder)).alias("doc_id"), "path", "content"))
+    """A tree of text files, a folder for each source, read by the directory source: lines and characters of each source."""
+    folder = scratch(spark, "files")
+    _lines(spark, d, "source").where("source is not null").write.option("maxRecordsPerFile", 20_000).partitionBy("source").text(folder)
+    found = files.read_directory(spark, folder).where("error is null")
     source = F.regexp_extract("doc_id", "^source=([^_]+)_", 1)
-    return found.select(source.alias("source"), F.regexp_count("text", F.lit("\n")).alias("n")).groupBy("source").agg(F.sum("n").cast("bigint").alias("documents"))
+    return _parts(found.select(source.alias("source"), "text")).groupBy("source").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("line")).cast("bigint").alias("characters"))
 
 
 def _run(stream, spark):
     """All updates that a stream gives until its present input is read, as files of the shared directory."""
-    folder = _folder(spark, "stream")
+    folder = scratch(spark, "stream")
 
     def keep(rows, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
@@ -74,8 +67,8 @@ def str_02(spark, d):
 
 QUERIES = {"src_03_text_files": src_03, "src_04_directory": src_04, "str_01_latest_states": str_01, "str_02_exchange_rates": str_02}
 SQL = {
-    "src_03_text_files": "select doc_id, count(*) as lines, cast(sum(length(line)) as bigint) as characters from (select doc_id, unnest(string_split(text, chr(10))) as line from documents where text is not null) group by 1",
-    "src_04_directory": "select source, count(*) as documents from documents where text is not null and source is not null group by 1",
+    "src_03_text_files": "select line, count(*) as times from (select unnest(string_split(text, chr(10))) as line from documents where text is not null) group by 1",
+    "src_04_directory": "select source, count(*) as lines, cast(sum(length(line)) as bigint) as characters from (select source, unnest(string_split(text, chr(10))) as line from documents where text is not null and source is not null) group by 1",
     "str_01_latest_states": "select thread_id, message_id, nullif(arg_max(coalesce(model_response_status, '<null>'), received_at), '<null>') as model_response_status, epoch_us(max(received_at)) as received_us from interactions where thread_id is not null and message_id is not null group by 1, 2",
     "str_02_exchange_rates": """with s as (select trim(user_input_timestamp) as s from interactions),
 t as (select case

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answers, store, vectors
-from corpusloom.session import shared_dir, table
+from corpusloom.session import scratch, table
 from corpusloom.sources.lake import Lake
 
 
@@ -67,7 +65,7 @@ def cdb_13(spark, d):
 
 
 def _scratch(spark):
-    return Lake(spark, f"{shared_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}")
+    return Lake(spark, scratch(spark, "queries"))
 
 
 def snk_01(spark, d):
@@ -88,12 +86,17 @@ def snk_02(spark, d):
 
 
 def snk_03(spark, d):
-    """Configs of all knowledge bases as JSON and back."""
-    rows = table(spark, d, "knowledge_bases")
-    columns = ["kb_id", "title", "description", "language", "chunk_size", "supp_id", "created_on"]
-    text = rows.select("kb_id", F.to_json(F.struct(*columns)).alias("config"))
-    kind = ", ".join(f"{n} {t}" for n, t in rows.select(*columns).dtypes)
-    return text.select(F.from_json("config", kind).alias("c")).select("c.*")
+    """The config of every knowledge base (a fixed number) saved as JSON, loaded again and deleted."""
+    rows = table(spark, d, "knowledge_bases").select("kb_id", "title", "description", "language", "chunk_size", "supp_id", "created_on")
+    lake, found = _scratch(spark), []
+    for r in rows.collect():
+        path = f"{r.kb_id}.json"
+        if not lake.exists(path):
+            lake.save_json(path, r.asDict())
+            held = lake.load_json(path)
+            if lake.delete(path) and lake.load_json(path) is None:
+                found.append(tuple(held[c] for c in rows.columns))
+    return spark.createDataFrame(found, rows.schema)
 
 
 def snk_04(spark, d):
@@ -107,18 +110,22 @@ def kbo_02(spark, d):
     """The corpus as a knowledge base would store it: chunks with context, counted by document."""
     from corpusloom.catalog import KnowledgeBase
 
-    kb = KnowledgeBase(spark, shared_dir(spark), f"base-{uuid.uuid4().hex}")
+    kb = KnowledgeBase(spark, scratch(spark, "bases"), "base")
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "title")
     made = kb.prepare(docs)
     return made.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max("chunk_index").alias("last"), F.max("document_title").alias("title"))
 
 
 def kbo_03(spark, d):
-    """Loading many documents: rows without text or id are set aside, one bad document stops no other."""
-    docs = table(spark, d, "documents").select("kb_id", F.col("doc_id").cast("string").alias("doc_id"), "text")
-    good, bad = store.added(_store(spark, d), docs)
-    bad = bad.union(good.where("text is null").select("kb_id", "doc_id", F.lit("no text").alias("reason")))
-    return good.where("text is not null").select("kb_id", "doc_id", F.lit("added").alias("reason")).union(bad)
+    """The corpus loaded into a knowledge base that holds its German documents already: what became of each document."""
+    from corpusloom.catalog import KnowledgeBase
+
+    kb = KnowledgeBase(spark, scratch(spark, "bases"), "base")
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang")
+    kb.add_documents(docs.where("lang = 'de'").drop("lang"), use_sectioning=False)
+    refused = kb.add_documents(docs.drop("lang"), use_sectioning=False)
+    stored = kb.chunks.select("doc_id").distinct()
+    return stored.join(refused, "doc_id", "full").select("doc_id", F.coalesce("reason", F.lit("added")).alias("reason"))
 
 
 def kbo_04(spark, d):
@@ -175,7 +182,7 @@ from f join (select kb_id, doc_id, count(*) as chunk_count, string_agg(coalesce(
     "snk_02_vector_upsert": "select doc_id, chunk_index, case when coalesce(h, '') = '' then v + 1000000 else v end as vec_id from (select doc_id, chunk_index, max(vec_id) as v, max(chunk_header) as h from chunk_vectors group by 1, 2)",
     "snk_03_configs": "select kb_id, title, description, language, chunk_size, supp_id, created_on from knowledge_bases",
     "snk_04_retriever": _retriever_sql(),
-    "kbo_03_add_documents": """select kb_id, cast(doc_id as varchar) as doc_id, case when (kb_id, cast(doc_id as varchar)) in (select kb_id, doc_id from chunk_store) then 'exists' when text is null then 'no text' else 'added' end as reason from documents""",
+    "kbo_03_add_documents": "select cast(doc_id as varchar) as doc_id, case when text is null then 'no text' when lang = 'de' then 'exists' else 'added' end as reason from documents",
     "kbo_04_delete": """select * from (select doc_id, count(*) as chunks from chunk_store where doc_id <> 'central-operations-handbook.md' group by 1)
 full join (select doc_id, count(*) as vectors from chunk_vectors where doc_id is distinct from 'central-operations-handbook.md' group by 1) using (doc_id)""",
 }

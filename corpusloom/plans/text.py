@@ -159,11 +159,16 @@ def chk_05(spark, d):
     """The lines that hold characters 300 to 600 of every section's text."""
     w = "partition by doc_id, section_index order by line_no"
     spans = parsed_lines(spark, d).selectExpr("doc_id", "section_index", "line_no", f"cast(sum(length(content) + 1) over ({w}) as int) - length(content) - 1 as a", f"cast(sum(length(content) + 1) over ({w}) as int) - 1 as b")
-    at = lambda x: (F.col("a") <= x) & (F.lit(x) <= F.col("b") + 1)
-    inside = (F.col("a") > 300) & (F.col("b") < 600)
-    first = F.coalesce(F.max(F.when(at(300), F.col("line_no"))), F.min(F.when(inside, F.col("line_no"))), F.min("line_no"))
-    last = F.coalesce(F.max(F.when(at(600) | inside, F.col("line_no"))), F.max("line_no"))
-    return spans.groupBy("doc_id", "section_index").agg(first.alias("first_line"), last.alias("last_line"))
+    # only lines around the two characters can be among those asked for
+    near = spans.where("b + 1 >= 300 and a <= 600").groupBy("doc_id", "section_index").agg(F.array_sort(F.collect_list(F.struct("line_no", "a", "b"))).alias("spans"))
+    ends = spans.groupBy("doc_id", "section_index").agg(F.min("line_no").alias("low"), F.max("line_no").alias("high"))
+
+    def run(parts):
+        for part in parts:
+            found = [chunks.lines_in_range(300, 600, [(x["line_no"], x["a"], x["b"]) for x in (s if s is not None else [])], a, b) for s, a, b in zip(part["spans"], part["low"], part["high"])]
+            yield part[["doc_id", "section_index"]].assign(first_line=[a for a, _ in found], last_line=[b for _, b in found])
+
+    return ends.join(near, ["doc_id", "section_index"], "left").mapInPandas(run, "doc_id string, section_index int, first_line int, last_line int")
 
 
 def src_06(spark, d):
@@ -389,6 +394,8 @@ plines as (select doc_id, section_index, cast(row_number() over (partition by do
 runs as (select *, cast(sum(case when is_visual or coalesce(prev, true) then 1 else 0 end) over (partition by doc_id, section_index order by line_no rows unbounded preceding) as integer) as run
   from (select *, lag(is_visual) over (partition by doc_id, section_index order by line_no) as prev from plines))"""
 _TOKENS = r"regexp_extract_all({0}, '[ \t\n\r\f]*(?:[\p{{L}}\p{{N}}]+|[^ \t\n\r\f\p{{L}}\p{{N}}])')"
+#: The first twelve words of the last paragraph of a prompt.
+_FIRST_WORDS = f"array_to_string(list_filter(regexp_split_to_array(string_split(regexp_replace(prompt, '^{SPACES}|{SPACES}$', '', 'g'), chr(10) || chr(10))[-1], '{SPACES}'), lambda w: w <> '')[1:12], ' ')"
 _DOC_HEAD = "case when coalesce(document_title, '') <> '' then 'Document context: the following excerpt is from a document titled ''' || document_title || '''. ' || coalesce(document_summary, '') else '' end"
 _SEC_HEAD = "case when coalesce(section_title, '') <> '' then chr(10) || chr(10) || 'Section context: this excerpt is from the section titled ''' || section_title || '''. ' || coalesce(section_summary, '') else '' end"
 _TRIM = r"regexp_replace({0}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
@@ -460,6 +467,11 @@ select item_id, string_agg(path, ',' order by page_number) as paths from w join
 select item_id, string_agg(content, chr(10) order by page_number) as content from w join pages using (doc_id, page_number) group by 1""",
     "ctx_01_first_tokens": f"select doc_id, case when len(t) <= 100 then text else array_to_string(t[1:100], '') end as content, cast(least(len(t), 100) as bigint) as tokens from (select doc_id, text, {_TOKENS.format('text')} as t from documents where text is not null)",
     "ctx_02_titles": f"select doc_id, case when coalesce({_TRIM.format('title')}, '') <> '' then title else doc_id end as title from kb_documents",
+    "ctx_03_document_summaries": f"""with t as (select doc_id, lang, text, {_TOKENS.format('text')} as t from documents where text is not null),
+p as (select doc_id, concat_ws(chr(10) || chr(10), case when coalesce(lang, 'en') <> 'en' then 'Answer in the language of the document.' end,
+  case when len(t) >= 8000 then 'The text above is only the first 6000 words of the document.' end, case when len(t) <= 8000 then text else array_to_string(t[1:8000], '') end) as prompt from t)
+select doc_id, {_FIRST_WORDS} as document_summary from p""",
+    "ctx_04_section_summaries": f"with recursive {_FILLED}, p as (select doc_id, section_index, title || chr(10) || chr(10) || content as prompt from filled) select doc_id, section_index, {_FIRST_WORDS} as summary from p",
     "ctx_05_prompt_notes": f"""select doc_id, case when coalesce(lang, 'en') <> 'en' then 'Answer in the language of the document.' else '' end as language_note,
 case when len({_TOKENS.format('text')}) >= 200 then 'The text above is only the first 150 words of the document.' else '' end as truncation_note from documents where text is not null""",
     "ctx_06_attach": """with d as (select doc_id, min(title) as document_title, min(summary) as document_summary from kb_documents group by 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,15 +36,27 @@ def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder all executors share; a local one only where the session names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
+        if not named and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusloom-"))
-    return sc.getCheckpointDir()
+        place = named or tempfile.mkdtemp(prefix="corpusloom-")
+        sc.setCheckpointDir(place)
+        drop_at_end(spark, sc.getCheckpointDir() if named else place)  # the application's own folder in it
+    return named or sc.getCheckpointDir()
+
+
+def drop_at_end(spark: SparkSession, path: str) -> None:
+    """The folder is deleted when the application ends."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared one for what lives no longer than the application."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    drop_at_end(spark, path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
