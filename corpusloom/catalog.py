@@ -73,6 +73,15 @@ class KnowledgeBase:
     def vectors(self) -> DataFrame | None:
         return self.lake.read("vectors")
 
+    @property
+    def pages(self) -> DataFrame | None:
+        """(doc_id, page_number, content) of the pages that were added."""
+        return self.lake.read("pages")
+
+    def add_pages(self, pages: DataFrame) -> None:
+        """Adds page texts (doc_id, page_number, content), which answers quote in place of their segments."""
+        self.lake.append("pages", pages.select("doc_id", F.col("page_number").cast("int").alias("page_number"), "content"))
+
     def prepare(self, documents: DataFrame, use_sectioning: bool = True, chunk_size: int = CHUNK_SIZE, min_length: int = MIN_LENGTH) -> DataFrame:
         """Chunks with context of documents (doc_id, text[, title, supp_id, metadata]).
 
@@ -114,9 +123,9 @@ class KnowledgeBase:
         return refused
 
     def delete_documents(self, doc_ids: list[str]) -> None:
-        """Takes the documents out of chunks and vectors, by one commit."""
+        """Takes the documents out of chunks, vectors and pages, by one commit."""
         base, _ = self.lake.state()
-        kept = {t: self.lake.read(t) for t in ("chunks", "vectors")}
+        kept = {t: self.lake.read(t) for t in ("chunks", "vectors", "pages")}
         self.lake.commit(replace={t: self.lake.write(t, vectors.without_document(rows, doc_ids)) for t, rows in kept.items() if rows is not None}, base=base)
 
     def delete(self) -> None:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import importlib
+import json
 import zlib
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -100,11 +102,101 @@ class WordReranker(Reranker):
 
 
 class LanguageModel(Plugin, ABC):
-    """Prompts to answers."""
+    """Prompts to answers.  `serves` names the beginnings of the model names that a provider answers for."""
+
+    serves: tuple[str, ...] = ()
 
     @abstractmethod
     def answer(self, prompts: list[str]) -> list[str]: ...
 
+    def chat(self, messages: list[dict], images: tuple[bytes, ...] = (), **options) -> str:
+        """The answer to messages [{"role", "content"}], with images to the last one; providers that see images override this."""
+        if images:
+            raise ValueError(f"{type(self).__name__} takes no images")
+        return self.answer(["\n\n".join(f"{m['role']}: {m['content']}" for m in messages)])[0]
+
+    def partials(self, messages: list[dict], **options) -> Iterator[str]:
+        """The answer as it grows, each item all of it so far; providers that stream override this."""
+        yield self.chat(messages, **options)
+
+    @classmethod
+    def serving(cls, name: str, **parameters) -> "LanguageModel":
+        """A provider for a model name: the one whose `serves` matches most of it."""
+        fits = [(len(start), kind.__name__, kind) for kind in cls.family.values() for start in kind.serves if name.startswith(start)]
+        if not fits:
+            raise ValueError(f"no provider serves {name!r}")
+        return max(fits, key=lambda f: f[:2])[2](**parameters)
+
+
+def _typed(value, kind) -> bool:
+    """Whether a JSON value is of a kind: a type, [kind of the items], {key: kind}, or a tuple of alternatives."""
+    if isinstance(kind, tuple):
+        return any(_typed(value, k) for k in kind)
+    if isinstance(kind, list):
+        return isinstance(value, list) and all(_typed(v, kind[0]) for v in value)
+    if isinstance(kind, dict):
+        return isinstance(value, dict) and all(_typed(value.get(k), v) for k, v in kind.items())
+    if kind is None:
+        return value is None
+    return isinstance(value, kind) and not (isinstance(value, bool) and kind in (int, float))
+
+
+def first_json(text: str) -> dict:
+    """The first JSON object in a text, whatever stands around it; ValueError if there is none."""
+    decoder, at = json.JSONDecoder(), text.find("{")
+    while at >= 0:
+        try:
+            found, _ = decoder.raw_decode(text, at)
+            return found
+        except ValueError:
+            at = text.find("{", at + 1)
+    raise ValueError("no JSON object")
+
+
+def unfinished_json(text: str) -> dict:
+    """What a JSON object that breaks off holds so far: open strings, lists and objects are closed, a name without a value is left out."""
+    at = text.find("{")
+    body = text[at:] if at >= 0 else ""
+    while body:
+        ends, inside, escaped = [], False, False
+        for c in body:
+            if inside:
+                inside, escaped = not (c == '"' and not escaped), c == "\\" and not escaped
+            elif c == '"':
+                inside, escaped = True, False
+            elif c in "{[":
+                ends.append("}" if c == "{" else "]")
+            elif c in "}]" and ends:
+                ends.pop()
+                if not ends:
+                    break
+        try:
+            found = json.loads(body.rstrip().rstrip(",") + ('"' if inside and not escaped else "") + "".join(reversed(ends))) if not escaped else None
+            if isinstance(found, dict):
+                return found
+        except ValueError:
+            pass
+        body = body[:-1]
+    return {}
+
+
+def structured(model: LanguageModel, messages: list[dict], kind: dict, attempts: int = 3, images: tuple[bytes, ...] = (), **options) -> dict:
+    """A model's answer as a JSON object of a kind (see _typed); an answer that isn't is sent back with what is wrong, `attempts` times in all."""
+    asked, wrong = list(messages), ""
+    for _ in range(attempts):
+        raw = model.chat(asked, images, **options)
+        try:
+            found = first_json(raw)
+        except ValueError as e:
+            wrong = str(e)
+        else:
+            bad = [k for k, v in kind.items() if not _typed(found.get(k), v)]
+            if not bad:
+                return found
+            wrong = "missing or of another type: " + ", ".join(bad)
+        asked = [*messages, {"role": "assistant", "content": raw}, {"role": "user", "content": f"Answer with one JSON object. {wrong}."}]
+    raise ValueError(f"no structured answer in {attempts} attempts: {wrong}")
+
 
 class FirstWords(LanguageModel):
     """An answer without a model: the first words of the prompt's last paragraph."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.catalog import KnowledgeBase
 from corpusloom.observe import counted
-from corpusloom.plugins import Embedding, HashedWords, LanguageModel, NoReranker, Optional_, PageReader, PageRenderer, Reranker, WordReranker
+from corpusloom.plugins import Embedding, HashedWords, LanguageModel, NoReranker, Optional_, PageReader, PageRenderer, Reranker, WordReranker, structured, unfinished_json
 from corpusloom.sources import files
 from corpusloom.sources.lake import Lake
 from corpusloom.streaming import ingest
@@ -219,12 +219,77 @@ def test_chat(spark, tmp_path):
     prompt, segments, _ = chat.prepare(thread, "and pears?", chat.rows(states))
     assert "user: apples in autumn" in prompt and "<source_index: 0>" in prompt and segments
     assert Chat(spark, {"kb": kb}, Down()).respond(thread, "apples")["model_response_status"] == "failed"
+    gone = list(chat.stream(thread | {"kb_ids": ["gone"]}, "x"))
+    assert [s["model_response_status"] for s in gone] == ["pending", "failed"] and "gone" in gone[-1]["model_response"]
     with pytest.raises(ValueError):
-        list(chat.stream(thread | {"kb_ids": ["gone"]}, "x"))
+        list(chat.stream(thread, "x", return_mode="video"))
     with pytest.raises(ValueError):
         chat.new_thread(colour="red")
 
 
+class Typing(LanguageModel):
+    serves = ("typing-", "t")
+
+    def answer(self, prompts):
+        return ["[]" for _ in prompts]
+
+    def partials(self, messages, **options):
+        whole = json.dumps({"response": 'He said "apples", then left.', "citations": [{"source_index": 0, "cited_text": "x"}]})
+        for i in range(4, len(whole), 7):
+            yield whole[:i]
+        yield whole
+
+
+def test_chat_stores_states_as_they_come(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kbs"), "kb", reranker=NoReranker(ignore_absolute_relevance=True))
+    kb.add_documents(spark.createDataFrame(DOCS, "doc_id string, text string"))
+    lake = Lake(spark, str(tmp_path / "chat"))
+    chat = Chat(spark, {"kb": kb}, Typing(), lake=lake)
+    thread = chat.new_thread(kb_ids=["kb"], rse_params='{"minimum_value": 0.0}')
+    seen = []
+    for state in chat.stream(thread, "apples"):
+        seen.append(state)
+        assert lake.read("interactions").count() == len(seen)
+    texts = [s["model_response"] for s in seen if s["model_response_status"] == "streaming"]
+    assert len(texts) > 2 and all(b.startswith(a) for a, b in zip(texts, texts[1:])) and seen[-1]["model_response"] == 'He said "apples", then left.'
+    assert json.loads(seen[-1]["citations"])[0]["kb_id"] == "kb"
+    prompt, _, _ = chat.prepare(thread, "and pears?")
+    assert "user: apples" in prompt and 'assistant: He said "apples", then left.' in prompt
+
+
+def test_pages_stand_in_the_context(spark, tmp_path):
+    kb = KnowledgeBase(spark, str(tmp_path / "kbs"), "kb")
+    kb.add_pages(spark.createDataFrame([("d", 1, "first page"), ("d", 2, "second page"), ("e", 1, "other")], "doc_id string, page_number int, content string"))
+    segments = [{"kb_id": "kb", "source_index": 0, "doc_id": "d", "content": "c0", "segment_page_start": 1, "segment_page_end": 2}, {"kb_id": "kb", "source_index": 1, "doc_id": "f", "content": "c1", "segment_page_start": None, "segment_page_end": None}]
+    text = Chat(spark, {"kb": kb}, Typing())._context(segments)
+    assert "<page_1>\nfirst page\n</page_1>\n<page_2>\nsecond page" in text and "c0" not in text and "<source_index: 1>\nc1" in text and "other" not in text
+
+
+def test_structured_answers():
+    class Late(LanguageModel):
+        serves = ("late",)
+        asked: list = []
+
+        def answer(self, prompts):
+            self.asked.append(prompts[0])
+            return ["no", '{"title": 3}', 'Here: {"title": "T", "parts": [{"n": 1}], "note": null} end'][len(self.asked) - 1 : len(self.asked)]
+
+    kind = {"title": str, "parts": [{"n": int}], "note": (str, None)}
+    assert structured(Late(), [{"role": "user", "content": "q"}], kind)["title"] == "T"
+    assert "no JSON object" in Late.asked[1] and "title, parts" in Late.asked[2]
+    Late.asked.clear()
+    with pytest.raises(ValueError):
+        structured(Late(), [{"role": "user", "content": "q"}], kind, attempts=2)
+    with pytest.raises(ValueError):
+        Late().chat([{"role": "user", "content": "q"}], images=(b"x",))
+    assert isinstance(LanguageModel.serving("typing-large"), Typing) and isinstance(LanguageModel.serving("late-1"), Late)
+    with pytest.raises(ValueError):
+        LanguageModel.serving("nobody")
+    whole = '{"a": "x\\"y", "b": [1, {"c": "z"}], "d": 5}'
+    assert unfinished_json(whole) == json.loads(whole) and unfinished_json("no") == {} and unfinished_json('{"a": "x\\') == {"a": "x"}
+    assert unfinished_json('{"a": "x", "b": [1, {"c": "z') == {"a": "x", "b": [1, {"c": "z"}]} and unfinished_json('{"a": "x", "b') == {"a": "x"}
+
+
 def test_auto_query_fallback():
     class Made(LanguageModel):
         def answer(self, prompts):
