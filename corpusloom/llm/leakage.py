@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -149,10 +150,15 @@ def _fingerprints(k: int, span: int):
 
 
 def _confirm(k: int, span: int):
+    """The pairs of a batch that do share a span: its texts, each once, against an index of its items."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [next(ItemIndex([(0, item)], k, span).leaks(word_lists([text])), None) is not None for text, item in zip(batch.column("text").to_pylist(), batch.column("item").to_pylist())]
-            yield batch.filter(pa.array(good, pa.bool_())).select(["doc_id", "item_id"])
+            texts, items = (pc.dictionary_encode(batch.column(c)) for c in ("text", "item"))
+            index = ItemIndex(list(enumerate(items.dictionary.to_pylist())), k, span)
+            found = {t * len(items.dictionary) + i for t, i in index.leaks(word_lists(texts.dictionary.to_pylist()))}
+            pair = texts.indices.to_numpy().astype(np.int64) * len(items.dictionary) + items.indices.to_numpy()
+            yield batch.filter(pa.array(np.isin(pair, np.fromiter(found, np.int64, len(found))))).select(["doc_id", "item_id"])
 
     return run
 
