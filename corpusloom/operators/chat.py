@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import strip
 from corpusloom.functions.times import instant
 from corpusloom.operators.context import token_count
-from corpusloom.operators.ordering import latest, numbered
+from corpusloom.operators.ordering import latest, numbered, summed
 
 #: Fixed default parameters of a thread.
 DEFAULTS = {"model": "gpt-4o-mini", "temperature": 0.2, "system_message": "", "auto_query_model": "gpt-4o-mini", "target_output_length": "medium", "max_chat_history_tokens": 8000, "rse_params": "{}"}
@@ -51,8 +51,7 @@ def trimmed(history: DataFrame, limit: Column | int = DEFAULTS["max_chat_history
     """
     limit = F.coalesce(limit, F.lit(DEFAULTS["max_chat_history_tokens"])) if isinstance(limit, Column) else F.lit(limit)
     sized = history.withColumn("tokens", token_count(F.col("content")) if tokens is None else tokens)
-    newest = Window.partitionBy("thread_id").orderBy(F.col("seq").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return sized.withColumn("total", F.sum("tokens").over(newest)).where(F.col("total") <= limit).drop("total")
+    return summed(sized, "thread_id", [F.col("seq").desc()], "tokens", "total").where(F.col("total") <= limit).drop("total")
 
 
 def validated_queries(queries: DataFrame, offered: DataFrame, limit: int = MAX_QUERIES) -> DataFrame:

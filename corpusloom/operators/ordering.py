@@ -27,6 +27,17 @@ def numbered(rows: DataFrame, key: str, order: list[str | Column], name: str, st
     return joined.withColumn(name, place.cast("int")).drop("__part", "__key", "__at", "__before", "__here")
 
 
+def summed(rows: DataFrame, key: str, order: list[str | Column], value: str, name: str) -> DataFrame:
+    """`rows` with the sum of `value` over the rows of their key up to them, in a total order; a key of any size spreads as in `numbered`."""
+    placed = cut(rows.repartitionByRange(parallelism(rows.sparkSession), key, *order).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy(key, "__part").agg(F.sum(value).alias("__n"))
+    earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("__before", F.sum("__n").over(earlier)).where("__before is not null").select(F.col(key).alias("__key"), F.col("__part").alias("__at"), "__before")
+    here = F.sum(value).over(Window.partitionBy("__part", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = placed.withColumn("__here", here).join(before, (F.col(key) == F.col("__key")) & (F.col("__part") == F.col("__at")), "left")
+    return joined.withColumn(name, F.col("__here") + F.coalesce("__before", F.lit(0))).drop("__part", "__key", "__at", "__before", "__here")
+
+
 def latest(rows: DataFrame, keys: list[str], by: list[str], columns: list[str]) -> DataFrame:
     """The row of each key with the greatest `by`; ties go to the greatest `columns` in turn.  Aggregated before the shuffle."""
     best = F.max(F.struct(*by, *[c for c in columns if c not in by])).alias("__best")

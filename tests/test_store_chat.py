@@ -109,3 +109,16 @@ def test_numbers_over_partitions(spark):
     rows = spark.createDataFrame([("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(20)], "k string, v int").repartition(4)
     got = ordering.numbered(rows, "k", ["v"], "n", 0).collect()
     assert all(r.n == r.v for r in got if r.k == "hot") and {r.n for r in got if r.k != "hot"} == {0} and len(got) == 520
+
+
+def test_history_of_a_long_thread_is_trimmed_over_partitions(spark):
+    rows = [("long", i, "user", "w " * (i % 5)) for i in range(2000)] + [(f"t{i}", 0, "user", "a b c") for i in range(20)]
+    history = spark.createDataFrame(rows, "thread_id string, seq int, role string, content string").repartition(7)
+    kept = sorted(r.seq for r in chat.trimmed(history, 101).where("thread_id = 'long'").collect())
+    want, total = [], 0
+    for i in reversed(range(2000)):
+        total += i % 5
+        if total > 101:
+            break
+        want.append(i)
+    assert kept == sorted(want) and chat.trimmed(history, 2).where("thread_id <> 'long'").count() == 0
