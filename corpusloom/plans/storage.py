@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import answers, store, vectors
+from corpusloom.plans.text import INGEST
 from corpusloom.session import scratch, table
 from corpusloom.sources.lake import Lake
 
@@ -182,6 +183,7 @@ from f join (select kb_id, doc_id, count(*) as chunk_count, string_agg(coalesce(
     "snk_02_vector_upsert": "select doc_id, chunk_index, case when coalesce(h, '') = '' then v + 1000000 else v end as vec_id from (select doc_id, chunk_index, max(vec_id) as v, max(chunk_header) as h from chunk_vectors group by 1, 2)",
     "snk_03_configs": "select kb_id, title, description, language, chunk_size, supp_id, created_on from knowledge_bases",
     "snk_04_retriever": _retriever_sql(),
+    "kbo_02_ingest": INGEST,
     "kbo_03_add_documents": "select cast(doc_id as varchar) as doc_id, case when text is null then 'no text' when lang = 'de' then 'exists' else 'added' end as reason from documents",
     "kbo_04_delete": """select * from (select doc_id, count(*) as chunks from chunk_store where doc_id <> 'central-operations-handbook.md' group by 1)
 full join (select doc_id, count(*) as vectors from chunk_vectors where doc_id is distinct from 'central-operations-handbook.md' group by 1) using (doc_id)""",

@@ -148,7 +148,7 @@ def chk_02(spark, d):
 
 
 def chk_03(spark, d):
-    return chunks.chunk_lines(parsed_lines(spark, d)).where("piece is not null")
+    return chunks.chunk_lines(parsed_lines(spark, d))
 
 
 def chk_04(spark, d):
@@ -393,12 +393,54 @@ plines as (select doc_id, section_index, cast(row_number() over (partition by do
       unnest(string_split(content, chr(10))) as content, generate_subscripts(string_split(content, chr(10)), 1) as q from parsed_chunks where content is not null)),
 runs as (select *, cast(sum(case when is_visual or coalesce(prev, true) then 1 else 0 end) over (partition by doc_id, section_index order by line_no rows unbounded preceding) as integer) as run
   from (select *, lag(is_visual) over (partition by doc_id, section_index order by line_no) as prev from plines))"""
+_STRIP = f"regexp_replace({{0}}, '^{SPACES}|{SPACES}$', '', 'g')".replace("{0}", "CONTENT")
+#: The recursive splitter over source(id, text): a node is cut at the first separator it holds, long parts are nodes again, and
+#: the parts between two long ones are packed; cut(id, piece, content) has the pieces in order.
+_CUT = f"""
+node as (
+  select id, cast([] as bigint[]) as path, text, 0 as lv from source where text <> ''
+  union all
+  select id, list_append(path, i), piece, lvl + 1 from (select id, path, lvl, unnest(ps) as piece, generate_subscripts(ps, 1) as i from (select id, path, lvl, PIECES as ps from (select *, AT as lvl from node)))
+  where length(piece) >= 800 and lvl < 3),
+child as (select id, path, i, piece, length(piece) >= 800 as big from (select id, path, lvl, unnest(ps) as piece, generate_subscripts(ps, 1) as i from (select id, path, lvl, PIECES as ps from (select *, AT as lvl from node)))),
+grp as (select *, sum(case when big then 1 else 0 end) over (partition by id, path order by i rows unbounded preceding) as g from child),
+packs as (select id, list_append(path, min(i)) as place, list_reduce(list(piece order by i),
+    lambda s, w: case when s.total + length(w) > 800 then {{'made': list_append(s.made, s.held), 'held': w, 'total': length(w)}} else {{'made': s.made, 'held': s.held || w, 'total': s.total + length(w)}} end,
+    {{'made': cast([] as varchar[]), 'held': '', 'total': cast(0 as bigint)}}) as r from grp where not big group by id, path, g),
+flatcut as (select id, place, {_STRIP.replace("CONTENT", "content")} as content, j from (select id, place, unnest(list_append(r.made, r.held)) as content, generate_subscripts(list_append(r.made, r.held), 1) as j from packs)),
+cut as (select id, cast(row_number() over (partition by id order by place, j) - 1 as integer) as piece, content from flatcut where content <> '')""".replace(
+    "PIECES", "list_filter(case lvl when 3 then regexp_extract_all(text, '(?s).') else list_transform(string_split(text, MARK), lambda x, n: case when n = 1 then x else MARK || x end) end, lambda x: x <> '')"
+).replace("MARK", "(case lvl when 0 then chr(10) || chr(10) when 1 then chr(10) else ' ' end)").replace("AT as lvl", "case when lv <= 0 and contains(text, chr(10) || chr(10)) then 0 when lv <= 1 and contains(text, chr(10)) then 1 when lv <= 2 and contains(text, ' ') then 2 else 3 end as lvl")
+#: Chunks of the parsed lines: short and visual runs as they are; longer ones cut, a short last piece joined to the one before, each with the lines that hold its characters.
+_CHUNKS = f"""{_PARSED},
+whole as (select doc_id, section_index, run, bool_or(is_visual) as is_visual, string_agg(content, chr(10) order by line_no) as content, min(line_no) as a, max(line_no) as b from runs group by 1, 2, 3),
+short as (select * from whole where is_visual or length(content) < 1600),
+source as (select {{'d': doc_id, 's': section_index, 'r': run}} as id, content || chr(10) as text from whole where not (is_visual or length(content) < 1600)),{_CUT},
+sized as (select *, cast(sum(length(content) + 1) over (partition by id order by piece rows unbounded preceding) - length(content) - 1 as bigint) as c0, length(content) as n, max(piece) over (partition by id) as last from cut),
+spans as (select l.doc_id, l.section_index, l.run, l.line_no, sum(length(l.content) + 1) over (partition by l.doc_id, l.section_index, l.run order by l.line_no rows unbounded preceding) - 1 - length(l.content) as x, length(l.content) as n
+  from runs l join source s on s.id.d = l.doc_id and s.id.s = l.section_index and s.id.r = l.run),
+placed as (select c.id, c.piece, c.content, c.n, c.last,
+    coalesce(max(case when x <= c0 and c0 <= x + p.n + 1 then line_no end), min(case when c0 < x and c0 + c.n > x + p.n then line_no end), min(line_no)) as a,
+    coalesce(max(case when (x <= c0 + c.n and c0 + c.n <= x + p.n + 1) or (c0 < x and c0 + c.n > x + p.n) then line_no end), max(line_no)) as b
+  from sized c join spans p on p.doc_id = c.id.d and p.section_index = c.id.s and p.run = c.id.r group by all),
+marked as (select *, last > 0 and bool_or(piece = last and n < 400) over (partition by id) as joins from placed),
+joined as (select id, case when joins and piece = last then last - 1 else piece end as piece, string_agg(content, chr(10) order by piece) as content, arg_min(a, piece) as a, arg_max(b, piece) as b from marked group by 1, 2),
+made as (select doc_id, section_index, run, cast(0 as integer) as piece, a, b, content, is_visual from short union all select id.d, id.s, id.r, cast(piece as integer), a, b, content, false from joined),
+chunked as (select m.doc_id, m.section_index, m.run, m.piece, m.a as line_start, m.b as line_end, m.content, f.page_number as page_start, t.page_number as page_end, m.is_visual
+  from made m join runs f on f.doc_id = m.doc_id and f.section_index = m.section_index and f.line_no = m.a join runs t on t.doc_id = m.doc_id and t.section_index = m.section_index and t.line_no = m.b)"""
+_TRIM = r"regexp_replace({0}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
+#: The corpus as a knowledge base cuts it: sections in windows of the default size, then chunks.
+INGEST = f"""with recursive {_FILLED.replace(str(0.9 * WINDOW_CHARS), str(0.9 * sections.WINDOW_CHARS))},
+source as (select {{'d': doc_id, 's': section_index}} as id, content || chr(10) as text from filled where length(content) >= 1600),{_CUT},
+n as (select id, count(*) as k, arg_max(length(content), piece) as tail from cut group by 1),
+per as (select id.d as doc_id, k - case when k > 1 and tail < 400 then 1 else 0 end as k from n union all select doc_id, 1 from filled where length(content) < 1600),
+c as (select doc_id, sum(k) as k from per group by 1)
+select cast(doc_id as varchar) as doc_id, cast(k as bigint) as chunks, cast(k - 1 as integer) as last, case when coalesce({_TRIM.format('title')}, '') <> '' then title else cast(doc_id as varchar) end as title from c join documents using (doc_id)"""
 _TOKENS = r"regexp_extract_all({0}, '[ \t\n\r\f]*(?:[\p{{L}}\p{{N}}]+|[^ \t\n\r\f\p{{L}}\p{{N}}])')"
 #: The first twelve words of the last paragraph of a prompt.
 _FIRST_WORDS = f"array_to_string(list_filter(regexp_split_to_array(string_split(regexp_replace(prompt, '^{SPACES}|{SPACES}$', '', 'g'), chr(10) || chr(10))[-1], '{SPACES}'), lambda w: w <> '')[1:12], ' ')"
 _DOC_HEAD = "case when coalesce(document_title, '') <> '' then 'Document context: the following excerpt is from a document titled ''' || document_title || '''. ' || coalesce(document_summary, '') else '' end"
 _SEC_HEAD = "case when coalesce(section_title, '') <> '' then chr(10) || chr(10) || 'Section context: this excerpt is from the section titled ''' || section_title || '''. ' || coalesce(section_summary, '') else '' end"
-_TRIM = r"regexp_replace({0}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+$', '', 'g')"
 _IMAGES = f"""{_ELEMENTS},
 listing as (select doc_id, page_number, unnest(['png', 'jpeg', 'jpg'][1 : page_number % 3 + 1]) as kind from (select distinct doc_id, page_number from elements where page_number is not null)),
 images as (select doc_id, page_number, '/images/' || doc_id || '/page_' || page_number || '.' || case max(case kind when 'jpg' then 3 when 'jpeg' then 2 else 1 end) when 3 then 'jpg' when 2 then 'jpeg' else 'png' end as path from listing group by 1, 2)"""
@@ -447,6 +489,9 @@ select doc_id, count(*) as sections, cast(sum(length(content)) as bigint) as cha
     "chk_02_single_chunks": f"""with {_PARSED} select * from (
 select doc_id, section_index, run, min(line_no) as line_start, max(line_no) as line_end, string_agg(content, chr(10) order by line_no) as content, bool_or(is_visual) as is_visual,
   list(page_number order by line_no)[1] as page_start, list(page_number order by line_no)[-1] as page_end from runs group by 1, 2, 3) where is_visual or length(content) < 1600""",
+    "chk_03_recursive_chunks": f"with recursive {_CHUNKS} select * from chunked",
+    "chk_04_chunk_lines": f"with recursive {_CHUNKS} select doc_id, cast(row_number() over (partition by doc_id order by section_index, run, piece) - 1 as integer) as chunk_index, line_start, line_end from chunked",
+    "udf_text_pieces": f"with recursive source as (select doc_id as id, text from documents where text is not null),{_CUT} select id as doc_id, piece, content from cut",
     "chk_05_lines_in_range": f"""with {_PARSED},
 s as (select doc_id, section_index, line_no, sum(length(content) + 1) over (partition by doc_id, section_index order by line_no rows unbounded preceding) - 1 as b, length(content) as n from plines),
 t as (select *, b - n as a from s)
