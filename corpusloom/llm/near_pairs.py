@@ -37,7 +37,7 @@ from corpusloom.session import cut, parallelism
 
 WORD = re.compile(r"[^\W_]+")
 _MIX1, _MIX2, _OCC = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_SALT = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)]
+_SALT = [np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -100,8 +100,17 @@ def max_distance(threshold: float, a: int, b: int) -> int:
     return int((a + b) * (1 - threshold) / (1 + threshold) + 1e-9)
 
 
-def segment_keys(sizes: np.ndarray, bits: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, key, whole?) of all segments and all segments less one bit, level by level."""
+_TOP, _NO_BIT = np.uint64(1 << 63), np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def segment_keys(sizes: np.ndarray, bits: np.ndarray, threshold: float, frequent: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, key, whole?, home) of all segments and all segments less one bit, level by level.
+
+    The home says to which partition a key goes: the least bit of its set, by a
+    hash, that is not among the `frequent` ones (sorted), or the key itself if it
+    has none.  Equal sets have equal homes, and all the keys of a segment share
+    two homes at most, so a text is sent to few partitions.
+    """
     if not len(sizes):
         return
     n = sizes.astype(float)
@@ -124,8 +133,18 @@ def segment_keys(sizes: np.ndarray, bits: np.ndarray, threshold: float) -> Itera
         np.add.at(whole, dense, bit)
         tag = mix(np.arange(m, dtype=np.uint64) * _SALT[1] + np.full(m, m, np.uint64) * _OCC)
         rows_all = np.repeat(np.flatnonzero(takes), m)
-        yield rows_all, mix(whole + np.tile(tag, int(takes.sum()))), np.ones(len(rows_all), bool)
-        yield row, mix(whole[dense] - bit + tag[seg]), np.zeros(len(row), bool)
+        rank = mix(bit ^ _SALT[3]) & ~_TOP
+        if frequent is not None and len(frequent):
+            rank |= np.where(frequent[np.minimum(np.searchsorted(frequent, bit), len(frequent) - 1)] == bit, _TOP, np.uint64(0))
+        least_bit, next_bit = np.full(len(whole), _NO_BIT), np.full(len(whole), _NO_BIT)
+        np.minimum.at(least_bit, dense, rank)
+        is_least = rank == least_bit[dense]
+        np.minimum.at(next_bit, dense[~is_least], rank[~is_least])
+        for r, key, all_, home in (
+            (rows_all, mix(whole + np.tile(tag, int(takes.sum()))), True, least_bit),
+            (row, mix(whole[dense] - bit + tag[seg]), False, np.where(is_least, next_bit[dense], least_bit[dense])),
+        ):
+            yield r, key, np.full(len(r), all_), np.where(home & _TOP == 0, home, key)
 
 
 def identities(sizes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +171,7 @@ def classes_of(bag: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return pairs[:, 0].copy(), pairs[:, 1].copy(), member.reshape(-1)
 
 
-def spread_hot(row: np.ndarray, key: np.ndarray, whole: np.ndarray, bag: np.ndarray, hot: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spread_hot(row: np.ndarray, key: np.ndarray, whole: np.ndarray, home: np.ndarray, bag: np.ndarray, hot: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The entries, those of hot keys dealt out over the squares of a grid.
 
     A hot key becomes grid x grid keys.  A whole entry stands in all squares of
@@ -162,37 +181,42 @@ def spread_hot(row: np.ndarray, key: np.ndarray, whole: np.ndarray, bag: np.ndar
     at = np.minimum(np.searchsorted(hot, key), max(0, len(hot) - 1))
     hit = hot[at] == key if len(hot) else np.zeros(len(key), bool)
     if not hit.any():
-        return row, key, whole
+        return row, key, whole, home
     r, k, w, g = row[hit], key[hit], whole[hit], grid[at[hit]]
     place = (mix(bag[r]) % g.astype(np.uint64)).astype(np.int64)
-    out = [(row[~hit], key[~hit], whole[~hit])]
+    out = [(row[~hit], key[~hit], whole[~hit], home[~hit])]
     for lines in (True, False):
         some = np.flatnonzero(w) if lines else np.arange(len(r))
         n = g[some]
         line = np.repeat(some, n)
         other = np.arange(len(line)) - np.repeat(np.cumsum(n) - n, n)
         square = place[line] * g[line] + other if lines else other * g[line] + place[line]
-        out.append((r[line], mix(k[line] + (square.astype(np.uint64) + np.uint64(1)) * _SALT[2]), np.full(len(line), lines)))
-    return tuple(np.concatenate([x[i] for x in out]) for i in range(3))
+        squared = mix(k[line] + (square.astype(np.uint64) + np.uint64(1)) * _SALT[2])
+        out.append((r[line], squared, np.full(len(line), lines), squared))
+    return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
+
+
+def _sampled(rows: DataFrame, total: int) -> tuple[DataFrame, float]:
+    """Some 4,096 rows or a 4,096th of all, and their share: for what deals out work and changes no result."""
+    share = min(1.0, max(4096 / max(1, total), 1 / 4096))
+    return rows if share == 1 else rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30))), share
 
 
 def _hot_keys(rows: DataFrame, total: int, threshold: float, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, size of their grid): keys that more than _HOT texts share, by a sample.
 
-    This only deals out work: a hot key that the sample doesn't show, or one
-    beyond the _MOST hottest, is worked off in one task.
+    A hot key that the sample doesn't show, or one beyond the _MOST hottest, is
+    worked off in one task.
     """
-    share = max(4096 / max(1, total), 1 / 4096)
     if total <= _HOT:  # no key can be hot
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    picked = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    share = min(1.0, share)
+    picked, share = _sampled(rows, total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, sizes, bits = bags(batch.column("text").to_pylist(), min_words)
             bag, _ = identities(sizes, bits)
-            for row, key, _ in segment_keys(sizes, bits, threshold):
+            for row, key, *_ in segment_keys(sizes, bits, threshold):
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(bag[row].view(np.int64))], names=["key", "bag"])
 
     keys = picked.select("text").mapInArrow(run, "key bigint, bag bigint").distinct().groupBy("key").count().where(F.col("count") > share * _HOT).orderBy(F.desc("count"), "key").limit(_MOST).collect()
@@ -201,10 +225,23 @@ def _hot_keys(rows: DataFrame, total: int, threshold: float, min_words: int) ->
     return hot[order], np.ceil(size[order] / share / _HOT).astype(np.int64)
 
 
+def _frequent_bits(rows: DataFrame, total: int, parts: int, min_words: int) -> np.ndarray:
+    """Bits, sorted, that so many sampled texts hold that one of them would fill a good part of a partition; at most _MOST."""
+    picked, share = _sampled(rows, total)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(bags(batch.column("text").to_pylist(), min_words)[2].view(np.int64))], names=["bit"])
+
+    least = max(8.0, total * share * 3 / parts)
+    found = picked.select("text").mapInArrow(run, "bit bigint").groupBy("bit").count().where(F.col("count") > least).orderBy(F.desc("count"), "bit").limit(_MOST).collect()
+    return np.sort(np.asarray([f.bit for f in found], np.int64).view(np.uint64))
+
+
 _HOT, _MOST = 32_768, 100_000
 
 
-def _index(threshold: float, min_words: int, parts: int, hot: np.ndarray, grid: np.ndarray):
+def _index(threshold: float, min_words: int, parts: int, hot: np.ndarray, grid: np.ndarray, frequent: np.ndarray):
     """Texts -> packed index entries, one record per target partition and input batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,12 +255,12 @@ def _index(threshold: float, min_words: int, parts: int, hot: np.ndarray, grid:
             keep = np.zeros(len(sizes), bool)
             keep[np.unique(member, return_index=True)[1]] = True
             bits, sizes, bag, fold = bits[np.repeat(keep, sizes)], sizes[keep], bag[keep], fold[keep]
-            found = list(segment_keys(sizes, bits, threshold))
+            found = list(segment_keys(sizes, bits, threshold, frequent))
             row = np.concatenate([x[0] for x in found]).astype(np.int32)
             key = np.concatenate([x[1] for x in found])
             whole = np.concatenate([x[2] for x in found])
-            row, key, whole = spread_hot(row, key, whole, bag, hot, grid)
-            part = ((key >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+            row, key, whole, home = spread_hot(row, key, whole, np.concatenate([x[3] for x in found]), bag, hot, grid)
+            part = ((mix(home) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
             order = np.lexsort((row, part))
             row, part, whole = row[order], part[order], whole[order]
             low = key[order].astype(np.uint32)
@@ -377,7 +414,7 @@ def near_pairs(
     total, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     # a partition of the index is held in memory: some 4 million entries, about one for 4 characters
     parts = max(parallelism(texts.sparkSession), -(-chars // 16_000_000))
-    index = rows.select("text").mapInArrow(_index(threshold, min_words, parts, *_hot_keys(rows, total, threshold, min_words)), _INDEX)
+    index = rows.select("text").mapInArrow(_index(threshold, min_words, parts, *_hot_keys(rows, total, threshold, min_words), _frequent_bits(rows, total, parts, min_words)), _INDEX)
     met = cut(index.repartitionById(parts, F.col("part")).mapInArrow(_meet(threshold), _PAIR).distinct())
 
     # read several times below: made once

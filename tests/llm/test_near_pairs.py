@@ -95,9 +95,9 @@ def test_no_qualifying_pair_is_missed_by_the_index(seed, threshold):
         return
     _, sizes, bits = m.bags([" ".join(a), " ".join(b)], 1)
     keys = {0: [set(), set()], 1: [set(), set()]}
-    for row, key, whole in m.segment_keys(sizes, bits, threshold):
-        for r, k, w in zip(row, key, whole):
-            keys[int(r)][0 if w else 1].add(int(k))
+    for row, key, whole, home in m.segment_keys(sizes, bits, threshold, np.sort(bits[rng.random() < 0.5 :: 3])):
+        for r, k, w, h in zip(row, key, whole, home):
+            keys[int(r)][0 if w else 1].add((int(k), int(h)))  # keys meet in the partition of their home
     assert keys[0][0] & (keys[1][0] | keys[1][1]) or keys[1][0] & keys[0][1]
     bag, fold = m.identities(sizes, bits)
     assert np.bitwise_count(fold[0] ^ fold[1]) <= m.max_distance(threshold, len(a), len(b))
@@ -125,11 +125,12 @@ def test_every_whole_entry_meets_every_entry_of_a_hot_key():
     row = np.arange(60)
     key = np.where(row < 40, 7, row).astype(np.uint64)
     whole, bag = rng.random(60) < 0.4, rng.integers(0, 1 << 60, 60).astype(np.uint64)
-    r, k, w = m.spread_hot(row, key, whole, bag, np.asarray([7], np.uint64), np.asarray([3]))
+    r, k, w, h = m.spread_hot(row, key, whole, key, bag, np.asarray([7], np.uint64), np.asarray([3]))
+    assert (h == k).all()
     meets = {(int(a), int(b)) for i, a in enumerate(r) if w[i] for j, b in enumerate(r) if k[i] == k[j] and a != b}
     assert meets == {(i, j) for i in range(40) if whole[i] for j in range(40) if i != j}
     assert len(set(k[r < 40].tolist())) == 9 and set(k[r >= 40].tolist()) == set(range(40, 60))
-    assert m.spread_hot(row, key, whole, bag, np.zeros(0, np.uint64), np.zeros(0, np.int64))[0] is row
+    assert m.spread_hot(row, key, whole, key, bag, np.zeros(0, np.uint64), np.zeros(0, np.int64))[0] is row
 
 
 def test_large_classes_are_written_in_blocks(spark):
@@ -145,3 +146,16 @@ def test_repeated_ids_with_different_texts(spark):
     one, other = (" ".join(f"{k}{i}" for i in range(25)) for k in "ab")
     rows = [(1, "x", one, "x"), (1, "x", other, "x"), (2, "y", one + " more", "x"), (3, "z", other + " more", "x")]
     assert {tuple(r) for r in m.near_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == {(1, 2), (1, 3)}
+
+
+def test_keys_of_a_segment_have_few_homes():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=70)) for _ in range(30)]
+    _, sizes, bits = m.bags(texts, 20)
+    homes: dict = {}
+    entries = 0
+    for row, _, _, home in m.segment_keys(sizes, bits, 0.8):
+        entries += len(row)
+        for r, h in zip(row, home):
+            homes.setdefault(int(r), set()).add(int(h))
+    assert sum(map(len, homes.values())) < 0.4 * entries
