@@ -293,7 +293,10 @@ def ctx_11(spark, d):
 
 
 def ctx_12(spark, d):
-    rows = table(spark, d, "parsed_chunks").select("item_id", "doc_id", F.col("item_id").cast("int").alias("chunk_index"), "content", "page_start", "page_end", "is_visual")
+    """item_id as chunk_index: an int as the SQL has it or, if an id of the table doesn't fit (where the SQL fails), a bigint."""
+    items = table(spark, d, "parsed_chunks")
+    kind = "int" if items.where(~F.col("item_id").between(-(2**31), 2**31 - 1)).isEmpty() else "bigint"
+    rows = items.select("item_id", "doc_id", F.col("item_id").cast(kind).alias("chunk_index"), "content", "page_start", "page_end", "is_visual")
     rows = rows.withColumns({c: F.lit("") for c in ("document_title", "document_summary", "section_title", "section_summary")})
     return context.store_rows(rows).select("doc_id", "chunk_index", "chunk_text", F.col("chunk_length").cast("bigint").alias("chunk_length"), "chunk_page_start", "chunk_page_end", "is_visual")
 

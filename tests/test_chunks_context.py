@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.operators import chunks, context
+from corpusloom.plans import registry
 
 LINES = "doc_id string, section_index int, line_no int, content string, page_number int, is_visual boolean"
 
@@ -94,3 +95,12 @@ def test_models_are_asked_in_batches(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(["a", "b", "c", None])], "i int, p string").repartition(1).orderBy("i").coalesce(1)
     assert [r.x for r in context.with_model(rows, model, "p", "x", batch=2).orderBy("i").collect()] == ["A", "B", "C", ""]
     assert [r.x for r in context.with_model(spark.createDataFrame([("bad",)], "p string"), model, "p", "x").collect()] == [""]
+
+
+@pytest.mark.parametrize(("ids", "kind"), [([-(2**31), 0, 2**31 - 1, None], "int"), ([0, 2**31], "bigint"), ([-(2**31) - 1, None], "bigint"), ([5999, 59_000_005_999], "bigint")])
+def test_store_rows_keep_ids_of_any_size(spark, tmp_path, ids, kind):
+    schema = "item_id bigint, doc_id string, content string, page_start int, page_end int, is_visual boolean"
+    spark.createDataFrame([(i, "d", "abc", None, 2, None) for i in ids], schema).write.parquet(f"{tmp_path}/parsed_chunks.parquet")
+    got = registry.QUERIES["ctx_12_store_rows"](spark, str(tmp_path))
+    assert dict(got.dtypes)["chunk_index"] == kind
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(("d", i, "abc", 3, None, 2, False)) for i in ids)
