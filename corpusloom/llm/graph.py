@@ -19,7 +19,10 @@ import numpy as np
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _NODE = np.uint64(0x7FFFFFFF)
 _ONE, _HALF = np.uint64(1), np.uint64(32)
-_MARKS, _ROWS = 1 << 24, 512  # marks of visited nodes and queries held at once
+_EVERY = np.uint64(0xFFFFFFFFFFFFFFFF)  # all bits
+_MARKS, _ROWS = 1 << 24, 256  # marks of visited nodes and queries held at once
+_CACHED = 1 << 18  # numbers compared at once: they stay in a core's cache
+_MORE = 16  # times as many back edges as edges, at most, are pruned at once
 
 
 class Gather:
@@ -45,6 +48,16 @@ def _distances(keys: np.ndarray) -> np.ndarray:
     return (keys >> _HALF).astype(np.uint32).view(np.float32)
 
 
+def _key(cosine: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    cosine *= -2
+    cosine += 2
+    keys = np.empty((*nodes.shape, 2), "<u4")  # the halves of a number
+    keys[..., 0] = nodes
+    keys[..., 0] <<= np.uint32(1)
+    np.maximum(cosine, np.float32(0), out=keys[..., 1].view("<f4"))
+    return keys.view("<u8")[..., 0]
+
+
 def _unique(keys: np.ndarray) -> np.ndarray:
     """Each row sorted, repeated keys gone, without the columns that are empty in all rows."""
     keys.sort(axis=1)
@@ -62,8 +75,9 @@ class Graph:
         medoid = int((x @ x.mean(axis=0)).argmax()) if n else 0
         self.order = np.concatenate([order[order == medoid], order[order != medoid]])  # node -> row of the caller
         self.x = np.concatenate([x[self.order], np.zeros((1, x.shape[1]), np.float32)])  # node n stands for none
+        self.ones = np.ones(x.shape[1], np.float32)
         self.edges = np.full((n + 1, degree), n, np.int64)
-        self.rows, self.mutual = Gather(self.x), np.zeros(0, np.float32)
+        self.rows, self.mutual, self.asking = Gather(self.x), np.zeros(0, np.float32), np.empty((0, x.shape[1]), np.float32)
         done = min(n, 2 * degree)  # the first block sees itself, later ones the graph so far
         self._insert(np.arange(done), self._others(np.arange(done), np.tile(np.arange(done), (done, 1))))
         while done < n:
@@ -84,10 +98,20 @@ class Graph:
 
     def _keys(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """(squared distance, node, open) of the nodes of each query, as numbers in that order."""
-        near = np.matmul(self.rows(nodes), q[:, :, None])[:, :, 0]
-        near *= -2
-        near += 2
-        return np.maximum(near, np.float32(0), out=near).view(np.uint32).astype(np.uint64) << _HALF | nodes.astype(np.uint64) << _ONE
+        step = max(1, _CACHED // max(1, nodes.shape[1] * q.shape[1]))
+        near = np.empty(nodes.shape, np.float32)
+        for i in range(0, len(nodes), step):
+            np.matmul(self.rows(nodes[i : i + step]), q[i : i + step, :, None], out=near[i : i + step, :, None])
+        return _key(near, nodes)
+
+    def _pairs(self, q: np.ndarray, line: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        """The same for pairs of a row of q and a node."""
+        if len(line) > len(self.asking):
+            self.asking = np.empty((len(line), self.x.shape[1]), np.float32)
+        asking = q.take(line, axis=0, mode="wrap", out=self.asking[: len(line)])
+        near = self.rows(nodes)
+        near *= asking
+        return _key(near @ self.ones, nodes)
 
     def _blocks(self, count: int) -> list[slice]:
         size = max(1, min(_ROWS, _MARKS // (self.n + 1)))
@@ -97,43 +121,41 @@ class Graph:
         """The beams of a block of queries; passed gets (queries, keys expanded) of each step."""
         out = np.full((len(q), width), _NONE)
         line = np.arange(len(q))  # the queries still on their way
-        seen = np.zeros((len(q), self.n + 1), bool)
-        seen[:, self.n] = True
+        unseen = np.ones((len(q), self.n + 1), bool)
+        unseen[:, self.n] = False
         nodes = np.zeros(len(q), np.int64) if own is None else own
-        seen[line, nodes] = True
-        beam = np.full((len(q), width + self.degree), _NONE)  # the last columns take what comes in
+        unseen[line, nodes] = False
+        beam = np.full((len(q), width + self.degree), _NONE, "<u8")  # the last columns take what comes in
         if own is None:
             beam[:, 0] = self._keys(q, nodes[:, None])[:, 0] | _ONE
-        seen = seen.ravel()
+        unseen = unseen.ravel()
+        slot = np.repeat(line, self.degree)  # the row of each place among the edges
         while True:
-            new = self.edges[nodes]
-            mark = line[:, None] * (self.n + 1) + new
-            keys = self._keys(q, new)
-            keys[seen[mark]] = _NONE
-            seen[mark] = True
-            beam[:, width:] = keys
+            new = self.edges.take(nodes, axis=0)
+            mark = (new + (line * (self.n + 1))[:, None]).ravel()
+            at = np.flatnonzero(unseen.take(mark))  # most edges lead to nodes that were seen: only the others are compared
+            unseen[mark.take(at)] = False
+            to, row = new.ravel().take(at), slot.take(at)
+            beam[:, width:] = _NONE
+            beam.reshape(-1)[at + width * (row + 1)] = self._pairs(q, line.take(row), to)
             beam.sort(axis=1)
-            at = (beam[:, :width] & _ONE).argmin(axis=1)  # the best open one; what is _NONE counts as expanded
-            rows = np.arange(len(line))
-            going = beam[rows, at] & _ONE == 0
+            free = beam.view(np.uint8)[:, : 8 * width : 8] & 1 == 0  # from the least byte; what is _NONE counts as expanded
+            best, rows = free.argmax(axis=1), np.arange(len(line))  # the best open one
+            going = free[rows, best]
             if not going.all():
                 out[line[~going]] = beam[~going, :width]
-                beam, line, q, at = beam[going], line[going], q[going], at[going]
+                beam, line, best = beam[going], line[going], best[going]
                 if not len(line):
                     return out
                 rows = np.arange(len(line))
-            best = beam[rows, at]
-            nodes = _nodes(best)
-            beam[rows, at] |= _ONE
+            key = beam[rows, best]
+            nodes = _nodes(key)
+            beam[rows, best] |= _ONE
             if passed is not None:
-                passed.append((line, best))
+                passed.append((line, key))
 
     def _others(self, block: np.ndarray, nodes: np.ndarray) -> np.ndarray:
         """Keys of the nodes of each row but none and the row's own, best first."""
-        if len(block) > _ROWS:
-            parts = [self._others(block[i : i + _ROWS], nodes[i : i + _ROWS]) for i in range(0, len(block), _ROWS)]
-            most = max(k.shape[1] for k in parts)
-            return np.concatenate([np.pad(k, ((0, 0), (0, most - k.shape[1])), constant_values=_NONE) for k in parts])
         keys = self._keys(self.x[block], nodes)
         keys[(nodes == self.n) | (nodes == block[:, None])] = _NONE
         return _unique(keys)
@@ -154,25 +176,42 @@ class Graph:
             out[at, : keys.shape[1]] = keys
         return out
 
+    def _apart(self, ids: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Bits, [j, word of 64, node]: of each proposal j and node, the proposals that are not closer to j, by the factor alpha, than to the node."""
+        size = ids.shape[1]
+        step = max(1, _CACHED // max(1, size * max(size, self.x.shape[1])))
+        if step * size * size > len(self.mutual):
+            self.mutual = np.empty(step * size * size, np.float32)
+        most = 1 - own / (2 * self.alpha**2)  # alpha² (2 - 2 cosine) > own
+        bits = np.zeros((len(ids), size, 8 * -(-size // 64)), np.uint8)
+        for i in range(0, len(ids), step):
+            near = self.rows(ids[i : i + step])
+            mutual = np.matmul(near, near.transpose(0, 2, 1), out=self.mutual[: len(near) * size * size].reshape(len(near), size, size))
+            bits[i : i + step, :, : -(-size // 8)] = np.packbits(mutual < most[i : i + step, None, :], axis=2, bitorder="little")
+        return bits.view("<u8").transpose(1, 2, 0).copy()
+
     def _prune(self, keys: np.ndarray) -> np.ndarray:
         """The edges kept of each node's proposals, given best first."""
         if len(keys) > _ROWS:
             return np.concatenate([self._prune(keys[i : i + _ROWS]) for i in range(0, len(keys), _ROWS)])
-        alive = keys != _NONE
-        ids, own = np.where(alive, _nodes(keys), self.n), _distances(keys)
-        near, size = self.rows(ids), ids.shape[1]
-        if ids.size * size > len(self.mutual):
-            self.mutual = np.empty(_ROWS * size * size, np.float32)
-        mutual = np.matmul(near, near.transpose(0, 2, 1), out=self.mutual[: ids.size * size].reshape(len(ids), size, size))
-        mutual -= 1
-        mutual *= -2 * self.alpha**2
+        real = keys != _NONE
+        size = int(real.sum(axis=1).max(initial=0))
+        keys, real = keys[:, :size], real[:, :size]
+        ids = np.where(real, _nodes(keys), self.n)
+        apart = self._apart(ids, _distances(keys))
+        kept = np.zeros((size, len(ids)), bool)
+        alive = np.full(apart.shape[1:], _EVERY)
+        for j in range(size):
+            take = alive[j // 64] >> np.uint64(j % 64) & _ONE
+            kept[j] = take
+            take -= _ONE  # all bits where j is not kept
+            alive &= apart[j] | take
+        kept = kept.T & real
+        rank = kept.cumsum(axis=1) - 1
+        kept &= rank < self.degree
         out = np.full((len(ids), self.degree), self.n, np.int64)
-        count = np.zeros(len(ids), np.int64)
-        for j in range(ids.shape[1]):
-            take = np.flatnonzero(alive[:, j] & (count < self.degree))
-            out[take, count[take]] = ids[take, j]
-            count[take] += 1
-            alive[take] &= mutual[take, j] > own[take]
+        line, place = np.nonzero(kept)
+        out[line, rank[kept]] = ids[kept]
         return out
 
     def _insert(self, block: np.ndarray, keys: np.ndarray) -> None:
@@ -185,18 +224,23 @@ class Graph:
         to, come = to[order], come[order]
         nodes, head, line, width = np.unique(to, return_index=True, return_inverse=True, return_counts=True)
         place = np.arange(len(to)) - head[line]
-        for first in range(0, int(width.max(initial=0)), self.degree):  # as many back edges as edges at a time, until all were proposed
-            now = (place >= first) & (place < first + self.degree)
+        first, more = 0, self.degree
+        while first < width.max(initial=0):  # as many back edges as edges at first, then twice as many each time, until all were proposed
+            now = (place >= first) & (place < first + more)
             some, at = np.unique(line[now], return_inverse=True)
-            every = np.full((len(some), 2 * self.degree), self.n, np.int64)
+            every = np.full((len(some), self.degree + more), self.n, np.int64)
             every[:, : self.degree] = self.edges[nodes[some]]
             every[at, self.degree + place[now] - first] = come[now]
             self._add(nodes[some], every)
+            first, more = first + more, min(2 * more, _MORE * self.degree)
 
     def _add(self, nodes: np.ndarray, every: np.ndarray) -> None:
         keys = self._others(nodes, every)
-        full = (keys != _NONE).sum(axis=1) > self.degree
-        few = keys[~full, : self.degree]
-        self.edges[nodes[~full], : few.shape[1]] = np.where(few == _NONE, self.n, _nodes(few))
-        if full.any():
+        count = (keys != _NONE).sum(axis=1)
+        fits = count <= self.degree
+        few = keys[fits, : self.degree]
+        self.edges[nodes[fits], : few.shape[1]] = np.where(few == _NONE, self.n, _nodes(few))
+        full = np.flatnonzero(~fits)
+        if len(full):
+            full = full[np.argsort(count[full], kind="stable")]  # those of about as many proposals are pruned together
             self.edges[nodes[full]] = self._prune(keys[full])

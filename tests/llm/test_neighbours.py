@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
+from corpusloom.llm import graph
 from corpusloom.llm import neighbours as m
 from corpusloom.llm.graph import Graph
 
@@ -207,3 +208,56 @@ def test_copies_joined_by_salted_keys(spark):
     ids = rng.permutation(1000)[: len(x)]
     one, other = (sorted(map(tuple, m.links(m.nearest(frame(spark, ids, x), broadcast_rows=n)).collect())) for n in (0, 1000))
     assert one == other and len(one) > 500
+
+
+def test_no_node_is_compared_twice_with_a_query(monkeypatch):
+    compared = []
+
+    class Counted(graph.Gather):
+        def __call__(self, rows):
+            compared.append(rows.size)
+            return super().__call__(rows)
+
+    monkeypatch.setattr(graph, "Gather", Counted)
+    x = m.unit(clustered(np.random.default_rng(17), 150))
+    g = Graph(x)
+    for own, most in ((np.arange(150), 149), (None, 150)):
+        compared.clear()
+        g.search(g.x[:150], own)
+        assert 0 < sum(compared) <= 150 * most
+
+
+def test_back_edges_of_a_hub_are_pruned_in_few_rounds():
+    rng = np.random.default_rng(14)
+    x = m.unit(np.concatenate([rng.normal(size=(1, 64)), rng.normal(size=(600, 64)) * 0.05 + 1]).astype(np.float32))
+    rounds, most = [], []
+
+    class Seen(Graph):
+        def _add(self, nodes, every):
+            rounds[-1] += 1
+            most[-1] += int((every[:, self.degree :] < self.n).sum(axis=1).max())
+            super()._add(nodes, every)
+
+        def _insert(self, block, keys):
+            rounds.append(0)
+            most.append(0)
+            super()._insert(block, keys)
+
+    Seen(x, degree=4)
+    assert max(most) > 40 and all(r <= 5 + w // 64 for r, w in zip(rounds, most))
+
+
+def test_pruning_of_any_width():
+    x = m.unit(clustered(np.random.default_rng(18), 300))
+    g = Graph(x, degree=70, proposals=150)
+    nodes = np.arange(40)
+    for width in (3, 64, 65, 200):
+        keys = g._others(nodes, np.tile(np.arange(100, 100 + width), (40, 1)))
+        got = g._prune(keys)
+        for i in nodes:
+            ids = graph._nodes(keys[i])
+            own, mutual, kept = graph._distances(keys[i]), g.x[ids] @ g.x[ids].T, []
+            for j in range(width):
+                if all(1.44 * (2 - 2 * mutual[k, j]) > own[j] for k in kept):
+                    kept.append(j)
+            assert got[i, : len(kept[:70])].tolist() == ids[kept[:70]].tolist() and (got[i, len(kept) :] == g.n).all()
